@@ -20,8 +20,8 @@ WINDOW = 4096
 BUFFER_TOKENS = 4 << 20
 #: Windows filled to this share leave the buffer.
 FULL = 0.99
-#: Cached chunks of text; the cache starts anew beyond it.
-CACHED = 500_000
+#: Chunks of text in the younger half of a worker's cache; when it is full it becomes the older half.
+CACHED = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,12 +45,32 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> Chunks:
+        """One cache for all tasks that a Python worker runs."""
+        import sys
+
+        held = sys.__dict__.setdefault("_emberplan_chunks", {})
+        if path not in held:
+            held.clear()
+            held[path] = cls(path)
+        return held[path]
+
+    def age(self) -> None:
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
 
     def encode(self, chunk: bytes) -> bytes:
         ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if (out := self.older.get(chunk)) is not None:
+            self[chunk] = out
+            return out
         plain = chunk.lower() if b"<|" not in chunk else chunk
         body = plain.rstrip(self.TAIL)
         if body != plain and body and body[-1:].isalnum():
@@ -170,7 +190,7 @@ class Packer:
 def pack_batches(batches, path: str, window: int, end_id: int, partition: int):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = pa.schema([(x, pa.int64()) for x in names])
-    chunks, packer, rows = Chunks(path), Packer(window, partition << 32), []
+    chunks, packer, rows = Chunks.of_worker(path), Packer(window, partition << 32), []
     end = np.array([end_id], "<u4").tobytes()
 
     def batch(rows):
@@ -179,8 +199,7 @@ def pack_batches(batches, path: str, window: int, end_id: int, partition: int):
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if len(chunks) > CACHED:
-                chunks.clear()
+            chunks.age()
             for r in packer.add(doc, b"".join(map(chunks.__getitem__, raw.split())) + end):
                 rows += r
             if packer.tokens >= BUFFER_TOKENS:
