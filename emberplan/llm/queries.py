@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import budget, jaccard, packing
+from . import budget, divergence, jaccard, packing, templates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"))
@@ -46,6 +51,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "left_whole", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: The domain of a source, by its number; languages of a domain, then sources of a language.
 LEVELS = {"domain": "concat('d', cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3 as string))", "lang": "lang", "source": "source"}
 #: Target weights by path from the root; paths that aren't named weigh 1.
