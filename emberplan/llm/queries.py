@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import budget, divergence, jaccard, packing, templates
+from . import budget, cotrain, divergence, editwalk, feistel, jaccard, langmix, merkle, packing, templates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,69 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+#: Bytes of records in a file of the audited archive, and the damage done to its second copy.
+PAGES_A_FILE = 512
+
+
+def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of the pages as archive records (file, offset, content).
+
+    A file holds PAGES_A_FILE ids; a record's offset is what the records before it in its file
+    take. In the second replica one page in 97 has a character changed, one in 389 is lost, and
+    one in 401 has a record more behind it.
+    """
+    content = F.concat_ws("\n", F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))), F.coalesce("html", F.lit("")))
+    rows = pages.select("page_id", F.concat(F.lit("part-"), F.expr(f"page_id div {PAGES_A_FILE}")).alias("file"), content.alias("content"))
+    before = Window.partitionBy("file").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)  # PAGES_A_FILE rows at most
+    first = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("content").cast("long")).over(before), F.lit(0).cast("long")))
+    changed = F.concat(F.expr("left(content, length(content) div 2)"), F.lit("#"), F.expr("substr(content, length(content) div 2 + 2)"))
+    second = first.where("page_id % 389 <> 7").withColumn("content", F.when(F.expr("page_id % 97 = 3"), changed).otherwise(F.col("content")))
+    extra = first.where("page_id % 401 = 5").select("page_id", "file", F.lit("extra").alias("content"), F.expr("offset + 1").alias("offset"))
+    return first, second.unionByName(extra)
+
+
+@query
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = archive(table(spark, sf_dir, "pages"))
+    return merkle.audit(first, second)
+
+
+ORACLES["op2_merkle"] = f"""
+WITH p AS (
+  SELECT page_id, 'part-' || (page_id // {PAGES_A_FILE}) AS file, 'WARC-Target-URI: ' || coalesce(url, '') || chr(10) || coalesce(html, '') AS content FROM pages),
+a AS (
+  SELECT *, coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM p),
+b AS (
+  SELECT file, "offset", CASE WHEN page_id % 97 = 3 THEN left(content, length(content) // 2) || '#' || substr(content, length(content) // 2 + 2) ELSE content END AS content
+  FROM a WHERE page_id % 389 <> 7
+  UNION ALL SELECT file, "offset" + 1, 'extra' FROM a WHERE page_id % 401 = 5),
+x AS (SELECT file, "offset", sha256('record ' || "offset" || chr(10) || content) AS d FROM a),
+y AS (SELECT file, "offset", sha256('record ' || "offset" || chr(10) || content) AS d FROM b)
+SELECT file, "offset", CASE WHEN y.d IS NULL THEN 'missing' WHEN x.d IS NULL THEN 'extra' ELSE 'changed' END AS status, x.d AS first_digest, y.d AS second_digest
+FROM x FULL JOIN y USING (file, "offset") WHERE x.d IS DISTINCT FROM y.d
+"""
+
+
+@query
+def op3_editwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editwalk.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = cotrain.classify(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+
+
+@query
+def op5_langmix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = "coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)"
+    model = langmix.fit(docs.where(f"not {held_out}"))
+    return langmix.predict(docs, model).withColumn("held_out", F.expr(held_out)).select("doc_id", "held_out", "lang_pred", "score", "langs", "shares")
+
+
 @query
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"))
@@ -46,6 +110,16 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 """
 
 
+#: Key of the registered query only; callers bring their own.
+KEY = b"emberplan pseudonyms"
+
+
+@query
+def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = feistel.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in feistel.KINDS])
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
