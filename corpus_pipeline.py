@@ -1,21 +1,70 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+Stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberplan.llm import budget, cotrain, jaccard, packing, templates
+from emberplan.llm.common import BROADCAST_ENTRIES, materialise, work_dir
+from emberplan.llm.queries import LEVELS, WEIGHTS
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotrain.classify(docs.select(COLUMNS), model, only_kept=True).select(COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines of recurring templates; n_chars is counted again."""
+    out = templates.drop_templates(docs.select(COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: that of the smallest id.
+
+    Ids to remove go to the tasks if they are few enough, so that texts needn't be shuffled.
+    Rows that share an id and a text are copies, of which one stays; rows without an id stay.
+    """
+    docs = docs.select(COLUMNS)
+    groups = materialise(jaccard.similarity_components(docs).select("doc_id", "component_id"), "groups")
+    removed = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    gone = removed.where("least <> doc_id").select(F.col("doc_id").alias("gone"))
+    if gone.count() <= BROADCAST_ENTRIES:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    if removed.where("rows > 1").isEmpty():
+        return out
+    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+
 
-from emberplan.llm import packing
-from emberplan.llm.common import work_dir
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that target weights by domain, language and source pay for, once each."""
+    return budget.mix(docs.select(COLUMNS), LEVELS, WEIGHTS, fraction=0.8, max_epochs=1).select(COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_windows)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing to target weights", mix_sources),
+    ("packing", pack_windows),
+]
 
-#: Trained scores, hash orders and a tokenizer are not to be had in SQL; tests hold the stages against brute force.
+#: Trained scores, hashed orders and a tokenizer are not to be had in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -24,8 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = work_dir(spark)
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{base}/{i}"
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
