@@ -116,86 +116,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("grp", "node").agg(F.count("*").alias("degree"))
 
 
-def walkable(edges: DataFrame, prune: float = 40.0, most_rounds: int = 50) -> DataFrame:
-    """edges (grp, src, dst, length) of a floor's skeleton to its contracted graph.
-
-    Leaf chains up to `prune` long fall, for at most most_rounds rounds; then chains of nodes
-    with two neighbours become one edge, of parallel ones the shortest; the largest component
-    stays (ties: the one with the least node). Gives (grp, src, dst, length), src < dst.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g: dict = {}
-        for s, d, w in zip(pdf.src, pdf.dst, pdf.length, strict=True):
-            if s != d:
-                w = min(w, g.get(s, {}).get(d, w))
-                g.setdefault(s, {})[d] = w
-                g.setdefault(d, {})[s] = w
-        for _ in range(most_rounds):
-            fallen = False
-            for leaf in sorted(n for n in g if len(g[n]) == 1):
-                chain, total, prev = [leaf], 0.0, None
-                at = leaf
-                while at in g:
-                    nxt = [n for n in g[at] if n != prev]
-                    if len(nxt) != 1:
-                        break
-                    total += g[at][nxt[0]]
-                    prev, at = at, nxt[0]
-                    if len(g[at]) != 2:
-                        break
-                    chain.append(at)
-                if at in g and len(g[at]) >= 3 and total <= prune:
-                    for n in chain:
-                        for m in list(g.pop(n, {})):
-                            g.get(m, {}).pop(n, None)
-                    fallen = True
-            if not fallen:
-                break
-        for n in sorted(g):
-            if n in g and len(g[n]) == 2:
-                (a, wa), (b, wb) = sorted(g[n].items())
-                del g[n]
-                g[a].pop(n)
-                g[b].pop(n)
-                g[a][b] = g[b][a] = min(wa + wb, g[a].get(b, wa + wb))
-        seen, best = set(), []
-        for n in sorted(g):
-            if n not in seen:
-                part, todo = [], [n]
-                seen.add(n)
-                while todo:
-                    x = todo.pop()
-                    part.append(x)
-                    for m in g[x]:
-                        if m not in seen:
-                            seen.add(m)
-                            todo.append(m)
-                if len(part) > len(best):
-                    best = part
-        keep = set(best)
-        rows = [(pdf.grp.iloc[0], s, d, w) for s in sorted(keep) for d, w in sorted(g[s].items()) if s < d]
-        return pd.DataFrame(rows, columns=["grp", "src", "dst", "length"])
-
-    return edges.select("grp", "src", "dst", "length").groupBy("grp").applyInPandas(run, "grp long, src long, dst long, length double")
+def _per_graph(edges: DataFrame, run, schema: str) -> DataFrame:
+    """run(grp, [(src, dst, length), ...]) -> rows, for each graph; a batch holds many graphs."""
+    lists = edges.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "length"))).alias("e"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def batches(it):
+        import pyarrow as pa
 
-def shortest_paths(edges: DataFrame, most: float | None = None) -> DataFrame:
-    """(grp, src, dst, dist) between all nodes of a small graph, itself included, up to `most`."""
+        types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+        fields = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)])
+        for b in it:
+            rows = []
+            for grp, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += run(grp, [(x["src"], x["dst"], x["length"]) for x in e])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _adjacency(pdf)
-        rows = [(pdf.grp.iloc[0], s, d, x) for s in sorted(g) for d, x in sorted(_from(g, s, most).items())]
-        return pd.DataFrame(rows, columns=["grp", "src", "dst", "dist"])
+    return lists.mapInArrow(batches, schema)
 
-    return edges.select("grp", "src", "dst", "length").groupBy("grp").applyInPandas(run, "grp long, src long, dst long, dist double")
 
-
-def _adjacency(pdf: pd.DataFrame) -> dict:
+def _adjacency(edges: list[tuple]) -> dict:
     g: dict = {}
-    for s, d, w in zip(pdf.src, pdf.dst, pdf.length, strict=True):
-        for a, b in ((s, d), (d, s)):
-            g.setdefault(a, {})[b] = min(w, g.get(a, {}).get(b, w))
+    for s, d, w in edges:
+        if s != d:
+            for a, b in ((s, d), (d, s)):
+                g.setdefault(a, {})[b] = min(w, g.get(a, {}).get(b, w))
     return g
 
 
@@ -212,6 +157,86 @@ def _from(g: dict, start, most: float | None) -> dict:
     return dist
 
 
+def _prune(g: dict, longest: float) -> bool:
+    """Takes out chains from a leaf to a junction that are short enough; whether any fell."""
+    fallen = False
+    for leaf in sorted(n for n in g if len(g[n]) == 1):
+        chain, total, prev, at = [leaf], 0.0, None, leaf
+        while at in g:
+            ahead = [n for n in g[at] if n != prev]
+            if len(ahead) != 1:
+                break
+            total += g[at][ahead[0]]
+            prev, at = at, ahead[0]
+            if len(g[at]) != 2:
+                break
+            chain.append(at)
+        if at in g and len(g[at]) >= 3 and total <= longest:
+            for n in chain:
+                for m in g.pop(n, {}):
+                    g.get(m, {}).pop(n, None)
+            fallen = True
+    return fallen
+
+
+def _contract(g: dict) -> None:
+    """Nodes with two neighbours become an edge between these, of parallel ones the shortest."""
+    for n in sorted(g):
+        if len(g[n]) == 2:
+            (a, wa), (b, wb) = sorted(g[n].items())
+            del g[n]
+            g[a].pop(n)
+            g[b].pop(n)
+            g[a][b] = g[b][a] = min(wa + wb, g[a].get(b, wa + wb))
+
+
+def _largest_part(g: dict) -> set:
+    seen, best = set(), []
+    for n in sorted(g):
+        if n not in seen:
+            part, todo = [], [n]
+            seen.add(n)
+            while todo:
+                x = todo.pop()
+                part.append(x)
+                for m in g[x]:
+                    if m not in seen:
+                        seen.add(m)
+                        todo.append(m)
+            best = max(best, part, key=len)
+    return set(best)
+
+
+def walkable(edges: DataFrame, prune: float = 40.0, most_rounds: int = 50) -> DataFrame:
+    """edges (grp, src, dst, length) of a floor's skeleton to its contracted graph.
+
+    Leaf chains up to `prune` long fall, for at most most_rounds rounds; then chains of nodes
+    with two neighbours become one edge; the largest component stays (ties: the one with the
+    least node). Gives (grp, src, dst, length), src < dst.
+    """
+
+    def run(grp, e):
+        g = _adjacency(e)
+        for _ in range(most_rounds):
+            if not _prune(g, prune):
+                break
+        _contract(g)
+        keep = _largest_part(g)
+        return [(grp, s, d, w) for s in sorted(keep) for d, w in sorted(g[s].items()) if s < d]
+
+    return _per_graph(edges, run, "grp long, src long, dst long, length double")
+
+
+def shortest_paths(edges: DataFrame, most: float | None = None) -> DataFrame:
+    """(grp, src, dst, dist) between all nodes of a small graph, itself included, up to `most`."""
+
+    def run(grp, e):
+        g = _adjacency(e)
+        return [(grp, s, d, x) for s in sorted(g) for d, x in sorted(_from(g, s, most).items())]
+
+    return _per_graph(edges, run, "grp long, src long, dst long, dist double")
+
+
 def cover(edges: DataFrame, radius: float) -> DataFrame:
     """(grp, step, node, covers, junction): places so that every node is within radius of one.
 
@@ -220,8 +245,8 @@ def cover(edges: DataFrame, radius: float) -> DataFrame:
     covers anything, the least uncovered node is taken.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _adjacency(pdf)
+    def run(grp, e):
+        g = _adjacency(e)
         reach = {n: set(_from(g, n, radius)) for n in g}
         junction = {n for n in g if len(g[n]) >= 3}
         places = sorted(junction | {n for n in g if len(g[n]) == 1})
@@ -231,8 +256,8 @@ def cover(edges: DataFrame, radius: float) -> DataFrame:
             if node is None or not reach[node] & left:
                 node = min(left)
             new = reach[node] & left
-            rows.append((pdf.grp.iloc[0], len(rows), node, len(new), node in junction))
+            rows.append((grp, len(rows), node, len(new), node in junction))
             left -= new
-        return pd.DataFrame(rows, columns=["grp", "step", "node", "covers", "junction"])
+        return rows
 
-    return edges.select("grp", "src", "dst", "length").groupBy("grp").applyInPandas(run, "grp long, step int, node long, covers long, junction boolean")
+    return _per_graph(edges, run, "grp long, step int, node long, covers long, junction boolean")

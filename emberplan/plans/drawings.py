@@ -374,3 +374,26 @@ def j18_split_label(spark, d):
 
     x = lines(spark, d).withColumn("nxt", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_idx")))
     return x.where(F.contains("text", F.lit("AREA")) & F.contains(F.coalesce("nxt", "text"), F.lit("A"))).groupBy("doc_id").agg(F.min("line_idx").alias("at"))
+
+
+@query("SELECT p_partkey AS id, kind, text, area, CASE WHEN p_partkey % 2 = 0 THEN 'mm' ELSE 'm' END AS units FROM (SELECT p_partkey, 'TEXT' AS kind, p_name AS text, CAST(0 AS DOUBLE) AS area FROM part UNION ALL SELECT p_partkey, 'LWPOLYLINE', '', CAST(p_size * (p_partkey % 13 + 1) AS DOUBLE) FROM part)")
+def s10_dxf(spark, d):
+    """Drawing exchange files written from rows and read back, one layer of two."""
+    from ..operators.geometry import shoelace
+    from ..sources.files import dxf_entities
+
+    pair = lambda *x: F.concat_ws("\n", *[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    w, h = F.col("p_size"), F.col("p_partkey") % 13 + 1
+    head = pair("0", "SECTION", "2", "HEADER", "9", "$INSUNITS", "70", F.when(F.col("p_partkey") % 2 == 0, "4").otherwise("6"), "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES")
+    body = pair("0", "TEXT", "8", "PLAN", "1", F.col("p_name"), "0", "LWPOLYLINE", "8", "PLAN", "70", "1", "10", "0", "20", "0", "10", w, "20", "0", "10", w, "20", h, "10", "0", "20", h, "0", "TEXT", "8", "NOTES", "1", "skip", "0", "LINE", "8", "PLAN", "0", "ENDSEC", "0", "EOF")
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("\n", head, body).alias("content"))
+    x = dxf_entities(files, ["PLAN"])
+    return x.select("id", "kind", "text", F.when(F.col("closed"), shoelace("points")).otherwise(0.0).alias("area"), "units")
+
+
+@query()
+def s5_uploads(spark, d):
+    """The folder's files with their size cap and route."""
+    from ..sources.files import uploads
+
+    return uploads(spark, d + "/*.parquet", 10 << 20).select(F.substring_index("path", "/", -1).alias("name"), "length", "route", "accepted")
