@@ -131,16 +131,30 @@ def to_points(row: str, col: str, scale: float, height: float) -> list[Column]:
 def clusters(points: DataFrame, key: str, radius: float) -> DataFrame:
     """(key, cluster, x, y, n): points in order join the first cluster whose seed is within radius.
 
-    The fold is sequential within a page by definition; a page's points are one list.
+    Each point depends on those before it, so a page's points are one list, folded in Python;
+    a batch holds many pages.
     """
-    lists = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y"))).alias("p"))
-    empty = F.array().cast("array<struct<sx:double,sy:double,tx:double,ty:double,n:int>>")
-    one = lambda p: F.array(F.struct(p["x"].alias("sx"), p["y"].alias("sy"), p["x"].alias("tx"), p["y"].alias("ty"), F.lit(1).alias("n")))
-
-    def step(acc, p):
-        at = F.array_position(F.transform(acc, lambda c: F.hypot(c["sx"] - p["x"], c["sy"] - p["y"]) <= radius), F.lit(True))
-        grown = F.transform(acc, lambda c, i: F.when(i + 1 == at, F.struct(c["sx"].alias("sx"), c["sy"].alias("sy"), (c["tx"] + p["x"]).alias("tx"), (c["ty"] + p["y"]).alias("ty"), (c["n"] + 1).alias("n"))).otherwise(c))
-        return F.when(at == 0, F.concat(acc, one(p))).otherwise(grown)
-
-    c = lists.select(key, F.posexplode(F.aggregate("p", empty, step)).alias("cluster", "c"))
-    return c.select(key, "cluster", (F.col("c.tx") / F.col("c.n")).alias("x"), (F.col("c.ty") / F.col("c.n")).alias("y"), F.col("c.n").alias("n"))
+    lists = points.groupBy(F.col(key).cast("long").alias(key)).agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y"))).alias("p"))
+
+    def fold(batches):
+        import math
+
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for page, pts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found: list[list] = []  # seed x, seed y, sum x, sum y, n
+                for p in pts:
+                    near = next((c for c in found if math.hypot(c[0] - p["x"], c[1] - p["y"]) <= radius), None)
+                    if near is None:
+                        found.append([p["x"], p["y"], p["x"], p["y"], 1])
+                    else:
+                        near[2] += p["x"]
+                        near[3] += p["y"]
+                        near[4] += 1
+                rows += [(page, i, c[2] / c[4], c[3] / c[4], c[4]) for i, c in enumerate(found)]
+            types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "cluster", "x", "y", "n"])
+
+    return lists.mapInArrow(fold, f"{key} long, cluster int, x double, y double, n int")
