@@ -203,7 +203,7 @@ def compare_with_next(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", t
     Texts are ranged by id once; what crosses from one range to the next are two texts a range.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(cast(`{text_col}` as string), '') text")
-    ranged = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     done = materialise(ranged.mapInArrow(lambda x: _compare(x, seed), SCHEMA).withColumn("range", F.spark_partition_id()), "compared")
     edges = done.where("first is not null").select("range", "first", "doc_id", "text")
     # A first and a last text for each range, in range order: the next row of a last is a first.
