@@ -7,15 +7,17 @@ similarity of at least 75/100, as connected components.
 2. Two linked sets share a shingle among the first floor(n/4)+1 of each in that order, whatever
    the order is. These prefixes go, as packed arrays, to tiles of equal shingles; in a tile only
    sets in the same or adjacent size bands (powers of 4/3) can link. Tiles of up to 4 sets give
-   their pairs. Larger ones give each set's pairs with the least set of its band and the band
-   below, and are kept.
-3. Each set is compared with the partner it shares most tiles with. A pair goes through hashed
+   their pairs. Larger ones are kept; there each set is paired with the one of its band and of the
+   band below that stands in most tiles, and keeps the pair that shares most tiles.
+3. Each set is compared with the partner it shares most tiles with, then the other pairs. A pair goes through hashed
    bitmaps, as long as the smaller set's band asks: a bit of one that the other lacks is an
    element not shared, so bit counts bound the overlap from above. What passes is decided by
    intersecting sorted arrays.
-4. Pairs, and kept tiles, whose sets are not in one component by now are compared in full, in
-   blocks, by the same two tests. So every pair in a tile has been decided or joined already, and
-   a tile of thousands of near copies costs comparisons in proportion to its size.
+4. Components that meet in a kept tile are compared by one set of each, with the one that stands
+   in most tiles; what is still apart there
+   is compared in full, in blocks, by the same two tests. So every pair in a tile is decided or
+   joined already, and a tile of thousands of near copies costs comparisons in proportion
+   to its size.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -42,6 +44,8 @@ FILTER_BITS = 1 << 26
 ENTRIES = 200_000
 #: Tiles of up to so many sets give all pairs at once.
 SMALL = 4
+#: Rows in an Arrow batch while the join runs.
+BATCH_ROWS = 1000
 #: Sets in a block of a large tile.
 BLOCK = 256
 
@@ -72,8 +76,8 @@ def band(n: np.ndarray, share: int = SHARE) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Twice as many bits as elements or more, a power of 2 from 256 to 65536."""
-    bits = min(65536, max(256, 1 << int(2 * len(s) - 1).bit_length()))
+    """Four times as many bits as elements or more, a power of 2 from 256 to 65536."""
+    bits = min(65536, max(256, 1 << int(4 * len(s) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(mix(s) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -95,10 +99,15 @@ def bound(a: bytes, n: int, b: bytes, m: int) -> int:
     return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
+def _add(loads: np.ndarray, grams: list[np.ndarray]) -> None:
+    at, n = np.unique((np.concatenate(grams) & np.uint64(LOADS - 1)).astype(np.int64), return_counts=True)
+    loads[at] += n.astype(np.uint32)
+
+
 def _count(batches):
     """A row (doc, set, n) for each document, then the task's loads by bucket."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("loads", pa.binary())])
-    loads = np.zeros(LOADS, np.int64)
+    loads = np.zeros(LOADS, np.uint32)
     for b in batches:
         ids, sizes, held = [], [], 0
         grams = []
@@ -108,10 +117,10 @@ def _count(batches):
             grams.append(s)
             held += len(s)
             if held > 1 << 20:
-                loads += np.bincount((np.concatenate(grams) & np.uint64(LOADS - 1)).astype(np.int64), minlength=LOADS)
+                _add(loads, grams)
                 grams, held = [], 0
         if held:
-            loads += np.bincount((np.concatenate(grams) & np.uint64(LOADS - 1)).astype(np.int64), minlength=LOADS)
+            _add(loads, grams)
         k = len(ids)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(loads.reshape(-1, CHUNK)) if x.any()]
@@ -123,7 +132,7 @@ def _sum_chunks(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(x), np.int64)
+            x = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
             sums[c] = sums[c] + x if c in sums else x
     rows = sorted(sums.items())
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["chunk", "loads"])
@@ -180,64 +189,86 @@ def _prefixes(batches, classes, ranges: int, share: int):
         yield flush()
 
 
-def _tiles(table: pa.Table) -> pa.Table:
-    """Pairs (u < v, shared tiles) of a range, and its tiles of more than SMALL sets."""
-    keys, nodes, bands = [], [], []
-    for x in table.column("entries").to_pylist():
-        k = len(x) // 17
-        keys.append(np.frombuffer(x, np.uint64, k))
-        nodes.append(np.frombuffer(x, np.int64, k, 8 * k))
-        bands.append(np.frombuffer(x, np.uint8, k, 16 * k))
-    key, node, bands = np.concatenate(keys), np.concatenate(nodes), np.concatenate(bands)
-    order = np.lexsort((node, key))
-    key, node, bands = key[order], node[order], bands[order]
-    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-    key, node, bands = key[keep], node[keep], bands[keep].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(first, len(key)))
-    us, vs, tiles = [], [], {}
-    for k in range(2, SMALL + 1):
-        at = first[size == k][:, None] + np.arange(k)
-        for i in range(k):
-            for j in range(i + 1, k):
-                a, b = at[:, i], at[:, j]
-                ok = np.abs(bands[a] - bands[b]) <= 1
-                us.append(node[a[ok]])
-                vs.append(node[b[ok]])
-    for a, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        members = node[a : a + k]
-        name = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
-        if name in tiles:
-            tiles[name][2] += 1
+def _tiles(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The pairs of a range and its tiles of more than SMALL sets, packed by buckets.
+
+        Rows are (bucket, kind, blob): kind 0 holds u, v, shared tiles and whether the pair is
+        only a large tile's (u < v); kind 1 a large tile's sets and bands.
+        """
+        keys, nodes, bands = [], [], []
+        for x in table.column("entries").to_pylist():
+            k = len(x) // 17
+            keys.append(np.frombuffer(x, np.uint64, k))
+            nodes.append(np.frombuffer(x, np.int64, k, 8 * k))
+            bands.append(np.frombuffer(x, np.uint8, k, 16 * k))
+        key, node, bands = np.concatenate(keys), np.concatenate(nodes), np.concatenate(bands)
+        order = np.lexsort((node, key))
+        key, node, bands = key[order], node[order], bands[order]
+        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        key, node, bands = key[keep], node[keep], bands[keep].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        pairs = []
+        for k in range(2, SMALL + 1):
+            at = first[size == k][:, None] + np.arange(k)
+            for i in range(k):
+                for j in range(i + 1, k):
+                    ok = np.abs(bands[at[:, i]] - bands[at[:, j]]) <= 1
+                    pairs.append(np.stack([node[at[ok, i]], node[at[ok, j]], np.ones(ok.sum(), np.int64), np.zeros(ok.sum(), np.int64)], 1))
+        # How often a set stands in large tiles here: what others were copied from does most.
+        which, at = np.unique(node, return_inverse=True)
+        often = np.bincount(at, np.repeat(size > SMALL, size))[at].astype(np.int64)
+        tiles: dict[bytes, list] = {}
+        for a, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            name = hashlib.blake2b(node[a : a + k].tobytes(), digest_size=16).digest()
+            tiles.setdefault(name, [a, k, 0])[2] += 1
+        rows = []
+        for name, (a, k, times) in tiles.items():
+            members, own = node[a : a + k], bands[a : a + k]
+            rows.append((int.from_bytes(name[:4], "little") % buckets, 1, np.stack([members, own], 1).tobytes()))
+            first_of = np.lexsort((members, -often[a : a + k], own))
+            levels, start = np.unique(own[first_of], return_index=True)
+            hub = first_of[start]
+            for d in (0, 1):
+                at = np.searchsorted(levels, own - d)
+                at[at == len(levels)] = 0
+                partner = hub[at]
+                ok = (levels[at] == own - d) & (partner != np.arange(k))
+                u, v = members[ok], members[partner[ok]]
+                pairs.append(np.stack([np.minimum(u, v), np.maximum(u, v), np.full(len(u), times), np.ones(len(u), np.int64)], 1))
+        if pairs:
+            p = _summed(np.concatenate(pairs))
+            where = (mix(p[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            p, where = p[order], where[order]
+            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else where
+            rows += [(int(where[x]), 0, p[x:y].tobytes()) for x, y in zip(cut, [*cut[1:], len(p)])]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _summed(p: np.ndarray) -> np.ndarray:
+    """Rows (u, v, shared, large) with u, v once: shared is summed, large holds if it does for all."""
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    cut = np.flatnonzero(np.concatenate([[True], (p[1:, 0] != p[:-1, 0]) | (p[1:, 1] != p[:-1, 1])])) if len(p) else np.zeros(0, np.int64)
+    if not len(cut):
+        return p
+    return np.stack([p[cut, 0], p[cut, 1], np.add.reduceat(p[:, 2], cut), np.minimum.reduceat(p[:, 3], cut)], 1)
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """A bucket's pairs and large tiles, each once."""
+    pairs, lists = [np.zeros((0, 4), np.int64)], {}
+    for kind, x in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        if kind:
+            lists[hashlib.blake2b(x, digest_size=16).digest()] = x
         else:
-            tiles[name] = [a, k, 1]
-    for a, k, times in tiles.values():
-        members, own = node[a : a + k], bands[a : a + k]
-        least = {}
-        for i in range(k):
-            least.setdefault(int(own[i]), i)
-        for d in (0, 1):
-            partner = np.array([least.get(int(x) - d, -1) for x in own])
-            ok = (partner >= 0) & (partner != np.arange(k))
-            for _ in range(min(times, 4)):
-                us.append(members[ok])
-                vs.append(members[partner[ok]])
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    u, v = np.minimum(u, v), np.maximum(u, v)
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    cut = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
-    shared = np.diff(np.append(cut, len(u)))
-    m, t = len(cut), len(tiles)
-    lists = [np.stack([node[a : a + k], bands[a : a + k]], 1).tobytes() for a, k, _ in tiles.values()]
-    return pa.table(
-        {
-            "u": pa.concat_arrays([pa.array(u[cut], pa.int64()), pa.nulls(t, pa.int64())]),
-            "v": pa.concat_arrays([pa.array(v[cut], pa.int64()), pa.nulls(t, pa.int64())]),
-            "shared": pa.concat_arrays([pa.array(shared, pa.int64()), pa.nulls(t, pa.int64())]),
-            "members": pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(lists, pa.binary())]),
-        }
-    )
+            pairs.append(np.frombuffer(x, np.int64).reshape(-1, 4))
+    p, m = _summed(np.concatenate(pairs)), len(lists)
+    cols = [pa.concat_arrays([pa.array(p[:, i]), pa.nulls(m, pa.int64())]) for i in range(4)]
+    return pa.table([*cols, pa.concat_arrays([pa.nulls(len(p), pa.binary()), pa.array(list(lists.values()), pa.binary())])], names=["u", "v", "shared", "large", "members"])
 
 
 def _members(batches):
@@ -263,32 +294,76 @@ def _bits(batches):
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([zlib.compress(np.packbits(r[1]).tobytes(), 1) for r in rows], pa.binary())], names=["chunk", "bits"])
 
 
-def _wanted(batches, bits: bytes):
-    """(doc, node, n, bitmap, set) of the documents whose node the filter may hold."""
-    flags = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8)).astype(bool)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("grams", pa.binary())])
+def _wanted(batches, packed: bytes, value):
+    """(doc, node, n, value of the set) of the documents whose node the filter may hold."""
+    flags = zlib.decompress(packed)
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("value", pa.binary())])
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     for b in batches:
         rows, held = [], 0
         for doc, s in zip(b.column(0).to_pylist(), sets_of(b.column(1)), strict=True):
             if not len(s):
                 continue
             node = set_id(s)
-            if flags[node & (FILTER_BITS - 1)]:
-                rows.append((doc, node, len(s), bitmap(s), s.tobytes()))
+            bit = node & (FILTER_BITS - 1)
+            if flags[bit >> 3] >> (7 - (bit & 7)) & 1:
+                rows.append((doc, node, len(s), value(s)))
                 held += len(s)
             if held > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema, strict=True)], schema=schema)
+                yield batch(rows)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema, strict=True)], schema=schema)
+            yield batch(rows)
+
+
+def _filter_of(nodes: DataFrame):
+    """A broadcast bit table of fixed size that holds every node of `nodes`, or None if there is none."""
+    spark = nodes.sparkSession
+    bits = nodes.select(F.expr(f"node & {FILTER_BITS - 1}").alias("bit")).repartition(F.expr("bit >> 16")).mapInArrow(_bits, "chunk int, bits binary")
+    flags = np.zeros((FILTER_BITS >> 16, 1 << 13), np.uint8)
+    for r in bits.collect():  # at most FILTER_BITS
+        flags[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return spark.sparkContext.broadcast(zlib.compress(flags.tobytes(), 1)) if flags.any() else None
+
+
+def _of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, value, name: str) -> DataFrame:
+    """(node, n, value) of the wanted nodes (column node), from another pass over the texts.
+
+    A filter of fixed size tells tasks which sets to give; a join with each node's first
+    document then leaves one of each, and the wanted only.
+    """
+    wanted = wanted.distinct()
+    flags = _filter_of(wanted)
+    if flags is None:
+        return docs.sparkSession.createDataFrame([], "node long, n long, value binary")
+    found = docs.mapInArrow(lambda x: _wanted(x, flags.value, value), "doc_id long, node long, n long, value binary")
+    first = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("node_"), "first")
+    found = found.join(first, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    return materialise(found.select("node", "n", "value").dropDuplicates(["node"]), name)
+
+
+def _kept(batches, packed: bytes):
+    flags = np.frombuffer(zlib.decompress(packed), np.uint8)
+    for b in batches:
+        bit = np.asarray(b.column(0)) & (FILTER_BITS - 1)
+        yield b.filter(pa.array((flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
+
+
+def _few(values: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of values that the nodes may need: the rest is not shuffled for their join."""
+    flags = _filter_of(nodes)
+    return values.limit(0) if flags is None else values.mapInArrow(lambda x: _kept(x, flags.value), values.schema)
 
 
 def _passes(batches, share: int):
-    """Of (u, v, n, m, bitmaps), the (u, v) whose bitmaps leave a link possible."""
+    """Of (u, v, shared, n, m, bitmaps), the (u, v, shared) whose bitmaps leave a link possible."""
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(6)]
-        ok = [(u, v) for u, v, n, m, x, y in zip(*cols, strict=True) if 100 * min(n, m) >= share * max(n, m) and may_link(n, m, bound(x, n, y, m), share)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in ok], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        cols = [b.column(i).to_pylist() for i in range(7)]
+        ok = [(u, v, k) for u, v, k, n, m, x, y in zip(*cols, strict=True) if 100 * min(n, m) >= share * max(n, m) and may_link(n, m, bound(x, n, y, m), share)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in ok], pa.int64()) for i in range(3)], names=["u", "v", "shared"])
 
 
 def _links(batches, share: int):
@@ -304,29 +379,49 @@ def _links(batches, share: int):
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in ok], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def _verify(pairs: DataFrame, bitmaps: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    a, b = (bitmaps.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "bitmap")]) for k in "uv")
-    near = pairs.join(a, F.col("u") == F.col("node_u")).join(b, F.col("v") == F.col("node_v"))
-    near = materialise(near.select("u", "v", "n_u", "n_v", "bitmap_u", "bitmap_v").mapInArrow(lambda x: _passes(x, share), "u long, v long"), "near")
-    a, b = (sets.select(F.col("node").alias(f"node_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "uv")
-    near = near.join(a, F.col("u") == F.col("node_u")).join(b, F.col("v") == F.col("node_v"))
-    return materialise(near.select("u", "v", "grams_u", "grams_v").mapInArrow(lambda x: _links(x, share), "u long, v long"), "links")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+
+
+def _with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    a, b = (values.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "value")]) for k in "uv")
+    return pairs.join(a, F.col("u") == F.col("node_u")).join(b, F.col("v") == F.col("node_v"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    pairs = materialise(pairs.select("u", "v"), "verify")
+    both = _with_values(pairs, _few(sets, _ends(pairs))).select("u", "v", "value_u", "value_v")
+    return materialise(both.mapInArrow(lambda x: _links(x, share), "u long, v long"), "links")
 
 
 def _blocks(share: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a block pair of a tile, from different components, whose bitmaps pass."""
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        cols = [table.column(c).to_pylist() for c in ("node", "root", "n", "bitmap", "block")]
-        rows = list(zip(*cols, strict=True))
-        left = [r for r in rows if r[4] == i]
-        right = [r for r in rows if r[4] == j]
-        out = set()
-        for x in left:
-            for y in right:
-                if x[1] != y[1] and (i != j or x[0] < y[0]) and 100 * min(x[2], y[2]) >= share * max(x[2], y[2]) and may_link(x[2], y[2], bound(x[3], x[2], y[3], y[2]), share):
-                    out.add((min(x[0], y[0]), max(x[0], y[0])))
-        return pa.table({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())})
+        node, root, n, block = (np.asarray(table.column(c)) for c in ("node", "root", "n", "block"))
+        bits = [np.frombuffer(x, np.uint8) for x in table.column("value").to_pylist()]
+        right = np.flatnonzero(block == j)
+        length = np.array([len(x) for x in bits])
+        shapes = {k: right[length[right] == k] for k in np.unique(length[right]).tolist()}
+        folded: dict[tuple[int, int], np.ndarray] = {}
+        us, vs = [], []
+        for x in np.flatnonzero(block == i).tolist():
+            for k, rows in shapes.items():
+                rows_ok = (root[rows] != root[x]) & (100 * np.minimum(n[rows], n[x]) >= share * np.maximum(n[rows], n[x]))
+                if i == j:
+                    rows_ok &= node[rows] > node[x]
+                if not rows_ok.any():
+                    continue
+                size = min(k, len(bits[x]))
+                if (k, size) not in folded:
+                    folded[k, size] = np.stack([fold(bits[r], size) for r in rows])
+                other, own, m = folded[k, size][rows_ok], fold(bits[x], size), n[rows[rows_ok]]
+                both = np.minimum(n[x] - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), m - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
+                hit = rows[rows_ok][100 * both >= share * (n[x] + m - both)]
+                us.append(np.minimum(node[x], node[hit]))
+                vs.append(np.maximum(node[x], node[hit]))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"u": pa.array(np.concatenate([empty, *us])), "v": pa.array(np.concatenate([empty, *vs]))})
 
     return run
 
@@ -341,6 +436,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    # Rows hold whole texts or sets: fewer of them at once keep Python workers small.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS))
+    try:
+        own, label = _components(spark, docs, share)
+    finally:
+        spark.conf.set(batch, usual)
+    out = own.join(label, F.col("node") == F.col("node_"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _components(spark, docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of each row and (node_, component) of each set, both written."""
     counted = materialise(docs.mapInArrow(_count, "doc_id long, node long, n long, chunk int, loads binary"), "counted")
     own = counted.where("chunk is null").select("doc_id", "node", "n")
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
@@ -352,46 +461,75 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ranges = int(max(16, loads.sum() * (100 - share) // 100 // ENTRIES))
 
     entries = docs.select("text").mapInArrow(lambda x: _prefixes(x, classes.value, ranges, share), "range int, entries binary")
-    tiles = materialise(entries.groupBy("range").applyInArrow(_tiles, "u long, v long, shared long, members binary"), "tiles")
-    pairs = materialise(tiles.where("u is not null").groupBy("u", "v").agg(F.sum("shared").alias("shared")), "pairs")
-    large = tiles.where("members is not null").select(F.xxhash64("members").alias("tile"), "members").dropDuplicates(["tile"])
+    buckets = ranges // 8 + 1
+    packed = entries.groupBy("range").applyInArrow(_tiles(buckets), "bucket int, kind int, blob binary")
+    tiles = materialise(packed.groupBy("bucket").applyInArrow(_unpacked, "u long, v long, shared long, large long, members binary"), "tiles")
+    pairs = tiles.where("u is not null").select("u", "v", "shared", "large")
+    large = tiles.where("members is not null").select(F.xxhash64("members").alias("tile"), "members")
     large = materialise(large.mapInArrow(_members, "tile long, node long, band long"), "large")
 
-    wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).unionByName(large.select(F.col("node").alias("u"))).distinct()
-    bits = wanted.select(F.expr(f"u & {FILTER_BITS - 1}").alias("bit")).repartition(F.expr("bit >> 16")).mapInArrow(_bits, "chunk int, bits binary")
-    flags = np.zeros((FILTER_BITS >> 16, 1 << 13), np.uint8)
-    for r in bits.collect():  # at most FILTER_BITS
-        flags[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    flags = spark.sparkContext.broadcast(zlib.compress(flags.tobytes(), 1))
-    sets = docs.mapInArrow(lambda x: _wanted(x, flags.value), "doc_id long, node long, n long, bitmap binary, grams binary")
-    first = nodes.select(F.col("node").alias("node_"), F.col("first"))
-    sets = sets.join(first, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    sets = materialise(sets.select("node", "n", "bitmap", "grams").dropDuplicates(["node"]), "sets")
-    bitmaps = sets.select("node", "n", "bitmap")
-
-    sides = pairs.select("u", F.struct("shared", F.col("v").alias("p")).alias("x")).unionByName(pairs.select(F.col("v").alias("u"), F.struct("shared", F.col("u").alias("p")).alias("x")))
-    best = sides.groupBy("u").agg(F.max("x").alias("x")).select(F.least("u", "x.p").alias("u"), F.greatest("u", "x.p").alias("v")).distinct()
-    links = _verify(best, bitmaps, sets, share)
+    def best_of(pairs):
+        """The pair of each node that shares the most tiles."""
+        sides = pairs.select("u", F.struct("shared", F.col("v").alias("p")).alias("x")).unionByName(pairs.select(F.col("v").alias("u"), F.struct("shared", F.col("u").alias("p")).alias("x")))
+        return sides.groupBy("u").agg(F.max("x").alias("x")).select(F.least("u", "x.p").alias("u"), F.greatest("u", "x.p").alias("v"), F.col("x.shared").alias("shared")).distinct()
+
+    # Large tiles are looked at again in full; of their pairs a node's best is enough for now.
+    pairs = materialise(pairs.where("large = 0").select("u", "v", "shared").unionByName(best_of(pairs.where("large = 1"))).distinct(), "pairs")
+
+    bitmaps = _of_nodes(docs, nodes, _ends(pairs).unionByName(large.select("node")), bitmap, "bitmaps")
+    near = _with_values(pairs, bitmaps).select("u", "v", "shared", "n_u", "n_v", "value_u", "value_v")
+    near = materialise(near.mapInArrow(lambda x: _passes(x, share), "u long, v long, shared long"), "near")
+    sets = _of_nodes(docs, nodes, _ends(near), np.ndarray.tobytes, "sets")
+
+    best = materialise(best_of(near).select("u", "v"), "best")
+    links = _verify(best, sets, share)
     roots = components(links)
 
     def rooted(df, col):
         r = roots.select(F.col("node").alias("node_"), F.col("root").alias("root_"))
         return df.join(r, F.col(col) == F.col("node_"), "left").withColumn(f"root_{col}", F.coalesce("root_", col)).drop("node_", "root_")
 
-    rest = rooted(rooted(pairs.select("u", "v"), "u"), "v").where("root_u <> root_v").select("u", "v")
-    rest = rest.join(best, ["u", "v"], "left_anti")
+    rest = rooted(rooted(near.select("u", "v"), "u"), "v").where("root_u <> root_v").select("u", "v")
+    links = links.unionByName(_verify(rest.join(best, ["u", "v"], "left_anti"), sets, share))
+
+    # Components that meet in a large tile are first compared by one set of each, with the one
+    # that stands in most tiles; a group of near copies grows together in a round or two.
+    often = large.groupBy("node").agg(F.count("*").alias("often"))
+    tested = near.select("u", "v")
+    roots = components(links)
+    for fetch in (False, True):
+        # First among the sets at hand, then also among those that take another pass to fetch.
+        pool = often if fetch else often.join(sets.select("node"), "node")
+        member = rooted(large.join(pool, "node"), "node")
+        one = member.groupBy("tile", "root_node").agg(F.max(F.struct("often", (-F.col("node")).alias("least"))).alias("x")).select("tile", "root_node", "x.often", (-F.col("x.least")).alias("node"))
+        hub = one.groupBy("tile").agg(F.max(F.struct("often", "root_node", "node")).alias("hub"))
+        star = one.join(hub, "tile").where("root_node <> hub.root_node").select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        star = materialise(star.join(tested, ["u", "v"], "left_anti").withColumn("shared", F.lit(0).cast("long")), "star")
+        if star.isEmpty():
+            continue
+        star = _with_values(star, _few(bitmaps, _ends(star))).select("u", "v", "shared", "n_u", "n_v", "value_u", "value_v")
+        star = materialise(star.mapInArrow(lambda x: _passes(x, share), "u long, v long, shared long").select("u", "v"), "star")
+        if star.isEmpty():
+            continue
+        if fetch:
+            more = _ends(star).distinct().join(sets.select("node"), "node", "left_anti")
+            sets = sets.unionByName(_of_nodes(docs, nodes, more, np.ndarray.tobytes, "sets"))
+        tested = materialise(tested.unionByName(star), "tested")
+        new = _verify(star, sets, share)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
+
     member = rooted(large, "node").withColumnRenamed("root_node", "root")
     open_tiles = member.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("tile", "k")
     member = member.join(open_tiles, "tile").withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    member = member.join(bitmaps, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    member = member.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "bitmap")
-    more = member.groupBy("tile", "i", "j").applyInArrow(_blocks(share), "u long, v long")
-    rest = materialise(rest.unionByName(more).distinct(), "rest")
-    links = links.unionByName(_verify(rest, bitmaps, sets, share))
+    member = member.join(_few(bitmaps, member), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    member = member.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "value")
+    more = member.groupBy("tile", "i", "j").applyInArrow(_blocks(share), "u long, v long").distinct()
+    more = materialise(more.join(tested, ["u", "v"], "left_anti"), "more")
+    links = links.unionByName(_verify(more, _of_nodes(docs, nodes, _ends(more), np.ndarray.tobytes, "sets"), share))
     roots = components(links)
 
     label = rooted(nodes, "node")
     least = label.groupBy("root_node").agg(F.min("first").alias("component"))
-    label = label.join(least, "root_node").select(F.col("node").alias("node_"), "component")
-    out = own.join(label, F.col("node") == F.col("node_"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return own, materialise(label.join(least, "root_node").select(F.col("node").alias("node_"), "component"), "label")
