@@ -5,7 +5,9 @@ common words (those that make up at least COMMON of its words) with one bin for
 document is compared with its language's by Jensen-Shannon distance (square root of the
 divergence, base 2). Too short a text is not judged by a histogram: guards give the least number
 of characters and of words. The limits fall with length, as the distance of a sample from its
-own source does: limit + slack / sqrt(count).
+own source does: limit + slack / sqrt(count). For words that alone would not do for short texts,
+since a text with no common word has a fixed distance. The word limit is therefore at most halfway
+between what samples of the reference itself reach at that number of words and that distance.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "mark", "other", "lette
 COMMON = 0.001
 #: A language has references from this many words on.
 LEAST_WORDS = 2_000
+#: Samples of a reference for its distances by length, and the quantile that they reach.
+SAMPLES = 400
+REACHED = 0.95
 #: Words held by a task before it passes counts on.
 HELD = 2_000_000
 
@@ -180,7 +185,21 @@ def distance(counts: np.ndarray, shares: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, kl / 2)))
 
 
-def _score(batches, refs: dict, rules: Rules):
+def word_limits(ref: dict, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths in words, and the highest word limit at each: halfway from the distance that samples
+    of the reference reach to that of a text without common words.
+
+    Where samples reach the latter, length cannot tell the two apart, and the limit is the latter.
+    """
+    shares = ref["shares"]
+    none = distance(np.eye(len(shares))[-1], shares)
+    rng = np.random.default_rng(0)
+    at = np.unique(np.round(max(rules.words_guard, 1) * 2 ** np.arange(0, 8, 0.5)).astype(np.int64))
+    reached = [np.quantile([distance(x, shares) for x in rng.multinomial(n, shares / shares.sum(), SAMPLES)], REACHED) for n in at]
+    return at, np.minimum((np.array(reached) + none) / 2, none)
+
+
+def _score(batches, refs: dict, limits: dict, rules: Rules):
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for b in batches:
         langs = b.column(1).to_pylist()
@@ -198,8 +217,9 @@ def _score(batches, refs: dict, rules: Rules):
                 bad = n < rules.min_words or 100 * int(base["n_repeat_words"][i]) > rules.most_repeat_percent * n
                 failed.append(bad)
                 own = refs.get(langs[lo + i])
-                best = None
-                for ref in [own] if own is not None else refs.values():
+                best = near = None
+                for lang in [langs[lo + i]] if own is not None else refs:
+                    ref = refs[lang]
                     c = distance(counts[i], ref["classes"]) if counts[i].sum() >= rules.chars_guard else None
                     w = None
                     if n >= rules.words_guard:
@@ -210,12 +230,12 @@ def _score(batches, refs: dict, rules: Rules):
                         where = np.where(ref["hashes"][where] == h, where, k) if k else np.zeros(n, np.int64)
                         w = distance(np.bincount(where, minlength=k + 1), ref["shares"])
                     if best is None or (c or 0) + (w or 0) < (best[0] or 0) + (best[1] or 0):
-                        best = (c, w)
+                        best, near = (c, w), lang
                 c, w = best or (None, None)
                 class_d.append(c)
                 word_d.append(w)
                 far = c is not None and c > rules.class_limit + rules.class_slack / counts[i].sum() ** 0.5
-                far |= w is not None and w > rules.word_limit + rules.word_slack / n**0.5
+                far |= w is not None and w > min(rules.word_limit + rules.word_slack / n**0.5, np.interp(np.log(n), *limits[near]))
                 kept.append(not bad and not far)
         arrays = [b.column(0)] + [pa.array(cols[k], pa.int64()) for k in fields] + [pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(class_d, pa.float64()), pa.array(word_d, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *fields, "base_failed", "kept", "class_distance", "word_distance"])
@@ -230,8 +250,9 @@ def judge(docs: DataFrame, refs: dict | None = None, rules: Rules = Rules(), id_
     none. Only the named columns are read.
     """
     refs = references(docs, lang_col, text_col) if refs is None else refs
+    limits = {lang: (np.log(at), most) for lang, (at, most) in ((k, word_limits(x, rules)) for k, x in refs.items())}
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{lang_col}` as string) lang", f"cast(`{text_col}` as string) text")
     return docs.mapInArrow(
-        lambda x: _score(x, refs, rules),
+        lambda x: _score(x, refs, limits, rules),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
     )

@@ -99,6 +99,27 @@ def test_op1_distance_and_references(spark):
     assert abs(divergence.distance(p, q) - jsd**0.5) < 1e-12
 
 
+def test_op1_short_texts_without_common_words(spark):
+    """From the guard on, texts of a language stay and texts without its common words go."""
+    rng = random.Random(6)
+    say = lambda own, n: " ".join(rng.choice(own) if rng.random() < 0.35 else "".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    common_words = {"en": [f"the{c}" for c in "abcdefghijklmnopqrst"], "de": [f"der{c}" for c in "abcdefghijklmnopqrst"]}
+    rows = [(f"{k}{i}", say(common_words[k], 400), k) for k in common_words for i in range(100)]
+    refs = divergence.references(spark.createDataFrame(rows, "id STRING, text STRING, lang STRING"))
+    sizes = [50, 60, 80, 100, 120] * 40
+    short = [(i, say(common_words["en"], n), "en") for i, n in enumerate(sizes)]
+    wrong = [(1000 + i, t, "de") for i, t, _ in short]
+    gibberish = [(2000 + i, say(["".join(rng.choices("abcdefghijklmnop", k=6))], n), "en") for i, n in enumerate(sizes)]
+    rules = divergence.Rules(chars_guard=10**9, most_repeat_percent=100)  # the word check alone
+    got = divergence.judge(spark.createDataFrame(short + wrong + gibberish, "doc_id LONG, text STRING, lang STRING"), refs, rules).where("kept").collect()
+    kept = collections.Counter(r["doc_id"] // 1000 for r in got)
+    assert kept[0] >= 190 and kept[1] == kept[2] == 0
+    for ref in refs.values():
+        at, most = divergence.word_limits(ref, divergence.Rules())
+        none = divergence.distance(np.eye(len(ref["shares"]))[-1], ref["shares"])
+        assert at[0] == divergence.Rules().words_guard and (most < none).all()
+
+
 # --- 2 ---------------------------------------------------------------------------------------
 
 
