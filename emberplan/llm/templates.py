@@ -6,8 +6,9 @@ stands for its own template and, from WILD_TOKENS tokens on, for those with one
 variable after the leading tokens. A template in at least min_docs documents recurs, and its
 lines are dropped from every document.
 
-A document that would lose more than half its words this way is a copy of another, not a page
-with boilerplate: it is left whole, for near-duplicate detection to decide.
+A document that would lose more than half its words this way may be a copy of another. It is left
+whole, for near-duplicate detection to decide, only if another such document is a near copy of it by
+the n-gram Jaccard join; a page of boilerplate loses its recurring lines like all others.
 
 Counts are by 64-bit hashes of templates. Every step sums partial counts of tasks; no leaf
 meets in one task. Lines of rare leaves are skipped by a bit table of fixed size, whose false hits
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, jaccard
 from .common import materialise, mix, slices, span_hashes, word_spans
 
 DEPTH = 4
@@ -33,6 +35,8 @@ LEAF_BITS = 1 << 26
 FIELD = np.uint64(0x2545F4914F6CDD1D)
 STEP = 0x9E3779B97F4A7C15
 HELD = 1_000_000
+#: The text before the cut of a row that lost more than most_loss of its words.
+ORIGINAL = "__original"
 
 
 def _powers(n: int) -> np.ndarray:
@@ -156,14 +160,13 @@ def recurring(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS,
 
 
 def _cut(x: Lines, off, data, hit_lines: np.ndarray, most_loss: float):
-    """By row: the text without the hit lines, dropped lines, whether it was left whole."""
+    """By row: the text without the hit lines, lines, dropped lines, whether over most_loss went."""
     n = len(off) - 1
     drop = np.zeros(len(x.n), bool)
     drop[hit_lines] = True
     words = np.bincount(x.row, x.n, n)
     lost = np.bincount(x.row[drop], x.n[drop], n)
-    whole = lost > most_loss * words
-    drop &= ~whole[x.row]
+    over = lost > most_loss * words
     raw = data.tobytes()
     by_row = np.searchsorted(x.row, np.arange(n + 1))
     texts, lines = [], []
@@ -176,13 +179,13 @@ def _cut(x: Lines, off, data, hit_lines: np.ndarray, most_loss: float):
             texts.append(kept[:-1] if drop[b - 1] and kept.endswith(b"\n") else kept)
         else:
             texts.append(raw[off[i] : off[i + 1]])
-    return texts, lines, np.bincount(x.row[drop], minlength=n).tolist(), whole.tolist()
+    return texts, lines, np.bincount(x.row[drop], minlength=n).tolist(), over.tolist()
 
 
 def _drop(batches, templates: np.ndarray, text_at: int, most_loss: float, min_tokens: int, schema):
-    """Rows with the text cut and n_lines, n_dropped, left_whole behind."""
+    """Rows with the text cut and n_lines, n_dropped, left_whole and ORIGINAL behind."""
     for b in batches:
-        texts, lines, dropped, whole = [], [], [], []
+        texts, lines, dropped, over = [], [], [], []
         column = b.column(text_at)
         for _, off, data in slices(column):
             x = Lines(off, data)
@@ -190,16 +193,16 @@ def _drop(batches, templates: np.ndarray, text_at: int, most_loss: float, min_to
             at = np.searchsorted(templates, h)
             at[at == len(templates)] = 0
             hit = line[templates[at] == h] if len(templates) else line[:0]
-            for col, new in zip((texts, lines, dropped, whole), _cut(x, off, data, hit, most_loss), strict=True):
+            for col, new in zip((texts, lines, dropped, over), _cut(x, off, data, hit, most_loss), strict=True):
                 col += new
-        yield _batch(b, column, text_at, texts, lines, dropped, whole, schema)
+        yield _batch(b, column, text_at, texts, lines, dropped, over, schema)
 
 
-def _batch(b, column, text_at, texts, lines, dropped, whole, schema):
+def _batch(b, column, text_at, texts, lines, dropped, over, schema):
     valid = column.is_valid().to_pylist()
-    cols = list(b.columns)[: len(schema) - 3]
+    cols = list(b.columns)[: len(schema) - 4]
     cols[text_at] = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.binary()).cast(pa.string())
-    more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(whole, pa.bool_())]
+    more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(over, pa.bool_()), pc.if_else(pa.array(over, pa.bool_()), column.cast(pa.string()), pa.scalar(None, pa.string()))]
     return pa.RecordBatch.from_arrays([*cols, *more], names=schema)
 
 
@@ -216,15 +219,32 @@ def _hashes(batches, min_tokens: int):
 
 def _drop_listed(batches, text_at: int, most_loss: float, schema):
     for b in batches:
-        texts, lines, dropped, whole = [], [], [], []
+        texts, lines, dropped, over = [], [], [], []
         column, listed = b.column(text_at), b.column(b.num_columns - 1).to_pylist()
         for lo, off, data in slices(column):
             x = Lines(off, data)
             first = np.searchsorted(x.row, np.arange(len(off) - 1))
             hit = np.array([first[i] + j for i in range(len(off) - 1) for j in listed[lo + i] or ()], np.int64)
-            for col, new in zip((texts, lines, dropped, whole), _cut(x, off, data, hit, most_loss), strict=True):
+            for col, new in zip((texts, lines, dropped, over), _cut(x, off, data, hit, most_loss), strict=True):
                 col += new
-        yield _batch(b, column, text_at, texts, lines, dropped, whole, schema)
+        yield _batch(b, column, text_at, texts, lines, dropped, over, schema)
+
+
+def _copies_whole(cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of cut, those with an original and a near copy among such rows left whole."""
+    cut = materialise(cut, "cut")
+    over = cut.where(f"`{ORIGINAL}` is not null").withColumn("__key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{ORIGINAL}`")))
+    rest = cut.where(f"`{ORIGINAL}` is null").drop(ORIGINAL)
+    if over.isEmpty():
+        return rest
+    groups = materialise(jaccard.similarity_components(over.select(F.col("__key").alias("doc_id"), F.col(ORIGINAL).alias("text"))).select("doc_id", "component_id"), "groups")
+    copied = groups.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id")
+    keys = groups.join(copied, "component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    is_copy = F.col("__copy").isNotNull()
+    over = over.join(keys, F.col("__key") == F.col("__copy"), "left").withColumns(
+        {text_col: F.when(is_copy, F.col(ORIGINAL)).otherwise(F.col(f"`{text_col}`")), "n_dropped": F.when(is_copy, 0).otherwise(F.col("n_dropped")).cast("long"), "left_whole": is_copy}
+    )
+    return rest.unionByName(over.select(*[f"`{c}`" for c in rest.columns]))
 
 
 def drop_templates(
@@ -237,7 +257,8 @@ def drop_templates(
     broadcast_entries: int | None = None,
 ) -> DataFrame:
     """Every row of docs with the lines of recurring templates cut from its text, and n_lines,
-    n_dropped, left_whole (it would have lost more than most_loss of its words).
+    n_dropped, left_whole (it would have lost more than most_loss of its words, and so would a near
+    copy of it).
 
     Null texts stay null, empty ones empty; both have no line. A template counts once for a
     document however often it stands there; repeated rows are documents of their own. An empty
@@ -248,17 +269,17 @@ def drop_templates(
     spark = docs.sparkSession
     ours = ["n_lines", "n_dropped", "left_whole"]
     docs = docs.drop(*ours).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    names, text_at = [*docs.columns, *ours], docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in zip(ours, (T.LongType(), T.LongType(), T.BooleanType()), strict=True)]])
+    names, text_at = [*docs.columns, *ours, ORIGINAL], docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in zip(ours, (T.LongType(), T.LongType(), T.BooleanType()), strict=True)], T.StructField(ORIGINAL, T.StringType())])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     found = recurring(docs, text_col, min_docs, min_tokens)
     most = common.BROADCAST_ENTRIES if broadcast_entries is None else broadcast_entries
     if found.count() <= most:
         table = np.sort(np.array([r["hash"] for r in found.toLocalIterator()], np.int64).view(np.uint64))
         table = spark.sparkContext.broadcast(table)
-        return docs.mapInArrow(lambda x: _drop(x, table.value, text_at, most_loss, min_tokens, names), schema)
+        return _copies_whole(docs.mapInArrow(lambda x: _drop(x, table.value, text_at, most_loss, min_tokens, names), schema), id_col, text_col)
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     lines = docs.select(key.alias("id"), text_col).mapInArrow(lambda x: _hashes(x, min_tokens), "id long, line long, hash long").distinct()
     hits = lines.join(found, "hash").groupBy("id").agg(F.collect_set("line").alias("__lines"))  # at most a text's lines
     listed = docs.withColumn("__key", key).join(hits, F.col("__key") == F.col("id"), "left").select(*[f"`{c}`" for c in docs.columns], "__lines")
-    return listed.mapInArrow(lambda x: _drop_listed(x, text_at, most_loss, names), schema)
+    return _copies_whole(listed.mapInArrow(lambda x: _drop_listed(x, text_at, most_loss, names), schema), id_col, text_col)

@@ -422,6 +422,20 @@ def test_op9(spark, texts):
     assert templates.drop_templates(frame(spark, t).limit(0)).count() == 0
 
 
+def test_op9_leaves_only_near_copies_whole(spark):
+    """Boilerplate over half of a short page goes; a page that has near copies stays for dedup."""
+    rng = random.Random(12)
+    letters = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    footer = "all rights of this site are reserved by its owners " * 4
+    pages = [f"{letters(12)}\n{footer}" for _ in range(8)]
+    copy = f"{letters(9)}\n{letters(11)}"
+    t = pages + [copy] * 5 + [copy + " more"]
+    got = {r["doc_id"]: r for r in templates.drop_templates(frame(spark, t)).collect()}
+    assert all(got[i]["text"] == x.split("\n")[0] and got[i]["n_dropped"] == 1 and not got[i]["left_whole"] for i, x in enumerate(pages))
+    assert all(got[i]["text"] == copy and got[i]["n_dropped"] == 0 and got[i]["left_whole"] for i in range(8, 13))
+    assert len(got) == len(t)
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 
