@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -24,23 +26,68 @@ LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], n
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, local mode) a temporary folder is used.
+    Only a local master may go without that setting; it then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="emberplan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/emberplan-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a while; those that this Spark doesn't know are left out."""
+    usual = {}
+    for k, v in values.items():
+        with contextlib.suppress(Exception):
+            usual[k] = spark.conf.get(k, None)
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in usual.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Arrow batches of whole texts: few rows and bytes at once keep Python workers and executors small.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession):
+    return settings(spark, SMALL_BATCHES)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Texts go to Python in small batches, and the shuffles of the write go once it has ended.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
+    with settings(spark, SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A function for mapInArrow that gives memory back when its task is over: workers live on."""
+
+    def ran(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(Exception):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return ran
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalising hash of uint64 values."""
     with np.errstate(over="ignore"):

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
+
+#: Nodes that a task contracts at once.
+HELD = 300_000
 
 
 def _local(batches):
@@ -31,23 +34,25 @@ def _local(batches):
             u, v = root(u), root(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-        if len(parent) > 1_000_000:
+        if len(parent) > HELD:
             yield out()
             parent.clear()
     yield out()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (u long, v long); root is the least node of its
     component. Loops and repeated edges do no harm; null ends are left out.
 
-    Large-star and small-star rounds: each hangs a node's neighbours on its least neighbour,
-    so paths shrink by halves; stars of any size are joins and minima, never lists.
+    Tasks first contract what they hold, in as few tasks as HELD allows. Then large-star and
+    small-star rounds: each hangs a node's neighbours on its least neighbour, so paths shrink by
+    halves until nothing changes; stars of any size are joins and minima, never lists.
     """
-    e = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    e = materialise(e.mapInArrow(_local, "u long, v long"), "edges")
+    e = materialise(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
+    tasks = -(-e.count() // (HELD // 2)) or 1
+    e = materialise(e.repartition(tasks).mapInArrow(tidy(_local), "u long, v long"), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while tasks > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -58,7 +63,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -1,30 +1,33 @@
 """N-gram Jaccard join: all documents whose sets of 5-word shingles have a Jaccard
 similarity of at least 75/100, as connected components.
 
-1. A pass hashes every text to its set. Equal sets are one node from here on. The pass also
-   counts shingles in 2^20 buckets; the buckets' loads put frequent shingles last in a global
-   order, a table of fixed size.
-2. Two linked sets share a shingle among the first floor(n/4)+1 of each in that order, whatever
-   the order is. These prefixes go, as packed arrays, to tiles of equal shingles; in a tile only
-   sets in the same or adjacent size bands (powers of 4/3) can link. Tiles of up to 4 sets give
-   their pairs. Larger ones are kept; there each set is paired with the one of its band and of the
-   band below that stands in most tiles, and keeps the pair that shares most tiles.
-3. Each set is compared with the partner it shares most tiles with, then the other pairs. A pair goes through hashed
-   bitmaps, as long as the smaller set's band asks: a bit of one that the other lacks is an
-   element not shared, so bit counts bound the overlap from above. What passes is decided by
-   intersecting sorted arrays.
-4. Components that meet in a kept tile are compared by one set of each, with the one that stands
-   in most tiles; what is still apart there
-   is compared in full, in blocks, by the same two tests. So every pair in a tile is decided or
-   joined already, and a tile of thousands of near copies costs comparisons in proportion
-   to its size.
-
-Shingles are compared by 64-bit hashes.
+1. A pass hashes every text to its set. Equal sets are one node from here on. A linked set shares
+   at least share/100 of its shingles with its partner. So of the shingles of one half of the hash
+   space (all of them for small sets) at most n/4 may be its own alone. The pass ships short forms
+   of these to ranges, which tell each node how many of its shingles others have too. What has
+   too few links with nothing; only the rest, the candidates, goes on.
+2. A second pass keeps the candidates' sets, packed in blocks of fixed size. Each block sends its
+   distinct shingles with counts to ranges and gets their document frequencies back.
+3. Two linked sets share a shingle among the first floor(n/4)+1 of each in ascending order of
+   frequency. These prefixes, without shingles that no other has, go to tiles of equal shingles;
+   a shingle of many sets has several tiles, salted by node. In a tile only sets in the same or
+   adjacent size bands (powers of 4/3) can link. Tiles of up to 4 sets give their pairs. Larger ones are
+   kept; there each set is paired with the one of its band and of the band below that stands in most
+   tiles, and keeps the pair that shares most tiles.
+4. Each set is compared with the partner it shares most tiles with, then the other pairs. A pair goes
+   through hashed bitmaps, as long as the smaller set's band asks: a bit of one that the other
+   lacks is an element not shared, so bit counts bound the overlap from above. What passes is
+   decided by intersecting sorted arrays.
+5. Components that meet in a kept tile are compared by one set of each, with the one that stands
+   in most tiles; what is still apart there is compared in full, in blocks, by the same two
+   tests. So every pair in a tile is decided or joined already, and a tile of thousands of
+   near copies costs comparisons in proportion to its size.
+
+Shingles are compared by 64-bit hashes; short forms only ever add candidates.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -32,22 +35,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, mix, slices, span_hashes, window_hashes, word_spans
+from .common import BROADCAST_ENTRIES, LOWER, materialise, mix, slices, small_batches, span_hashes, tidy, window_hashes, word_spans
 from .components import components
 
 WORDS, SHARE = 5, 75
-LOADS = 1 << 20
-CHUNK = 1 << 10
-#: Bits of the filter that tells which sets are wanted again (8 MB at any input size).
-FILTER_BITS = 1 << 26
-#: Prefix entries that a reducer's tile range holds on average.
+#: Sets of fewer shingles count them all in the first pass, larger ones those of one half of the hash space.
+HALVED = 96
+#: Bytes of text for each range of the first pass, which then holds some 200,000 entries.
+TEXT_A_RANGE = 3_000_000
+#: Entries of a range of the later steps on average, and entries that a task holds before it passes them on.
 ENTRIES = 200_000
-#: Tiles of up to so many sets give all pairs at once.
-SMALL = 4
-#: Rows in an Arrow batch while the join runs.
-BATCH_ROWS = 1000
-#: Sets in a block of a large tile.
-BLOCK = 256
+HELD = 1_000_000
+#: Bits of a node that name it in the first pass; those below the flag of a counted shingle.
+TAG_BITS = 39
+#: Shingles in a block of packed sets.
+BLOCK_ENTRIES = 500_000
+#: The filter that tells which sets are wanted again has 16 bits for each, within these bounds.
+FILTER_BITS = (1 << 20, 1 << 28)
+#: Tiles of up to so many sets give all pairs at once, and a tile holds up to so many before it is salted.
+SMALL, TILE = 4, 4096
+#: Rounds in which components of a large tile are compared by one set of each, before all are; sets in a block of it.
+STAR_ROUNDS, BLOCK = 3, 256
 
 
 def sets_of(text: pa.Array, words: int = WORDS):
@@ -75,6 +83,11 @@ def band(n: np.ndarray, share: int = SHARE) -> np.ndarray:
     return np.floor(np.log(n) / np.log(100 / share) + 1e-9).astype(np.int64)
 
 
+def spare(n, share: int):
+    """Elements that a set of n may have and its partner lack."""
+    return n - -(-share * n // 100)
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Four times as many bits as elements or more, a power of 2 from 256 to 65536."""
     bits = min(65536, max(256, 1 << int(4 * len(s) - 1).bit_length()))
@@ -99,263 +112,375 @@ def bound(a: bytes, n: int, b: bytes, m: int) -> int:
     return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
-def _add(loads: np.ndarray, grams: list[np.ndarray]) -> None:
-    at, n = np.unique((np.concatenate(grams) & np.uint64(LOADS - 1)).astype(np.int64), return_counts=True)
-    loads[at] += n.astype(np.uint32)
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
 
 
-def _count(batches):
-    """A row (doc, set, n) for each document, then the task's loads by bucket."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("loads", pa.binary())])
-    loads = np.zeros(LOADS, np.uint32)
-    for b in batches:
-        ids, sizes, held = [], [], 0
-        grams = []
-        for s in sets_of(b.column(1)):
-            ids.append(set_id(s))
-            sizes.append(len(s))
-            grams.append(s)
-            held += len(s)
-            if held > 1 << 20:
-                _add(loads, grams)
-                grams, held = [], 0
-        if held:
-            _add(loads, grams)
-        k = len(ids)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-    rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(loads.reshape(-1, CHUNK)) if x.any()]
-    k = len(rows)
-    yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 3, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
-
-
-def _sum_chunks(batches):
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
-            sums[c] = sums[c] + x if c in sums else x
-    rows = sorted(sums.items())
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["chunk", "loads"])
+def _cuts(where: np.ndarray):
+    """The order by `where`, and (value, start, end) of each part of it."""
+    order = np.argsort(where, kind="stable")
+    first, size = _runs(where[order])
+    return order, list(zip(where[order][first].tolist(), first.tolist(), (first + size).tolist(), strict=True))
 
 
-def _classes(loads: np.ndarray) -> np.ndarray:
-    """0 for buckets of ordinary load, then one more for each factor of sqrt(2)."""
-    mean = max(loads.mean(), 1.0)
-    return np.clip(np.floor(2 * np.log2(np.maximum(loads, 1) / mean)), 0, 60).astype(np.uint8)
+def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return (keys >> np.uint64(1) & np.uint64(0x7FFFFFFF)) % np.uint64(ranges)
 
 
-def prefix(s: np.ndarray, classes: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """The first n - ceil(share n / 100) + 1 elements by (class, hash)."""
-    n = len(s)
-    k = n - -(-share * n // 100) + 1
-    rank = (classes[(s & np.uint64(LOADS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-    return s[np.argpartition(rank, k - 1)[:k]] if k < n else s
+# --- first pass: who shares enough ------------------------------------------------------------
 
+#: Kinds of rows on the way to a range: entries (short form and tag), counts (tag and number), documents.
+ENTRY, COUNT, DOC = 0, 1, 2
 
-def _prefixes(batches, classes, ranges: int, share: int):
-    """Packed (shingle, node, band) arrays by range of the tiles."""
-    held, count, seen = [], 0, set()
+
+def _first_pass(batches, ranges: int, share: int):
+    """(range, kind, blob): short forms of shingles with their node's tag, one mark instead for a
+    shingle of several nodes at hand, what those counted, and each document's node and sizes."""
+    schema = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+    docs, parts, sizes, tags, seen, held = [], [], [], [], set(), 0
+    mask = (1 << TAG_BITS) - 1
 
     def flush():
-        key = np.concatenate([h[0] for h in held])
-        node = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
-        bands = np.repeat(band(np.array([h[2] for h in held]), share).astype(np.uint8), [len(h[0]) for h in held])
-        where = (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(ranges)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        where, key, node, bands = where[order], key[order], node[order], bands[order]
-        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        ends = np.append(cuts[1:], len(where))
-        blobs = [key[a:b].tobytes() + node[a:b].tobytes() + bands[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(where[cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["range", "entries"])
+        rows = []
+        if parts:
+            key = np.concatenate(parts)
+            lengths = [len(x) for x in parts]
+            tag = np.repeat(np.array(tags, np.uint64), lengths)
+            counted = np.repeat(np.array(sizes) < HALVED, lengths) | (key & np.uint64(1) == 0)
+            order = np.argsort(key)
+            key, tag, counted = key[order], tag[order], counted[order]
+            first, size = _runs(key)
+            own, n = np.unique(tag[np.repeat(size > 1, size) & counted], return_counts=True)
+            if len(own):
+                rows.append((int(own[0]) % ranges, COUNT, own.tobytes() + n.astype(np.uint32).tobytes()))
+            key, value = key[first], np.where(size > 1, np.uint64(0), tag[first] | counted[first].astype(np.uint64) << np.uint64(TAG_BITS))
+            order, cuts = _cuts(_range(key, ranges))
+            short, value = (key[order] >> np.uint64(32)).astype(np.uint32), value[order]
+            low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint8)
+            rows += [(r, ENTRY, short[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes()) for r, a, b in cuts]
+        if docs:
+            d = np.array(docs, np.int64)
+            rows.append((int(d[0, 2]) % ranges, DOC, d.tobytes()))
+        for x in (docs, parts, sizes, tags):
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     for b in batches:
-        for s in sets_of(b.column(0)):
-            if not len(s):
-                continue
-            node = set_id(s)
-            if node in seen:
-                continue
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.add(node)
-            p = prefix(s, classes, share)
-            held.append((p, node, len(s)))
-            count += len(p)
-            if count >= 1_000_000:
+        for doc, s in zip(b.column(0).to_pylist(), sets_of(b.column(1)), strict=True):
+            n = len(s)
+            half = s if n < HALVED else s[s & np.uint64(1) == 0]
+            node = set_id(s) if n else 0
+            docs.append((0 if doc is None else doc, doc is not None, node, n, len(half)))
+            if n and node not in seen:
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(node)
+                # A partner of a set that counts all of its shingles shows all of its own.
+                parts.append(s if share * n <= 100 * (HALVED - 1) else half)
+                sizes.append(n)
+                tags.append(node & mask or 1)
+                held += len(parts[-1])
+            if held >= HELD or len(docs) >= 100_000:
                 yield flush()
-                count = 0
-    if held:
+                held = 0
+    if docs:
         yield flush()
 
 
-def _tiles(buckets: int):
+def _shared(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        """The pairs of a range and its tiles of more than SMALL sets, packed by buckets.
-
-        Rows are (bucket, kind, blob): kind 0 holds u, v, shared tiles and whether the pair is
-        only a large tile's (u < v); kind 1 a large tile's sets and bands.
-        """
-        keys, nodes, bands = [], [], []
-        for x in table.column("entries").to_pylist():
-            k = len(x) // 17
-            keys.append(np.frombuffer(x, np.uint64, k))
-            nodes.append(np.frombuffer(x, np.int64, k, 8 * k))
-            bands.append(np.frombuffer(x, np.uint8, k, 16 * k))
-        key, node, bands = np.concatenate(keys), np.concatenate(nodes), np.concatenate(bands)
-        order = np.lexsort((node, key))
-        key, node, bands = key[order], node[order], bands[order]
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node, bands = key[keep], node[keep], bands[keep].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        pairs = []
-        for k in range(2, SMALL + 1):
-            at = first[size == k][:, None] + np.arange(k)
-            for i in range(k):
-                for j in range(i + 1, k):
-                    ok = np.abs(bands[at[:, i]] - bands[at[:, j]]) <= 1
-                    pairs.append(np.stack([node[at[ok, i]], node[at[ok, j]], np.ones(ok.sum(), np.int64), np.zeros(ok.sum(), np.int64)], 1))
-        # How often a set stands in large tiles here: what others were copied from does most.
-        which, at = np.unique(node, return_inverse=True)
-        often = np.bincount(at, np.repeat(size > SMALL, size))[at].astype(np.int64)
-        tiles: dict[bytes, list] = {}
-        for a, k in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            name = hashlib.blake2b(node[a : a + k].tobytes(), digest_size=16).digest()
-            tiles.setdefault(name, [a, k, 0])[2] += 1
-        rows = []
-        for name, (a, k, times) in tiles.items():
-            members, own = node[a : a + k], bands[a : a + k]
-            rows.append((int.from_bytes(name[:4], "little") % buckets, 1, np.stack([members, own], 1).tobytes()))
-            first_of = np.lexsort((members, -often[a : a + k], own))
-            levels, start = np.unique(own[first_of], return_index=True)
-            hub = first_of[start]
-            for d in (0, 1):
-                at = np.searchsorted(levels, own - d)
-                at[at == len(levels)] = 0
-                partner = hub[at]
-                ok = (levels[at] == own - d) & (partner != np.arange(k))
-                u, v = members[ok], members[partner[ok]]
-                pairs.append(np.stack([np.minimum(u, v), np.maximum(u, v), np.full(len(u), times), np.ones(len(u), np.int64)], 1))
-        if pairs:
-            p = _summed(np.concatenate(pairs))
-            where = (mix(p[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            p, where = p[order], where[order]
-            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else where
-            rows += [(int(where[x]), 0, p[x:y].tobytes()) for x, y in zip(cut, [*cut[1:], len(p)])]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+        """Of a range's entries, how many of each tag's are others' too, packed by bucket; documents pass."""
+        short, value, tags, counts, docs = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros((0, 5), np.int64)]
+        for kind, x in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            if kind == ENTRY:
+                k = len(x) // 9
+                short.append(np.frombuffer(x, np.uint32, k))
+                value.append(np.frombuffer(x, np.uint32, k, 4 * k).astype(np.uint64) | np.frombuffer(x, np.uint8, k, 8 * k).astype(np.uint64) << np.uint64(32))
+            elif kind == COUNT:
+                k = len(x) // 12
+                tags.append(np.frombuffer(x, np.uint64, k))
+                counts.append(np.frombuffer(x, np.uint32, k, 8 * k))
+            else:
+                docs.append(np.frombuffer(x, np.int64).reshape(-1, 5))
+        if short:
+            short, value = np.concatenate(short), np.concatenate(value)
+            order = np.lexsort((value, short))
+            short, value = short[order], value[order]
+            first, size = _runs(short)
+            shared = np.repeat(value[first] != value[first + size - 1], size)
+            once = np.concatenate([[True], (short[1:] != short[:-1]) | (value[1:] != value[:-1])])
+            counted = value >> np.uint64(TAG_BITS) == 1
+            found, n = np.unique(value[shared & once & counted] & np.uint64((1 << TAG_BITS) - 1), return_counts=True)
+            tags.append(found)
+            counts.append(n.astype(np.uint32))
+        tag, count = np.concatenate(tags), np.concatenate(counts)
+        order, cuts = _cuts(tag % np.uint64(buckets))
+        tag, count = tag[order], count[order]
+        blobs = [tag[a:b].tobytes() + count[a:b].tobytes() for _, a, b in cuts]
+        d, m = np.concatenate(docs), len(cuts)
+        ids = pa.array(d[:, 0], mask=d[:, 1] == 0)
+        cols = [pa.concat_arrays([x, pa.nulls(m, pa.int64())]) for x in (ids, *(pa.array(d[:, i]) for i in (2, 3, 4)))]
+        more = [pa.concat_arrays([pa.nulls(len(d), pa.int32()), pa.array([c[0] for c in cuts], pa.int32())]), pa.concat_arrays([pa.nulls(len(d), pa.binary()), pa.array(blobs, pa.binary())])]
+        return pa.table([*cols, *more], names=["doc_id", "node", "n", "half", "bucket", "counts"])
 
     return run
 
 
-def _summed(p: np.ndarray) -> np.ndarray:
-    """Rows (u, v, shared, large) with u, v once: shared is summed, large holds if it does for all."""
-    p = p[np.lexsort((p[:, 1], p[:, 0]))]
-    cut = np.flatnonzero(np.concatenate([[True], (p[1:, 0] != p[:-1, 0]) | (p[1:, 1] != p[:-1, 1])])) if len(p) else np.zeros(0, np.int64)
-    if not len(cut):
-        return p
-    return np.stack([p[cut, 0], p[cut, 1], np.add.reduceat(p[:, 2], cut), np.minimum.reduceat(p[:, 3], cut)], 1)
+def _by_tag(table: pa.Table) -> pa.Table:
+    tags, counts = [], []
+    for x in table.column("counts").to_pylist():
+        k = len(x) // 12
+        tags.append(np.frombuffer(x, np.uint64, k))
+        counts.append(np.frombuffer(x, np.uint32, k, 8 * k))
+    tag, at = np.unique(np.concatenate(tags), return_inverse=True)
+    return pa.table({"tag": pa.array(tag.astype(np.int64)), "shared": pa.array(np.bincount(at, np.concatenate(counts), len(tag)).astype(np.int64))})
 
 
-def _unpacked(table: pa.Table) -> pa.Table:
-    """A bucket's pairs and large tiles, each once."""
-    pairs, lists = [np.zeros((0, 4), np.int64)], {}
-    for kind, x in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        if kind:
-            lists[hashlib.blake2b(x, digest_size=16).digest()] = x
-        else:
-            pairs.append(np.frombuffer(x, np.int64).reshape(-1, 4))
-    p, m = _summed(np.concatenate(pairs)), len(lists)
-    cols = [pa.concat_arrays([pa.array(p[:, i]), pa.nulls(m, pa.int64())]) for i in range(4)]
-    return pa.table([*cols, pa.concat_arrays([pa.nulls(len(p), pa.binary()), pa.array(list(lists.values()), pa.binary())])], names=["u", "v", "shared", "large", "members"])
+# --- second pass: the candidates' sets --------------------------------------------------------
 
 
-def _members(batches):
-    for b in batches:
-        tile, node, bands = [], [], []
-        for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(x, np.int64).reshape(-1, 2)
-            tile.append(np.full(len(x), t))
-            node.append(x[:, 0])
-            bands.append(x[:, 1])
-        if tile:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (tile, node, bands)], names=["tile", "node", "band"])
+def _place(node: np.ndarray, doc: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(node.view(np.uint64) ^ mix(doc.view(np.uint64))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _longs(column) -> np.ndarray:
+    """A long column, nulls as -1."""
+    return np.asarray(column.fill_null(-1)).astype(np.int64)
 
 
-def _bits(batches):
+def _bits(batches, bits: int):
     chunks: dict[int, np.ndarray] = {}
     for b in batches:
-        x = np.asarray(b.column(0)).astype(np.int64)
+        x = _place(_longs(b.column(0)), _longs(b.column(1)), bits)
         for c in np.unique(x >> 16).tolist():
-            bits = chunks.setdefault(c, np.zeros(1 << 16, bool))
-            bits[x[x >> 16 == c] & 0xFFFF] = True
+            chunk = chunks.setdefault(c, np.zeros(1 << 16, bool))
+            chunk[x[x >> 16 == c] & 0xFFFF] = True
     rows = sorted(chunks.items())
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([zlib.compress(np.packbits(r[1]).tobytes(), 1) for r in rows], pa.binary())], names=["chunk", "bits"])
 
 
-def _wanted(batches, packed: bytes, value):
-    """(doc, node, n, value of the set) of the documents whose node the filter may hold."""
-    flags = zlib.decompress(packed)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("value", pa.binary())])
+def _or_bits(table: pa.Table) -> pa.Table:
+    out = np.zeros(1 << 13, np.uint8)
+    for x in table.column("bits").to_pylist():
+        out |= np.frombuffer(zlib.decompress(x), np.uint8)
+    return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+def _filter_of(wanted: DataFrame, count: int):
+    """A bit table, at most FILTER_BITS, of the (node, doc) of wanted."""
+    bits = min(max(1 << (16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    chunks = wanted.mapInArrow(tidy(lambda x: _bits(x, bits)), "chunk int, bits binary").groupBy("chunk").applyInArrow(_or_bits, "chunk int, bits binary")
+    flags = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for r in chunks.toLocalIterator():
+        flags[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return flags.tobytes()
+
+
+def _wanted(batches, flags: bytes):
+    """(doc, node, n, set) of the documents that the filter may hold."""
+    flags = np.frombuffer(flags, np.uint8)
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("value", pa.binary())])
+    seen: set[int] = set()
     for b in batches:
         rows, held = [], 0
         for doc, s in zip(b.column(0).to_pylist(), sets_of(b.column(1)), strict=True):
             if not len(s):
                 continue
             node = set_id(s)
-            bit = node & (FILTER_BITS - 1)
-            if flags[bit >> 3] >> (7 - (bit & 7)) & 1:
-                rows.append((doc, node, len(s), value(s)))
+            bit = int(_place(np.array([node]), np.array([-1 if doc is None else doc]), 8 * len(flags))[0])
+            if flags[bit >> 3] >> (7 - (bit & 7)) & 1 and node not in seen:
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(node)
+                rows.append((doc, node, s.tobytes()))
                 held += len(s)
-            if held > 1 << 20:
-                yield batch(rows)
+            if held > 1 << 19:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows, held = [], 0
         if rows:
-            yield batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _filter_of(nodes: DataFrame):
-    """A broadcast bit table of fixed size that holds every node of `nodes`, or None if there is none."""
-    spark = nodes.sparkSession
-    bits = nodes.select(F.expr(f"node & {FILTER_BITS - 1}").alias("bit")).repartition(F.expr("bit >> 16")).mapInArrow(_bits, "chunk int, bits binary")
-    flags = np.zeros((FILTER_BITS >> 16, 1 << 13), np.uint8)
-    for r in bits.collect():  # at most FILTER_BITS
-        flags[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return spark.sparkContext.broadcast(zlib.compress(flags.tobytes(), 1)) if flags.any() else None
+def _packed(batches):
+    """(block, nodes, sizes, sets) of some BLOCK_ENTRIES shingles each; their ids hold once they are written."""
+    from pyspark import TaskContext
 
+    block, nodes, sets, held = TaskContext.get().partitionId() << 32, [], [], 0
 
-def _of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, value, name: str) -> DataFrame:
-    """(node, n, value) of the wanted nodes (column node), from another pass over the texts.
+    def out():
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (np.array(nodes, np.int64).tobytes(), sizes.tobytes(), b"".join(sets))]], names=["block", "nodes", "sizes", "sets"])
 
-    A filter of fixed size tells tasks which sets to give; a join with each node's first
-    document then leaves one of each, and the wanted only.
-    """
-    wanted = wanted.distinct()
-    flags = _filter_of(wanted)
-    if flags is None:
-        return docs.sparkSession.createDataFrame([], "node long, n long, value binary")
-    found = docs.mapInArrow(lambda x: _wanted(x, flags.value, value), "doc_id long, node long, n long, value binary")
-    first = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("node_"), "first")
-    found = found.join(first, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    return materialise(found.select("node", "n", "value").dropDuplicates(["node"]), name)
-
-
-def _kept(batches, packed: bytes):
-    flags = np.frombuffer(zlib.decompress(packed), np.uint8)
     for b in batches:
-        bit = np.asarray(b.column(0)) & (FILTER_BITS - 1)
-        yield b.filter(pa.array((flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
+        for node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            nodes.append(node)
+            sets.append(s)
+            held += len(s) // 8
+            if held >= BLOCK_ENTRIES:
+                yield out()
+                block, nodes, sets, held = block + 1, [], [], 0
+    if nodes:
+        yield out()
 
 
-def _few(values: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of values that the nodes may need: the rest is not shuffled for their join."""
-    flags = _filter_of(nodes)
-    return values.limit(0) if flags is None else values.mapInArrow(lambda x: _kept(x, flags.value), values.schema)
+def _block(nodes: bytes, sizes: bytes, sets: bytes):
+    return np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(sets, np.uint64)
+
+
+def _values(batches, value):
+    """(node, n, value of the set) of each set of the blocks."""
+    for b in batches:
+        for row in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+            nodes, sizes, sets = _block(*row)
+            ends = np.cumsum(sizes)
+            for lo in range(0, len(nodes), 256):
+                hi = min(lo + 256, len(nodes))
+                made = pa.array([value(sets[e - n : e]) for e, n in zip(ends[lo:hi].tolist(), sizes[lo:hi].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[lo:hi]), pa.array(sizes[lo:hi]), made], names=["node", "n", "value"])
+
+
+# --- frequencies and prefixes -----------------------------------------------------------------
+
+
+def _distinct(batches, ranges: int):
+    """(range, block, blob): each block's distinct shingles and in how many of its sets they are."""
+    for b in batches:
+        for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+            order, cuts = _cuts(_range(h, ranges))
+            h, n = h[order], n[order].astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array([h[x:y].tobytes() + n[x:y].tobytes() for _, x, y in cuts], pa.binary())], names=["range", "block", "counts"])
+
+
+def _counted(x: bytes):
+    k = len(x) // 12
+    return np.frombuffer(x, np.uint64, k), np.frombuffer(x, np.uint32, k, 8 * k)
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """To each block its shingles of a range that stand in two sets or more, and in how many."""
+    blocks, parts = table.column("block").to_pylist(), [_counted(x) for x in table.column("counts").to_pylist()]
+    h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(h)).astype(np.uint32)[at]
+    out, lo = [], 0
+    for own, _ in parts:
+        n = total[lo : lo + len(own)]
+        lo += len(own)
+        out.append(own[n > 1].tobytes() + n[n > 1].tobytes())
+    return pa.table({"block": pa.array(blocks, pa.int64()), "counts": pa.array(out, pa.binary())})
+
+
+def _prefixes(ranges: int, share: int):
+    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        """(range, entries): of each set that may link, the shared shingles of its prefix."""
+        rows = []
+        parts = [_counted(x) for x in counts.column("counts").to_pylist()]
+        if len(parts) and blocks.num_rows:
+            h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(h)
+            h, n = h[order], n[order].astype(np.int64)
+            for row in zip(*[blocks.column(c).to_pylist() for c in ("nodes", "sizes", "sets")], strict=True):
+                rows += _prefix_rows(*_block(*row), h, n, ranges, share)
+        return pa.table({"range": pa.array([r[0] for r in rows], pa.int32()), "entries": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def prefix(nodes, sizes, sets, h, n, share: int):
+    """(shingle, frequency, set) of the shared ones among each set's first floor(n/4)+1 shingles by (frequency, hash).
+
+    h, n: the sorted shingles of two sets or more, and their frequencies.
+    """
+    at = np.searchsorted(h, sets)
+    at[at == len(h)] = 0
+    shared = h[at] == sets if len(h) else np.zeros(len(sets), bool)
+    which = np.repeat(np.arange(len(nodes)), sizes)
+    room = spare(sizes, share) + 1 - (sizes - np.bincount(which[shared], minlength=len(nodes)))
+    keep = shared & (room > 0)[which]
+    which, key, often = which[keep], sets[keep], n[at[keep]]
+    order = np.lexsort((key, often, which))
+    which, key, often = which[order], key[order], often[order]
+    first, size = _runs(which)
+    place = np.arange(len(which)) - np.repeat(first, size)
+    keep = place < room[which]
+    return key[keep], often[keep], which[keep]
+
+
+def _prefix_rows(nodes, sizes, sets, h, n, ranges: int, share: int):
+    key, often, which = prefix(nodes, sizes, sets, h, n, share)
+    node, size = nodes[which], sizes[which].astype(np.uint32)
+    salt = mix(node.view(np.uint64)) % (1 + (often - 1) // TILE).astype(np.uint64)
+    tile = np.where(often > TILE, mix(key ^ mix(salt + np.uint64(1))), key)
+    order, cuts = _cuts(_range(mix(tile), ranges))
+    tile, key, node, size, salted = tile[order], key[order], node[order], size[order], (often > TILE).astype(np.uint8)[order]
+    return [(r, b"".join(x[a:b].tobytes() for x in (tile, key, node, size, salted))) for r, a, b in cuts]
+
+
+# --- tiles ------------------------------------------------------------------------------------
+
+
+def _tiles(share: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The pairs (u, v, shared tiles, whether only a large tile's) of a range, u < v, and the
+        sets of its large tiles as rows (tile, u)."""
+        cols: list[list] = [[], [], [], [], []]
+        for x in table.column("entries").to_pylist():
+            k, at = len(x) // 29, 0
+            for c, t in zip(cols, (np.uint64, np.uint64, np.int64, np.uint32, np.uint8), strict=True):
+                c.append(np.frombuffer(x, t, k, at))
+                at += k * np.dtype(t).itemsize
+        tile, key, node, n, salted = (np.concatenate(c) for c in cols)
+        order = np.lexsort((node, tile))
+        tile, key, node, n, salted = tile[order], key[order], node[order], n[order].astype(np.int64), salted[order]
+        first, size = _runs(tile)
+        bands = band(n, share)
+        pairs = []
+
+        def give(i, j, large: int):
+            ok = 100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
+            u, v = node[i[ok]], node[j[ok]]
+            pairs.append(np.stack([np.minimum(u, v), np.maximum(u, v), np.ones(len(u), np.int64), np.full(len(u), large)], 1))
+
+        whole = (size <= SMALL) & (salted[first] == 0)
+        for k in range(2, SMALL + 1):
+            at = first[whole & (size == k)][:, None] + np.arange(k)
+            for i in range(k):
+                for j in range(i + 1, k):
+                    give(at[:, i], at[:, j], 0)
+        # How often a set stands in large tiles here: what others were copied from does most.
+        big = np.repeat(~whole, size)
+        which = np.unique(node, return_inverse=True)[1]
+        often = np.bincount(which, big)[which].astype(np.int64)
+        for a, k in zip(first[~whole].tolist(), size[~whole].tolist(), strict=True):
+            own = bands[a : a + k]
+            order = np.lexsort((node[a : a + k], -often[a : a + k], own))
+            levels, start = np.unique(own[order], return_index=True)
+            hub = order[start]
+            for d in (0, 1):
+                at = np.searchsorted(levels, own - d)
+                at[at == len(levels)] = 0
+                ok = np.flatnonzero((levels[at] == own - d) & (hub[at] != np.arange(k)))
+                give(a + ok, a + hub[at[ok]], 1)
+        p = _summed(np.concatenate(pairs)) if pairs else np.zeros((0, 4), np.int64)
+        m = int(big.sum())
+        cols = [pa.concat_arrays([pa.array(p[:, 0]), pa.array(node[big])]), *[pa.concat_arrays([pa.array(p[:, i]), pa.nulls(m, pa.int64())]) for i in (1, 2, 3)]]
+        return pa.table([*cols, pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(key[big].view(np.int64))])], names=["u", "v", "shared", "large", "tile"])
+
+    return run
+
+
+def _summed(p: np.ndarray) -> np.ndarray:
+    """Rows (u, v, shared, large) with u, v once: shared is summed, large holds if it does for all."""
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    cut = np.flatnonzero(np.concatenate([[True], (p[1:, 0] != p[:-1, 0]) | (p[1:, 1] != p[:-1, 1])])) if len(p) else np.zeros(0, np.int64)
+    if not len(cut):
+        return p
+    return np.stack([p[cut, 0], p[cut, 1], np.add.reduceat(p[:, 2], cut), np.minimum.reduceat(p[:, 3], cut)], 1)
+
+
+# --- verification -----------------------------------------------------------------------------
 
 
 def _passes(batches, share: int):
@@ -380,18 +505,31 @@ def _links(batches, share: int):
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+
+def _few(values: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of values that the nodes (each once) need; a count tells whether the nodes may go round."""
+    small = nodes.count() <= BROADCAST_ENTRIES // 4
+    return values.join(F.broadcast(nodes) if small else nodes, "node", "left_semi")
 
 
 def _with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    values = _few(values, _ends(pairs))
     a, b = (values.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "value")]) for k in "uv")
     return pairs.join(a, F.col("u") == F.col("node_u")).join(b, F.col("v") == F.col("node_v"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    pairs = materialise(pairs.select("u", "v"), "verify")
-    both = _with_values(pairs, _few(sets, _ends(pairs))).select("u", "v", "value_u", "value_v")
-    return materialise(both.mapInArrow(lambda x: _links(x, share), "u long, v long"), "links")
+    """Of pairs (u, v), those that link, written."""
+    both = _with_values(pairs, sets).select("u", "v", "value_u", "value_v")
+    return materialise(both.mapInArrow(tidy(lambda x: _links(x, share)), "u long, v long"), "links")
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, share: int) -> DataFrame:
+    """Of pairs (u, v, shared), those whose bitmaps leave a link possible, written."""
+    both = _with_values(pairs, bitmaps).select("u", "v", "shared", "n_u", "n_v", "value_u", "value_v")
+    return materialise(both.mapInArrow(tidy(lambda x: _passes(x, share)), "u long, v long, shared long"), "near")
 
 
 def _blocks(share: int):
@@ -430,106 +568,134 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, n_shingles, component_id), a row for each row of docs. share: 50 to 99.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text of 1 to 4 words is one
-    shingle; an empty or null text has none, links with nothing and is its own component, as
-    is a row without an id. Repeated rows have equal sets and so share a component. An empty
-    table gives none. Only the two named columns are read.
+    shingle; an empty or null text has none, links with nothing and is its own component. A row
+    without an id links like any other, but its id is nobody's component_id: a component of such
+    rows alone has none. Repeated rows have equal sets and so share a component. An empty table
+    gives none. Only the two named columns are read.
     """
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    # Rows hold whole texts or sets: fewer of them at once keep Python workers small.
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(batch)
-    spark.conf.set(batch, str(min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS))
-    try:
+    with small_batches(spark):
         own, label = _components(spark, docs, share)
-    finally:
-        spark.conf.set(batch, usual)
     out = own.join(label, F.col("node") == F.col("node_"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _candidates(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n, half) of each row, and (node, first, n) of the sets that may link; both written."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+    ranges = int(max(16, size // TEXT_A_RANGE))
+    entries = docs.mapInArrow(tidy(lambda x: _first_pass(x, ranges, share)), "range int, kind int, blob binary")
+    counted = materialise(entries.groupBy("range").applyInArrow(_shared(ranges // 8 + 1), "doc_id long, node long, n long, half long, bucket int, counts binary"), "counted")
+    own = counted.where("bucket is null").select("doc_id", "node", "n", "half")
+    shared = counted.where("bucket is not null").select("bucket", "counts").groupBy("bucket").applyInArrow(_by_tag, "tag long, shared long")
+    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("half").alias("half"), F.count("*").alias("rows"))
+    tag = F.expr(f"if(node & {(1 << TAG_BITS) - 1} = 0, 1, node & {(1 << TAG_BITS) - 1})")
+    enough = f"half - coalesce(shared, 0) <= n - cast(ceil({share} * n / 100) as long)"
+    found = nodes.withColumn("tag_", tag).join(shared, F.col("tag_") == F.col("tag"), "left").where(enough)
+    return own, materialise(found.select("node", "first", "n"), "candidates")
+
+
 def _components(spark, docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of each row and (node_, component) of each set, both written."""
-    counted = materialise(docs.mapInArrow(_count, "doc_id long, node long, n long, chunk int, loads binary"), "counted")
-    own = counted.where("chunk is null").select("doc_id", "node", "n")
-    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
-    loads = np.zeros((LOADS // CHUNK, CHUNK), np.int64)
-    chunks = counted.where("chunk is not null").select("chunk", "loads").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, loads binary")
-    for r in chunks.collect():  # 8 MB at any input size
-        loads[r["chunk"]] = np.frombuffer(r["loads"], np.int64)
-    classes = spark.sparkContext.broadcast(_classes(loads.ravel()))
-    ranges = int(max(16, loads.sum() * (100 - share) // 100 // ENTRIES))
-
-    entries = docs.select("text").mapInArrow(lambda x: _prefixes(x, classes.value, ranges, share), "range int, entries binary")
-    buckets = ranges // 8 + 1
-    packed = entries.groupBy("range").applyInArrow(_tiles(buckets), "bucket int, kind int, blob binary")
-    tiles = materialise(packed.groupBy("bucket").applyInArrow(_unpacked, "u long, v long, shared long, large long, members binary"), "tiles")
-    pairs = tiles.where("u is not null").select("u", "v", "shared", "large")
-    large = tiles.where("members is not null").select(F.xxhash64("members").alias("tile"), "members")
-    large = materialise(large.mapInArrow(_members, "tile long, node long, band long"), "large")
-
-    def best_of(pairs):
-        """The pair of each node that shares the most tiles."""
-        sides = pairs.select("u", F.struct("shared", F.col("v").alias("p")).alias("x")).unionByName(pairs.select(F.col("v").alias("u"), F.struct("shared", F.col("u").alias("p")).alias("x")))
-        return sides.groupBy("u").agg(F.max("x").alias("x")).select(F.least("u", "x.p").alias("u"), F.greatest("u", "x.p").alias("v"), F.col("x.shared").alias("shared")).distinct()
+    own, candidates = _candidates(docs, share)
+    total = candidates.agg(F.count("*").alias("sets"), F.sum("n").alias("entries")).first()
+    links = None
+    if total["sets"] > 1:
+        links = _all_links(spark, docs, candidates, total["sets"], total["entries"], share)
+    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    label = _rooted(nodes, "node", components(links)) if links is not None else nodes.withColumn("root_node", F.col("node"))
+    least = label.groupBy("root_node").agg(F.min("first").alias("component"))
+    return own, materialise(label.join(least, "root_node").select(F.col("node").alias("node_"), "component"), "label")
 
-    # Large tiles are looked at again in full; of their pairs a node's best is enough for now.
-    pairs = materialise(pairs.where("large = 0").select("u", "v", "shared").unionByName(best_of(pairs.where("large = 1"))).distinct(), "pairs")
 
-    bitmaps = _of_nodes(docs, nodes, _ends(pairs).unionByName(large.select("node")), bitmap, "bitmaps")
-    near = _with_values(pairs, bitmaps).select("u", "v", "shared", "n_u", "n_v", "value_u", "value_v")
-    near = materialise(near.mapInArrow(lambda x: _passes(x, share), "u long, v long, shared long"), "near")
-    sets = _of_nodes(docs, nodes, _ends(near), np.ndarray.tobytes, "sets")
+def _rooted(df: DataFrame, col: str, roots: DataFrame) -> DataFrame:
+    """df with root_<col>, the root of the node in col."""
+    r = roots.select(F.col("node").alias("node_"), F.col("root").alias("root_"))
+    return df.join(r, F.col(col) == F.col("node_"), "left").withColumn(f"root_{col}", F.coalesce("root_", col)).drop("node_", "root_")
 
-    best = materialise(best_of(near).select("u", "v"), "best")
-    links = _verify(best, sets, share)
-    roots = components(links)
 
-    def rooted(df, col):
-        r = roots.select(F.col("node").alias("node_"), F.col("root").alias("root_"))
-        return df.join(r, F.col(col) == F.col("node_"), "left").withColumn(f"root_{col}", F.coalesce("root_", col)).drop("node_", "root_")
+def _best_of(pairs: DataFrame) -> DataFrame:
+    """The pair of each node that shares the most tiles."""
+    sides = pairs.select("u", F.struct("shared", F.col("v").alias("p")).alias("x")).unionByName(pairs.select(F.col("v").alias("u"), F.struct("shared", F.col("u").alias("p")).alias("x")))
+    return sides.groupBy("u").agg(F.max("x").alias("x")).select(F.least("u", "x.p").alias("u"), F.greatest("u", "x.p").alias("v"), F.col("x.shared").alias("shared")).distinct()
 
-    rest = rooted(rooted(near.select("u", "v"), "u"), "v").where("root_u <> root_v").select("u", "v")
-    links = links.unionByName(_verify(rest.join(best, ["u", "v"], "left_anti"), sets, share))
+
+def _all_links(spark, docs: DataFrame, candidates: DataFrame, sets_: int, entries: int, share: int) -> DataFrame:
+    """Links (u, v) that make the components of all linked sets."""
+    flags = spark.sparkContext.broadcast(_filter_of(candidates.select("node", "first"), sets_))
+    found = docs.mapInArrow(tidy(lambda x: _wanted(x, flags.value)), "doc_id long, node long, value binary")
+    first = candidates.select(F.col("node").alias("node_"), "first")
+    found = found.join(first, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["node"])
+    blocks = materialise(found.select("node", "value").mapInArrow(tidy(_packed), "block long, nodes binary, sizes binary, sets binary"), "blocks")
+    flags.destroy()
+
+    ranges = int(max(16, entries // ENTRIES))
+    sent = blocks.select("block", "sets").mapInArrow(tidy(lambda x: _distinct(x, ranges)), "range int, block long, counts binary")
+    often = sent.groupBy("range").applyInArrow(_frequencies, "block long, counts binary")
+    prefixes = blocks.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(_prefixes(ranges, share), "range int, entries binary")
+    tiles = materialise(prefixes.groupBy("range").applyInArrow(_tiles(share), "u long, v long, shared long, large long, tile long"), "tiles")
+    large = tiles.where("tile is not null").select("tile", F.col("u").alias("node"))
+    pairs = tiles.where("tile is null").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("large").alias("large"))
+    # Large tiles are looked at again in full; of their pairs a node's best is enough for now.
+    pairs = materialise(pairs, "sums")
+    pairs = materialise(pairs.where("large = 0").select("u", "v", "shared").unionByName(_best_of(pairs.where("large = 1"))).distinct(), "pairs")
+
+    values = blocks.select("nodes", "sizes", "sets")
+    sets = values.mapInArrow(tidy(lambda x: _values(x, np.ndarray.tobytes)), "node long, n long, value binary")
+    bitmaps = materialise(values.mapInArrow(tidy(lambda x: _values(x, bitmap)), "node long, n long, value binary"), "bitmaps")
+    near = _possible(pairs, bitmaps, share)
+    best = materialise(_best_of(near).select("u", "v"), "best")
+    links = _verify(best, sets, share)
+    roots = components(links)
+    rest = _rooted(_rooted(near.select("u", "v"), "u", roots), "v", roots).where("root_u <> root_v").select("u", "v")
+    rest = materialise(rest.join(best, ["u", "v"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_verify(rest, sets, share))
+    if large.isEmpty():
+        return links
 
     # Components that meet in a large tile are first compared by one set of each, with the one
     # that stands in most tiles; a group of near copies grows together in a round or two.
     often = large.groupBy("node").agg(F.count("*").alias("often"))
     tested = near.select("u", "v")
-    roots = components(links)
-    for fetch in (False, True):
-        # First among the sets at hand, then also among those that take another pass to fetch.
-        pool = often if fetch else often.join(sets.select("node"), "node")
-        member = rooted(large.join(pool, "node"), "node")
+    for _ in range(STAR_ROUNDS):
+        roots = components(links)
+        open_tiles = _open_tiles(_rooted(large, "node", roots))
+        if open_tiles.isEmpty():
+            return links
+        member = _rooted(_of_tiles(large, open_tiles).join(often, "node"), "node", roots)
         one = member.groupBy("tile", "root_node").agg(F.max(F.struct("often", (-F.col("node")).alias("least"))).alias("x")).select("tile", "root_node", "x.often", (-F.col("x.least")).alias("node"))
         hub = one.groupBy("tile").agg(F.max(F.struct("often", "root_node", "node")).alias("hub"))
-        star = one.join(hub, "tile").where("root_node <> hub.root_node").select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        star = _of_tiles(one, hub).where("root_node <> hub.root_node").select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
         star = materialise(star.join(tested, ["u", "v"], "left_anti").withColumn("shared", F.lit(0).cast("long")), "star")
         if star.isEmpty():
-            continue
-        star = _with_values(star, _few(bitmaps, _ends(star))).select("u", "v", "shared", "n_u", "n_v", "value_u", "value_v")
-        star = materialise(star.mapInArrow(lambda x: _passes(x, share), "u long, v long, shared long").select("u", "v"), "star")
-        if star.isEmpty():
-            continue
-        if fetch:
-            more = _ends(star).distinct().join(sets.select("node"), "node", "left_anti")
-            sets = sets.unionByName(_of_nodes(docs, nodes, more, np.ndarray.tobytes, "sets"))
-        tested = materialise(tested.unionByName(star), "tested")
-        new = _verify(star, sets, share)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = components(links)
-
-    member = rooted(large, "node").withColumnRenamed("root_node", "root")
-    open_tiles = member.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("tile", "k")
-    member = member.join(open_tiles, "tile").withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    member = member.join(_few(bitmaps, member), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            break
+        near = _possible(star, bitmaps, share).select("u", "v")
+        tested = materialise(tested.unionByName(star.select("u", "v")), "tested")
+        new = _verify(near, sets, share)
+        if new.isEmpty():
+            break
+        links = materialise(links.unionByName(new), "links")
+    else:
+        roots = components(links)
+        open_tiles = _open_tiles(_rooted(large, "node", roots))
+
+    member = _rooted(_of_tiles(large, open_tiles.withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)"))), "node", roots).withColumnRenamed("root_node", "root")
+    member = member.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    member = member.join(_few(bitmaps, member.select("node").distinct()), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     member = member.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "value")
     more = member.groupBy("tile", "i", "j").applyInArrow(_blocks(share), "u long, v long").distinct()
     more = materialise(more.join(tested, ["u", "v"], "left_anti"), "more")
-    links = links.unionByName(_verify(more, _of_nodes(docs, nodes, _ends(more), np.ndarray.tobytes, "sets"), share))
-    roots = components(links)
+    return links.unionByName(_verify(more, sets, share)) if not more.isEmpty() else links
 
-    label = rooted(nodes, "node")
-    least = label.groupBy("root_node").agg(F.min("first").alias("component"))
-    return own, materialise(label.join(least, "root_node").select(F.col("node").alias("node_"), "component"), "label")
+
+def _open_tiles(member: DataFrame) -> DataFrame:
+    """(tile, k) of the tiles whose k sets are of several components, written."""
+    tiles = member.groupBy("tile").agg(F.min("root_node").alias("lo"), F.max("root_node").alias("hi"), F.count("*").alias("k"))
+    return materialise(tiles.where("lo < hi").select("tile", "k"), "open")
+
+
+def _of_tiles(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """rows with what tiles (a row for each) has of their tile; a count tells whether tiles may go round."""
+    return rows.join(F.broadcast(tiles) if tiles.count() <= BROADCAST_ENTRIES // 8 else tiles, "tile")

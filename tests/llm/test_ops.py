@@ -284,6 +284,26 @@ def test_op6_star_of_near_copies(spark):
     check_components(spark, texts)
 
 
+def test_op6_large_tiles(spark, monkeypatch):
+    """Tiles that are salted, and groups of a tile that no star of one round joins."""
+    rng = random.Random(13)
+    monkeypatch.setattr(jaccard, "TILE", 6)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", 300)
+    monkeypatch.setattr(jaccard, "HELD", 500)
+    texts = []
+    for g in range(3):  # chains: each text links with the one before it only
+        own = prose(rng, 130).split()
+        for k in range(14):
+            v = list(own)
+            for at in range(0, 4 * k, 4):
+                v[(at * 7) % 130] = f"g{g}chain{at}"
+            texts.append(" ".join(v))
+    texts += [" ".join(prose(rng, 40).split()) for _ in range(5)] * 2
+    check_components(spark, texts)
+
+
 def test_op6_edges(spark):
     assert jaccard.similarity_components(frame(spark, ["a"]).limit(0)).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (None, "A b  c"), (7, None)]
@@ -297,6 +317,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 200: 200, 201: 200}
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "HELD", 8)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(25)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u LONG, v LONG")).collect()}
+    want = {i: i for e in edges for i in e if e[0] != e[1]}
+    for _ in range(60):
+        for u, v in edges:
+            if u != v:
+                want[u] = want[v] = min(want[u], want[v])
+    assert got == want
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
