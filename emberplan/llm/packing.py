@@ -10,18 +10,22 @@ two, which need no padding.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 WINDOW = 4096
 BUFFER_TOKENS = 4 << 20
 #: Windows filled to this share leave the buffer.
 FULL = 0.99
-#: Chunks of text in the younger half of a worker's cache; when it is full it becomes the older half.
-CACHED = 400_000
+#: Bytes of the younger half of a worker's cache; when it is full it becomes the older half. An entry's overhead.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 180
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,17 +39,23 @@ class Chunks(dict):
     """ids (little-endian unsigned 32-bit bytes) of a chunk of text without ASCII white space.
 
     The tokenizer lower-cases and splits at white space first, so a text's ids are those of
-    its chunks in order. ASCII case and trailing punctuation after an ASCII letter or digit are
-    split off here too, since they cannot join or change the tokens before them.
+    its chunks in order, and ASCII case may go before (but for texts with special tokens).
+    Trailing punctuation after an ASCII letter or digit is split off here too, since it cannot
+    join or change the tokens before it. A chunk of letters that normalising leaves as they are is
+    one word to the tokenizer, so it goes to its merges directly.
     """
 
     TAIL = b'.,;:!?$%&*#"()-'
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of_worker(cls, path: str) -> Chunks:
@@ -59,27 +69,22 @@ class Chunks(dict):
         return held[path]
 
     def age(self) -> None:
-        if len(self) > CACHED:
+        if self.held > CACHE_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
 
     def encode(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        text = chunk.decode("utf-8", "replace")
+        plain = text.isalpha() and text.lower() == text and (text.isascii() or unicodedata.is_normalized("NFC", text))
+        return array("I", (self.words if plain else self.tokenizer).encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if (out := self.older.get(chunk)) is not None:
-            self[chunk] = out
-            return out
-        plain = chunk.lower() if b"<|" not in chunk else chunk
-        body = plain.rstrip(self.TAIL)
-        if body != plain and body and body[-1:].isalnum():
-            out = self[body] + self[plain[len(body) :]]
-        elif plain != chunk:
-            out = self[plain]
-        else:
-            out = self.encode(chunk)
+        if (out := self.older.get(chunk)) is None:
+            body = chunk.rstrip(self.TAIL)
+            out = self[body] + self[chunk[len(body) :]] if body != chunk and body[-1:].isalnum() else self.encode(chunk)
         self[chunk] = out
+        self.held += ENTRY_BYTES + len(chunk) + len(out)
         return out
 
 
@@ -200,7 +205,7 @@ def pack_batches(batches, path: str, window: int, end_id: int, partition: int):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             chunks.age()
-            for r in packer.add(doc, b"".join(map(chunks.__getitem__, raw.split())) + end):
+            for r in packer.add(doc, b"".join(map(chunks.__getitem__, (raw if b"<|" in raw else raw.lower()).split())) + end):
                 rows += r
             if packer.tokens >= BUFFER_TOKENS:
                 for r in packer.pack(last=False):
@@ -223,7 +228,8 @@ def pack(
     """Pieces of all documents in sequences of at most `window` tokens.
 
     Null texts are empty: a document then has only its end id. Repeated rows are documents of
-    their own. A text of any length is cut into full windows first. An empty table gives no
+    their own. A text of any length is cut into full windows first; one without any white space goes
+    to the tokenizer whole. Documents without an id keep a null id. An empty table gives no
     rows. Only the two named columns are read, so others may bear any name. Sequence ids
     are those of the task's partition in the upper, a counter in the lower 32 bits: a lost
     task repeats with the same ids.
@@ -235,4 +241,4 @@ def pack(
 
         yield from pack_batches(batches, path, window, end_id, TaskContext.get().partitionId())
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(tidy(run), SCHEMA)
