@@ -60,13 +60,34 @@ def small_batches(spark: SparkSession):
     return settings(spark, SMALL_BATCHES)
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+_OPEN: list[str] = []  # folders of the scratch() blocks that are open, outermost first
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialise() writes inside are deleted at the end, but for those with keep=True."""
+    _OPEN.append(work_dir(spark))
+    try:
+        yield
+    finally:
+        delete(spark, _OPEN.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this session wrote and needs no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Texts go to Python in small batches, and the shuffles of the write go once it has ended.
+    keep: it outlives the scratch() block that it is written in.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}"
+    around = _OPEN[:-1] if keep else _OPEN
+    path = f"{around[-1]}/{uuid.uuid4().hex}-{name}" if around else f"{work_dir(spark)}/{name}"
     with settings(spark, SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, slices, span_hashes, word_spans
+from .common import LOWER, materialise, slices, span_hashes, tidy, word_spans
 from .divergence import base_counts, class_counts
 
 BINS = 32
@@ -204,14 +204,14 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").cast("string").alias(k) for c, k in ((text_col, "text"), (source_col, "source"), (lang_col, "lang"))])
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{label_col}`").cast("int").alias("good")).where("good in (0, 1)").groupBy("id_").agg(F.min("good").alias("good"))
-    bins = rows.mapInArrow(_featured, "doc_id long, bins binary")
+    bins = rows.mapInArrow(tidy(_featured), "doc_id long, bins binary")
     table = materialise(bins.join(own, F.col("doc_id") == F.col("id_"), "left").select("doc_id", "bins", "good"), "features")
     held_out = F.expr(f"good is not null and crc32(cast(doc_id as string)) % {how.calibrate_every} = 0")
     training = table.select("bins", F.when(~held_out, F.col("good")).alias("good"), held_out.alias("out")).where("not out").drop("out")
     calibrating = table.where(held_out).select("bins", "good")
     model = None
     for _ in range(how.rounds + 1):
-        got = training.mapInArrow(lambda x, m=model: _train_counts(x, m, how), "view int, good int, feature int, bin int, weight double")
+        got = training.mapInArrow(tidy(lambda x, m=model: _train_counts(x, m, how)), "view int, good int, feature int, bin int, weight double")
         sums = np.zeros((2, 2, FEATURES + 1, BINS))
         for r in got.groupBy("view", "good", "feature", "bin").agg(F.sum("weight").alias("weight")).collect():  # 4 * FEATURES * BINS
             sums[r["view"], r["good"], r["feature"], r["bin"]] = r["weight"]
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
             return None
         (text, p0), (meta, p1) = _naive_bayes(sums, 0, how), _naive_bayes(sums, 1, how)
         model = Model(text, meta, (p0, p1), (0.0, 1.0), (0.0, 1.0), 0.0)
-    got = calibrating.mapInArrow(lambda x: _calibration(x, model), "view int, good int, odds int, n long")
+    got = calibrating.mapInArrow(tidy(lambda x: _calibration(x, model)), "view int, good int, odds int, n long")
     got = got.groupBy("view", "good", "odds").agg(F.sum("n").alias("n")).collect()  # 4 * 801
     fits = []
     for view in (0, 1):
@@ -253,4 +253,4 @@ def classify(docs: DataFrame, model: Model | None, limit: float = 0.25, only_kep
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField("quality_score", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())])
-    return docs.mapInArrow(lambda x: _scored(x, model, names, at, limit, only_kept), schema)
+    return docs.mapInArrow(tidy(lambda x: _scored(x, model, names, at, limit, only_kept)), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, materialise, mix, slices, span_hashes, window_hashes, word_spans
+from .common import LOWER, SPACES, materialise, mix, slices, span_hashes, tidy, window_hashes, word_spans
 
 # The symbols, sentence marks and minima of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -152,7 +152,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     what comes to the driver is bounded by the number of languages.
     """
     rows = docs.selectExpr(f"cast(`{lang_col}` as string) lang", f"cast(`{text_col}` as string) text").where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_histograms, "lang string, word long, class int, count long").groupBy("lang", "word", "class").agg(F.sum("count").alias("count"))
+    counts = rows.mapInArrow(tidy(_histograms), "lang string, word long, class int, count long").groupBy("lang", "word", "class").agg(F.sum("count").alias("count"))
     counts = materialise(counts, "counts")
     total = counts.where("word is not null").groupBy("lang").agg(F.sum("count").alias("total")).where(f"total >= {LEAST_WORDS}")
     common = counts.where("word is not null").join(F.broadcast(total), "lang").where(f"count >= {COMMON} * total").collect()  # 1/COMMON a language at most
@@ -253,6 +253,6 @@ def judge(docs: DataFrame, refs: dict | None = None, rules: Rules = Rules(), id_
     limits = {lang: (np.log(at), most) for lang, (at, most) in ((k, word_limits(x, rules)) for k, x in refs.items())}
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{lang_col}` as string) lang", f"cast(`{text_col}` as string) text")
     return docs.mapInArrow(
-        lambda x: _score(x, refs, limits, rules),
+        tidy(lambda x: _score(x, refs, limits, rules)),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
     )

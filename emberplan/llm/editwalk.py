@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, mix
+from .common import materialise, mix, tidy
 
 #: Least number of samples of a text that has as many steps.
 SAMPLES = 128
@@ -204,14 +204,14 @@ def compare_with_next(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", t
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(cast(`{text_col}` as string), '') text")
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = materialise(ranged.mapInArrow(lambda x: _compare(x, seed), SCHEMA).withColumn("range", F.spark_partition_id()), "compared")
+    done = materialise(ranged.mapInArrow(tidy(lambda x: _compare(x, seed)), SCHEMA).withColumn("range", F.spark_partition_id()), "compared")
     edges = done.where("first is not null").select("range", "first", "doc_id", "text")
     # A first and a last text for each range, in range order: the next row of a last is a first.
     order = Window.orderBy("range", F.desc("first"))
     whole = Window.partitionBy()
     pairs = edges.withColumn("next", F.lead("text").over(order)).withColumn("start", F.min(F.when(F.col("first"), F.struct("range", "text"))).over(whole))
     pairs = pairs.where("not first").select("doc_id", "text", F.coalesce("next", "start.text").alias("next"))
-    last = pairs.mapInArrow(lambda x: _close(x, seed), SCHEMA.split(", first")[0])
+    last = pairs.mapInArrow(tidy(lambda x: _close(x, seed)), SCHEMA.split(", first")[0])
     return done.where("first is null").select(*NAMES[:7]).unionByName(last)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 ROUNDS = 10
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "hex", "email")
 
@@ -248,4 +250,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     docs = docs.drop(*ours).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(k, T.LongType()) for k in ours])
     text_at, names = docs.columns.index(text_col), [*docs.columns, *ours]
-    return docs.mapInArrow(lambda x: _rewritten(x, key, text_at, names, back), schema)
+    return docs.mapInArrow(tidy(lambda x: _rewritten(x, key, text_at, names, back)), schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ENTRIES, LOWER, materialise, mix, slices, small_batches, span_hashes, tidy, window_hashes, word_spans
+from .common import BROADCAST_ENTRIES, LOWER, materialise, mix, scratch, slices, small_batches, span_hashes, tidy, window_hashes, word_spans
 from .components import components
 
 WORDS, SHARE = 5, 75
@@ -575,7 +575,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    with small_batches(spark):
+    with small_batches(spark), scratch(spark):
         own, label = _components(spark, docs, share)
     out = own.join(label, F.col("node") == F.col("node_"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -586,7 +586,7 @@ def _candidates(docs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
     ranges = int(max(16, size // TEXT_A_RANGE))
     entries = docs.mapInArrow(tidy(lambda x: _first_pass(x, ranges, share)), "range int, kind int, blob binary")
-    counted = materialise(entries.groupBy("range").applyInArrow(_shared(ranges // 8 + 1), "doc_id long, node long, n long, half long, bucket int, counts binary"), "counted")
+    counted = materialise(entries.groupBy("range").applyInArrow(_shared(ranges // 8 + 1), "doc_id long, node long, n long, half long, bucket int, counts binary"), "counted", keep=True)
     own = counted.where("bucket is null").select("doc_id", "node", "n", "half")
     shared = counted.where("bucket is not null").select("bucket", "counts").groupBy("bucket").applyInArrow(_by_tag, "tag long, shared long")
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("half").alias("half"), F.count("*").alias("rows"))
@@ -606,7 +606,7 @@ def _components(spark, docs: DataFrame, share: int) -> tuple[DataFrame, DataFram
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     label = _rooted(nodes, "node", components(links)) if links is not None else nodes.withColumn("root_node", F.col("node"))
     least = label.groupBy("root_node").agg(F.min("first").alias("component"))
-    return own, materialise(label.join(least, "root_node").select(F.col("node").alias("node_"), "component"), "label")
+    return own, materialise(label.join(least, "root_node").select(F.col("node").alias("node_"), "component"), "label", keep=True)
 
 
 def _rooted(df: DataFrame, col: str, roots: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 BUCKETS = 1 << 15
 FIT_ROWS = 4_000
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col="doc_id", text_col="te
     share = {k: min(1.0, fit_rows / n) for k, n in sizes.items()}
     limits = docs.sparkSession.createDataFrame([(k, s) for k, s in share.items()], "lang_ string, share double")  # a row for each language
     rows = rows.join(F.broadcast(limits), F.col("lang") == F.col("lang_")).where("share >= 1 or (h / 18446744073709551616D + 0.5D) < share")
-    counts = rows.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, count long").groupBy("lang", "bucket").agg(F.sum("count").alias("count"))
+    counts = rows.select("lang", "text").mapInArrow(tidy(_counts), "lang string, bucket int, count long").groupBy("lang", "bucket").agg(F.sum("count").alias("count"))
     langs = sorted(sizes)
     table = np.zeros((BUCKETS, len(langs)))
     for r in counts.collect():  # BUCKETS a language at most
@@ -174,4 +174,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pe
     langs, logs, prior = model
     logs = docs.sparkSession.sparkContext.broadcast(logs)  # BUCKETS * languages * 4 bytes
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return rows.mapInArrow(lambda x: _predict(x, langs, logs.value, prior, penalty), "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    return rows.mapInArrow(tidy(lambda x: _predict(x, langs, logs.value, prior, penalty)), "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")

@@ -170,24 +170,38 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", "left_whole", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLES["op9_templates"] = rf"""
-WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS x FROM d, unnest(range(1, len(ls) + 1)) AS t(i) WHERE i < len(ls) OR ls[i] <> ''),
 t AS (SELECT doc_id, i, x, list_transform(list_filter(regexp_split_to_array(x, '[ \t\n\x0B\f\r]+'), lambda y: y <> ''), lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN '<*>' ELSE y END) AS w FROM l),
-v AS (
-  SELECT doc_id, i, w AS v FROM t WHERE len(w) >= {templates.MIN_TOKENS}
-  UNION ALL SELECT doc_id, i, list_concat(list_concat(w[1:j - 1], ['<*>']), w[j + 1:]) FROM t, unnest(range({templates.DEPTH + 1}, len(w) + 1)) AS u(j) WHERE len(w) >= {templates.WILD_TOKENS}),
-r AS (SELECT v FROM v GROUP BY v HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCS}),
-h AS (SELECT DISTINCT doc_id, i FROM v SEMI JOIN r USING (v)),
-k AS (SELECT t.doc_id, t.i, t.x, len(t.w) AS n, h.i IS NOT NULL AS hit FROM t LEFT JOIN h USING (doc_id, i)),
-g AS (SELECT doc_id, count(*) AS n_lines, coalesce(sum(n) FILTER (hit), 0) > 0.5 * sum(n) AS whole, count(*) FILTER (hit) AS hits, string_agg(x, chr(10) ORDER BY i) FILTER (NOT hit) AS kept, max(i) AS last, arg_max(hit, i) AS last_hit FROM k GROUP BY doc_id),
-o AS (SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN whole THEN 0 ELSE coalesce(hits, 0) END AS n_dropped, coalesce(whole, false) AS left_whole,
-        CASE WHEN d.text IS NULL THEN NULL WHEN whole OR coalesce(hits, 0) = 0 THEN d.text ELSE coalesce(kept, '') || CASE WHEN NOT last_hit AND len(ls) > last THEN chr(10) ELSE '' END END AS new
-      FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, n_lines, n_dropped, left_whole, CAST(length(new) AS BIGINT) AS n_chars_kept, sha256(new) AS kept_sha256 FROM o
+-- (leaf, place, token) of at least {templates.MIN_DOCS} documents; templates of the lines that have enough constants
+tok AS (SELECT doc_id, i, len(w) AS n, w[1:{templates.DEPTH}] AS lead, p, w[p] AS y FROM t, unnest(range(1, len(w) + 1)) AS u(p)),
+con AS (SELECT n, lead, p, y FROM tok WHERE p > {templates.DEPTH} GROUP BY ALL HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCS}),
+tpl AS (SELECT doc_id, i, list(CASE WHEN tok.p <= {templates.DEPTH} OR con.p IS NOT NULL THEN tok.y ELSE '<*>' END ORDER BY tok.p) AS v
+        FROM tok LEFT JOIN con ON con.n = tok.n AND con.lead = tok.lead AND con.p = tok.p AND con.y = tok.y GROUP BY doc_id, i),
+v AS (SELECT doc_id, i, v, md5(text) AS h FROM tpl JOIN d USING (doc_id) WHERE 100 * len(list_filter(v, lambda y: y <> '<*>')) >= {templates.SIMILAR} * len(v)),
+r0 AS (SELECT v FROM v GROUP BY v HAVING count(DISTINCT h) >= {templates.MIN_DOCS}),
+-- near copies among the texts that would lose over half their words
+over AS (SELECT v.h FROM v SEMI JOIN r0 USING (v) JOIN t USING (doc_id, i) JOIN (SELECT doc_id, sum(len(w)) AS n FROM t GROUP BY doc_id) s USING (doc_id)
+         GROUP BY v.doc_id, v.h, s.n HAVING 2 * sum(len(w)) > s.n),
+ow AS (SELECT DISTINCT md5(text) AS h, list_filter(regexp_split_to_array(translate(text, {_LOWER}), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE md5(text) IN (SELECT h FROM over)),
+g AS (SELECT DISTINCT h, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM ow, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT h, count(*) AS n FROM g GROUP BY h),
+p AS (SELECT a.h AS a, b.h AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.h <> b.h GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+cc AS (SELECT h AS a, h AS b FROM n UNION SELECT cc.a, e.b FROM cc JOIN e ON cc.b = e.a),
+cl AS (SELECT a AS h, min(b) AS c FROM cc GROUP BY a),
+r AS (SELECT v FROM v SEMI JOIN r0 USING (v) LEFT JOIN cl USING (h) GROUP BY v HAVING count(DISTINCT coalesce(c, h)) >= {templates.MIN_DOCS}),
+hit AS (SELECT DISTINCT doc_id, i FROM v SEMI JOIN r USING (v)),
+k AS (SELECT t.doc_id, t.i, t.x, hit.i IS NOT NULL AS hit FROM t LEFT JOIN hit USING (doc_id, i)),
+q AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_dropped, string_agg(x, chr(10) ORDER BY i) FILTER (NOT hit) AS kept, max(i) AS last, arg_max(hit, i) AS last_hit FROM k GROUP BY doc_id),
+o AS (SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+        CASE WHEN d.text IS NULL THEN NULL WHEN coalesce(n_dropped, 0) = 0 THEN d.text ELSE coalesce(kept, '') || CASE WHEN NOT last_hit AND len(ls) > last THEN chr(10) ELSE '' END END AS new
+      FROM d LEFT JOIN q USING (doc_id))
+SELECT doc_id, n_lines, n_dropped, CAST(length(new) AS BIGINT) AS n_chars_kept, sha256(new) AS kept_sha256 FROM o
 """
 
 

@@ -419,26 +419,32 @@ def test_op8_best_fit():
 # --- 9 ---------------------------------------------------------------------------------------
 
 
-def variants(line):
-    t = tuple("<*>" if re.search("[0-9]", w) else w for w in words(line))
-    if len(t) >= 3:
-        yield t
-    if len(t) >= 8:
-        for j in range(4, len(t)):
-            yield (*t[:j], "<*>", *t[j + 1 :])
+def masked(line):
+    return tuple("<*>" if re.search("[0-9]", w) else w for w in words(line))
 
 
-def cleaned(texts, min_docs):
+def cleaned(texts, m=5):
+    """Texts without the lines whose templates stand in m classes."""
+    lines = [[(j, masked(x)) for j, x in enumerate((t or "").split("\n")) if words(x)] for t in texts]
     seen = collections.Counter()
-    for t in texts:
-        seen.update({v for x in (t or "").split("\n") for v in variants(x)})
-    out = []
-    for t in texts:
-        lines = (t or "").split("\n")
-        drop = [any(seen[v] >= min_docs for v in variants(x)) for x in lines]
-        lost = sum(len(words(x)) for x, d in zip(lines, drop) if d)
-        out.append(None if t is None else t if lost > 0.5 * len(words(t)) else "\n".join(x for x, d in zip(lines, drop) if not d))
-    return out
+    for own in lines:
+        seen.update({(len(w), w[:2], p, w[p]) for _, w in own for p in range(2, len(w))})
+    general = lambda w: tuple(x if p < 2 or seen[len(w), w[:2], p, x] >= m else "<*>" for p, x in enumerate(w))
+    lines = [[(j, v) for j, v in ((j, general(w)) for j, w in own) if 100 * sum(x != "<*>" for x in v) >= 60 * len(v)] for own in lines]
+
+    def found(classes):
+        by = collections.defaultdict(set)
+        for c, own in zip(classes, lines, strict=True):
+            for _, v in own:
+                by[v].add(c)
+        return {v for v, c in by.items() if len(c) >= m}
+
+    first = found(texts)
+    over = sorted({t for t, own in zip(texts, lines, strict=True) if 2 * sum(len(v) for _, v in own if v in first) > len(words(t))})
+    near = dict(zip(over, linked([shingles(t) for t in over]), strict=True))
+    last = found([(near[t], "class") if t in near else t for t in texts]) & first
+    drop = [{j for j, v in own if v in last} for own in lines]
+    return [None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in d) for t, d in zip(texts, drop, strict=True)]
 
 
 def test_op9(spark, texts):
@@ -446,28 +452,33 @@ def test_op9(spark, texts):
     plain = lambda x: x and re.sub("[0-9]", lambda m: "klmnopqrst"[int(m[0])], x)
     prose = lambda rng, n: plain(globals()["prose"](rng, n))  # noqa: E731  words with digits are all alike here
     t = [plain(x) for x in texts] + [f"{prose(rng, 30)}\nLicensed under version {i}.0 of the common terms of use\n{prose(rng, 20)}\n\nsaid the person {rng.choice('xyz')}{'q' * i} to all of the others" for i in range(12)]
+    t += [f"{prose(rng, 25)}\nPosted by {prose(rng, 1)} in {prose(rng, 1)}\nHome\n{i}" for i in range(9)]
     t += ["copy of a page with lines\nthat all recur " + "word " * 9] * 7 + ["tail\n"]
-    want = cleaned(t, 5)
-    for entries in (None, 0):
+    t += [f"{prose(random.Random(5), 30)}\n{prose(random.Random(6), 30)} {prose(rng, 1)}" for _ in range(7)]
+    want = cleaned(t)
+    for entries in (None, 40):
         docs = frame(spark, t).withColumn("n_lines", F.lit("clash"))
         got = {r["doc_id"]: r for r in templates.drop_templates(docs, broadcast_entries=entries).collect()}
         assert [got[i]["text"] for i in range(len(t))] == want
-    assert sum(r["n_dropped"] for r in got.values()) >= 24 and any(r["left_whole"] for r in got.values())
+    assert sum(r["n_dropped"] for r in got.values()) >= 12 + 12 + 18
+    assert not any("Posted by" in (r["text"] or "") or "Home" in (r["text"] or "") for r in got.values())
+    assert all(got[len(t) - 1 - k]["n_dropped"] == 0 for k in range(7))  # near copies alone
     assert templates.drop_templates(frame(spark, t).limit(0)).count() == 0
 
 
-def test_op9_leaves_only_near_copies_whole(spark):
-    """Boilerplate over half of a short page goes; a page that has near copies stays for dedup."""
+def test_op9_copies_do_not_make_lines_recur(spark):
+    """Boilerplate over half of a short page goes; lines that only copies of a page share stay."""
     rng = random.Random(12)
     letters = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
     footer = "all rights of this site are reserved by its owners " * 4
     pages = [f"{letters(12)}\n{footer}" for _ in range(8)]
     copy = f"{letters(9)}\n{letters(11)}"
-    t = pages + [copy] * 5 + [copy + " more"]
+    long = "one line that has no end " * 20_000
+    t = pages + [copy] * 5 + [copy + " more", f"{copy}\n{footer}", long + "\n" + footer]
     got = {r["doc_id"]: r for r in templates.drop_templates(frame(spark, t)).collect()}
-    assert all(got[i]["text"] == x.split("\n")[0] and got[i]["n_dropped"] == 1 and not got[i]["left_whole"] for i, x in enumerate(pages))
-    assert all(got[i]["text"] == copy and got[i]["n_dropped"] == 0 and got[i]["left_whole"] for i in range(8, 13))
-    assert len(got) == len(t)
+    assert all(got[i]["text"] == x.split("\n")[0] and got[i]["n_dropped"] == 1 for i, x in enumerate(pages))
+    assert all(got[i]["text"] == t[i] and got[i]["n_dropped"] == 0 for i in range(8, 14))
+    assert got[14]["text"] == copy and got[15]["text"] == long and len(got) == len(t)
 
 
 # --- 10 --------------------------------------------------------------------------------------
