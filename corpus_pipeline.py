@@ -10,49 +10,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberplan.llm import budget, cotrain, jaccard, packing, templates
-from emberplan.llm.common import BROADCAST_ENTRIES, materialise, work_dir
+from emberplan.llm.common import BROADCAST_ENTRIES, delete, materialise, work_dir
 from emberplan.llm.queries import LEVELS, WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject.
+
+    Null and empty texts are scored like any others, repeated rows alike. Without labels of both
+    classes all stay. An empty table stays empty.
+    """
     model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return cotrain.classify(docs.select(COLUMNS), model, only_kept=True).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines of recurring templates; n_chars is counted again."""
+    """Texts without lines of recurring templates; n_chars is counted again.
+
+    Every row stays, those with null and empty texts and repeated ones too.
+    """
     out = templates.drop_templates(docs.select(COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that of the smallest id.
+    """One document of each near-duplicate component: that of the least key, a hash of id and text.
 
-    Ids to remove go to the tasks if they are few enough, so that texts needn't be shuffled.
-    Rows that share an id and a text are copies, of which one stays; rows without an id stay.
+    Keys to remove go to the tasks if they are few enough, so that texts needn't be shuffled.
+    Rows of one id and text are one document, of which one row stays; an id that has several
+    texts is several documents, and a missing id is one like any other. Texts without a word have
+    no copies but rows of their own id.
     """
-    docs = docs.select(COLUMNS)
-    groups = materialise(jaccard.similarity_components(docs).select("doc_id", "component_id"), "groups")
-    removed = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
-    gone = removed.where("least <> doc_id").select(F.col("doc_id").alias("gone"))
-    if gone.count() <= BROADCAST_ENTRIES:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    if removed.where("rows > 1").isEmpty():
-        return out
-    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    docs = docs.select(COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = jaccard.similarity_components(docs, "__key").groupBy(F.col("doc_id").alias("key"))
+    groups = materialise(groups.agg(F.min("component_id").alias("component"), F.count("*").alias("rows")), "groups")
+
+    def keyed(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ENTRIES else keys
+
+    gone = groups.where("key <> component").select(F.col("key").alias("__key"))
+    out = docs.join(keyed(gone), "__key", "left_anti")
+    again = groups.where("key = component and rows > 1").select(F.col("key").alias("__key"))
+    if not again.isEmpty():
+        again = keyed(again)
+        out = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that target weights by domain, language and source pay for, once each."""
+    """The documents that target weights by domain, language and source pay for, once each.
+
+    Null names are names of their own. Rows without a word cost nothing; equal rows come or stay
+    away together. An empty table stays empty.
+    """
     return budget.mix(docs.select(COLUMNS), LEVELS, WEIGHTS, fraction=0.8, max_epochs=1).select(COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    Null texts have their end id only; repeated rows are documents of their own.
+    """
     return packing.pack(docs)
 
 
@@ -73,7 +93,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = work_dir(spark)
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            delete(spark, f"{base}/{i - 1}")
     return docs
