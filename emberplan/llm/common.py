@@ -53,11 +53,18 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 #: Arrow batches of whole texts: few rows and bytes at once keep Python workers and executors small.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(4 << 20))}
 
 
-def small_batches(spark: SparkSession):
-    return settings(spark, SMALL_BATCHES)
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches where they are Spark's own.
+
+    The setting stays, since operators give plans that run later: with whole texts a batch of
+    Spark's usual size takes hundreds of MB outside the heap, which an executor never gives back.
+    """
+    for k, (usual, small) in SMALL_BATCHES.items():
+        if spark.conf.get(k, usual) == usual:
+            spark.conf.set(k, small)
 
 
 _OPEN: list[str] = []  # folders of the scratch() blocks that are open, outermost first
@@ -82,13 +89,14 @@ def delete(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Texts go to Python in small batches, and the shuffles of the write go once it has ended.
+    The shuffles of the write go once it has ended.
     keep: it outlives the scratch() block that it is written in.
     """
     spark = df.sparkSession
     around = _OPEN[:-1] if keep else _OPEN
     path = f"{around[-1]}/{uuid.uuid4().hex}-{name}" if around else f"{work_dir(spark)}/{name}"
-    with settings(spark, SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    small_batches(spark)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

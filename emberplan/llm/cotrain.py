@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, slices, span_hashes, tidy, word_spans
+from .common import LOWER, materialise, slices, small_batches, span_hashes, tidy, word_spans
 from .divergence import base_counts, class_counts
 
 BINS = 32
@@ -245,6 +245,7 @@ def classify(docs: DataFrame, model: Model | None, limit: float = 0.25, only_kep
     scores are 0.5 and all is kept. Columns of docs named like ours are replaced. Repeated rows
     are scored alike; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("quality_score", "quality_kept")
     for c in (text_col, source_col, lang_col):
         docs = docs.withColumn(c, F.col(f"`{c}`").cast("string"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, materialise, mix, slices, span_hashes, tidy, window_hashes, word_spans
+from .common import LOWER, SPACES, materialise, mix, slices, small_batches, span_hashes, tidy, window_hashes, word_spans
 
 # The symbols, sentence marks and minima of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -249,6 +249,7 @@ def judge(docs: DataFrame, refs: dict | None = None, rules: Rules = Rules(), id_
     compared with the nearest references. Repeated rows are judged alike; an empty table gives
     none. Only the named columns are read.
     """
+    small_batches(docs.sparkSession)
     refs = references(docs, lang_col, text_col) if refs is None else refs
     limits = {lang: (np.log(at), most) for lang, (at, most) in ((k, word_limits(x, rules)) for k, x in refs.items())}
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{lang_col}` as string) lang", f"cast(`{text_col}` as string) text")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import small_batches, tidy
 
 ROUNDS = 10
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "hex", "email")
@@ -246,6 +246,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     rewritten alike; an empty table gives none. Columns of docs named like the counts are
     replaced. back: undoes it.
     """
+    small_batches(docs.sparkSession)
     ours = [f"n_{k}" for k in KINDS]
     docs = docs.drop(*ours).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(k, T.LongType()) for k in ours])

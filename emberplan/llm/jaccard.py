@@ -575,7 +575,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    with small_batches(spark), scratch(spark):
+    small_batches(spark)
+    with scratch(spark):
         own, label = _components(spark, docs, share)
     out = own.join(label, F.col("node") == F.col("node_"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

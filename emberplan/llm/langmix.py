@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import slices, small_batches, tidy
 
 BUCKETS = 1 << 15
 FIT_ROWS = 4_000
@@ -171,6 +171,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pe
     language, with its share of the rows as score. Ties go to the first language in ascending order. Repeated
     rows get the same; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     langs, logs, prior = model
     logs = docs.sparkSession.sparkContext.broadcast(logs)  # BUCKETS * languages * 4 bytes
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")

@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tidy
+from .common import small_batches, tidy
 
 WINDOW = 4096
 BUFFER_TOKENS = 4 << 20
 #: Windows filled to this share leave the buffer.
 FULL = 0.99
 #: Bytes of the younger half of a worker's cache; when it is full it becomes the older half. An entry's overhead.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -213,7 +213,7 @@ def pack_batches(batches, path: str, window: int, end_id: int, partition: int):
                 if packer.tokens >= BUFFER_TOKENS // 2:  # pieces that fit with nothing here
                     for r in packer.pack(last=True):
                         rows += r
-            if len(rows) >= 50_000:
+            if len(rows) >= 10_000:
                 yield batch(rows)
                 rows = []
     for r in packer.pack(last=True):
@@ -234,6 +234,7 @@ def pack(
     are those of the task's partition in the upper, a counter in the lower 32 bits: a lost
     task repeats with the same ids.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
 
     def run(batches):

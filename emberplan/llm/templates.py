@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, jaccard
-from .common import materialise, mix, scratch, slices, span_hashes, tidy, word_spans
+from .common import materialise, mix, scratch, slices, small_batches, span_hashes, tidy, word_spans
 
 DEPTH = 2
 MIN_DOCS = 5
@@ -316,6 +316,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     broadcast_entries; otherwise the lines are joined by their rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ours = ["n_lines", "n_dropped"]
     docs = docs.drop(*ours).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     names, text_at = [*docs.columns, *ours], docs.columns.index(text_col)
