@@ -89,14 +89,15 @@ def delete(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffles of the write go once it has ended.
+    The shuffles of the write go once it has ended. Small partitions are joined to the advised
+    size, so that a small table is a file or two.
     keep: it outlives the scratch() block that it is written in.
     """
     spark = df.sparkSession
     around = _OPEN[:-1] if keep else _OPEN
     path = f"{around[-1]}/{uuid.uuid4().hex}-{name}" if around else f"{work_dir(spark)}/{name}"
     small_batches(spark)
-    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

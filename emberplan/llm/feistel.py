@@ -9,6 +9,7 @@ equal across documents, and a holder of the key can go back.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -135,7 +136,7 @@ def _date(f, m, back):
     parts = m.split(sep)
     first = 0 if len(parts[0]) == 4 else 2
     y, mid, last = (int(parts[first]), int(parts[1]), int(parts[2 - first]))
-    # Day first unless only month first is a date; the order found is part of the format.
+    # Day first unless only month first is a date.
     for order in ("ymd",) if first == 0 else ("dmy", "mdy"):
         mo, day = (mid, last) if order != "mdy" else (last, mid)
         try:
@@ -144,10 +145,11 @@ def _date(f, m, back):
             continue
         if not 0 <= x < DAYS:
             return None
-        # A day first date must not turn into one that could be read month first, or back.
-        both = lambda n: (t := datetime.date.fromordinal(n + DAY_0)) and t.day <= 12
-        ok = (lambda n: True) if first == 0 else (lambda n, own=both(x): both(n) == own)
-        t = datetime.date.fromordinal(f.permute(x, DAYS, b"date" + order.encode(), ok, back) + DAY_0)
+        # Dates that could be read day first or month first keep to themselves in every order, so
+        # that a date keeps its pseudonym however it is written.
+        both = lambda n: datetime.date.fromordinal(n + DAY_0).day <= 12
+        ok = lambda n, own=both(x): both(n) == own
+        t = datetime.date.fromordinal(f.permute(x, DAYS, b"date", ok, back) + DAY_0)
         new = {"ymd": (f"{t.year}", t.month, t.day), "dmy": (t.day, t.month, f"{t.year}"), "mdy": (t.month, t.day, f"{t.year}")}[order]
         return sep.join(n if isinstance(n, str) else f"{n:02d}" for n in new)
     return None
@@ -192,7 +194,8 @@ FORMATS = {
     "phone": (r"(?<![\d+(])(?:\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4})(?!\d|-\d)", _phone),
 }
 SOME = re.compile("[0-9@]")
-TELLS = {"email": "@"}
+#: Kinds written in groups, whose shorter readings are tried.
+GROUPED = ("card", "iban")
 
 
 class Pseudonyms:
@@ -205,15 +208,27 @@ class Pseudonyms:
         """(start, end, kind, pseudonym) of the validated values, in order, without overlaps."""
         if not SOME.search(text):
             return []
+        starts: list[int] = []  # of the places taken so far, in order; found by halving
         taken: list[tuple[int, int, str, str]] = []
         for kind, pattern, replace in self.formats:
-            for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            m = pattern.search(text)
+            while m:
+                start, end = m.span()
+                k = bisect.bisect_left(starts, end)
+                if k and taken[k - 1][1] > start:
+                    m = pattern.search(text, max(start + 1, taken[k - 1][1]))
                     continue
-                new = replace(self.f, m[0], back)
+                new = replace(self.f, text[start:end], back)
+                # What fails as a whole may be a value and a number behind it.
+                while new is None and kind in GROUPED and (cut := max(text.rfind(" ", start, end), text.rfind("-", start, end))) > start:
+                    end = cut
+                    new = replace(self.f, text[start:end], back)
                 if new is not None:
-                    taken.append((m.start(), m.end(), kind, new))
-        return sorted(taken)
+                    k = bisect.bisect_left(starts, start)
+                    starts.insert(k, start)
+                    taken.insert(k, (start, end, kind, new))
+                m = pattern.search(text, end if new is not None else start + 1)
+        return taken
 
     def rewrite(self, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
         out, at, counts = [], 0, {}
@@ -242,9 +257,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     """Every row of docs with validated values in its text replaced, and n_<kind> counts.
 
     What only looks like a value (a card number with a wrong check digit, an impossible date)
-    stays. Null texts stay null and empty ones empty, with counts of 0. Repeated rows are
+    stays. Formats: KINDS, written as in FORMATS; a date keeps its pseudonym in each of its
+    orders. Time grows with the length of a text, whole texts of any length are read. Null texts stay null and empty ones empty, with counts of 0. Repeated rows are
     rewritten alike; an empty table gives none. Columns of docs named like the counts are
-    replaced. back: undoes it.
+    replaced. back: undoes it (but where digits behind a grouped number happen to make a longer
+    valid one with its pseudonym).
     """
     small_batches(docs.sparkSession)
     ours = [f"n_{k}" for k in KINDS]

@@ -5,8 +5,10 @@ import datetime
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +362,57 @@ def test_op7_permutes():
     assert datetime.date.fromisoformat(feistel.Pseudonyms(b"k").rewrite("2024-02-29")[0])
 
 
+def test_op7_links_dates_and_reads_shorter():
+    p = feistel.Pseudonyms(b"k")
+    for day in ("2024-02-29", "2001-11-05"):
+        y, m, d = day.split("-")
+        forms = [f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{d}/{m}/{y}", f"{d}.{m}.{y}"]
+        got = [re.findall(r"\d+", p.rewrite(x)[0]) for x in forms]
+        assert got[0] == got[1] == got[2][::-1] == got[3][::-1]
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    assert p.rewrite(f"{card} 12/25")[0] == p.rewrite(card)[0] + " 12/25"
+    assert p.rewrite(f"1234 {card}")[0] == "1234 " + p.rewrite(card)[0]
+    assert p.rewrite(f"{iban} BIC 1")[0] == p.rewrite(iban)[0] + " BIC 1"
+
+
+def test_op7_long_text_against_its_values():
+    """A text of thousands of values is rewritten value by value, in time that grows with it."""
+    rng = random.Random(31)
+    p, values, new = feistel.Pseudonyms(b"k"), [], []
+    for i in range(4000):
+        body = "".join(rng.choices("0123456789", k=15))
+        v = [f"{rng.randrange(1950, 2050)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", body + feistel.luhn_digit(body), f"{rng.randrange(1, 255)}.0.{i % 200}.7", f"w{i % 50}@mail{i % 3}.org", "4111111111111112"][i % 5]
+        values.append(v)
+        new.append(p.rewrite(v)[0])
+    assert sum(a != b for a, b in zip(values, new)) > 3000
+    began = time.process_time()
+    got = p.rewrite("; ".join(values))[0]
+    assert got == "; ".join(new) and time.process_time() - began < 5
+
+
+def test_op7_table_against_walks_by_table(spark):
+    """Pseudonyms of a table by a permutation that is written out in full."""
+    rows = [(i, f"on {1900 + i}-0{1 + i % 9}-1{i % 10}, ip 10.{i}.0.1") for i in range(60)] + [(99, None)]
+    f = feistel.Feistel(b"k")
+    a = math.isqrt(feistel.DAYS - 1) + 1
+    once = lambda x, size, tweak: f._once(x, math.isqrt(size - 1) + 1, -(-size // (math.isqrt(size - 1) + 1)), tweak, False)
+    day = lambda n: datetime.date.fromordinal(feistel.DAY_0 + n)
+    walk = {n: once(n, feistel.DAYS, b"date") for n in range(a * -(-feistel.DAYS // a))}
+    want = {}
+    for i, t in rows:
+        if t is None:
+            want[i] = None
+            continue
+        x = datetime.date.fromisoformat(t[3:13]).toordinal() - feistel.DAY_0
+        y = walk[x]
+        while y >= feistel.DAYS or (day(y).day <= 12) != (day(x).day <= 12):
+            y = walk[y]
+        ip = once(int.from_bytes(bytes([10, i, 0, 1]), "big"), 1 << 32, b"ip")
+        want[i] = f"on {day(y)}, ip {'.'.join(map(str, ip.to_bytes(4, 'big')))}"
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert {r["doc_id"]: r["text"] for r in feistel.pseudonymise(docs, b"k").collect()} == want
+
+
 def test_op7_table(spark):
     rows = [(1, "call +1 (743) 555-3824 or 4111111111111111", 5), (2, "again 4111111111111111", 5), (3, None, 5), (4, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, n_card INT")
