@@ -8,8 +8,8 @@ shared random steps: at density 2^-level, with the level chosen by length so tha
 SAMPLES to twice as many samples; the steps of a level are among those of the level below, so
 fingerprints of any two lengths can be compared. Each sample is one hex digit of its character.
 
-Bands of sampled digits give candidates, and candidates are verified on their fingerprints
-(near()), or by the callers on their texts.
+Bands of sampled digits give candidates, and candidates are verified on their fingerprints; linked
+ones make classes (near_classes()).
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialise, mix, tidy
+from . import jaccard
+from .common import materialise, mix, scratch, small_batches, tidy
+from .components import components
 
 #: Least number of samples of a text that has as many steps.
 SAMPLES = 128
@@ -31,6 +32,8 @@ PERIOD, WIDTH = 4096, 64
 #: Code points that a group of texts walks over at once.
 CELLS = 4_000_000
 BAND = 8
+#: Rounds in which classes of a band are compared by one fingerprint of each, before all are; fingerprints in a block of a band.
+STAR_ROUNDS, BLOCK = 2, 256
 
 
 def _salt(k: int) -> np.uint64:
@@ -195,63 +198,140 @@ def _close(batches, seed: int):
 
 def compare_with_next(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text (see edited()), and their likeness to
-    it and of the next document's, in ascending order of id, then text; the last one's next is
-    the first.
+    it and of the next document's, in ascending order of id, then of a hash of the text, then text;
+    the last one's next is the first.
 
     Null texts are empty; an empty text's fingerprint has no sample. Null ids come first.
     Repeated rows follow each other. A single row is its own next. An empty table gives none.
-    Texts are ranged by id once; what crosses from one range to the next are two texts a range.
+    Texts are ranged once, by id and hash; what crosses from one range to the next are two texts a range.
     """
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(cast(`{text_col}` as string), '') text")
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ranged = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     done = materialise(ranged.mapInArrow(tidy(lambda x: _compare(x, seed)), SCHEMA).withColumn("range", F.spark_partition_id()), "compared")
     edges = done.where("first is not null").select("range", "first", "doc_id", "text")
-    # A first and a last text for each range, in range order: the next row of a last is a first.
-    order = Window.orderBy("range", F.desc("first"))
-    whole = Window.partitionBy()
-    pairs = edges.withColumn("next", F.lead("text").over(order)).withColumn("start", F.min(F.when(F.col("first"), F.struct("range", "text"))).over(whole))
-    pairs = pairs.where("not first").select("doc_id", "text", F.coalesce("next", "start.text").alias("next"))
+    # Of ranges that have rows, which follows which: two numbers a range, no text.
+    ranges = sorted(r["range"] for r in edges.where("first").select("range").collect())
+    follows = docs.sparkSession.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1], strict=True)), "range int, after int")
+    firsts = edges.where("first").select(F.col("range").alias("after"), F.col("text").alias("next"))
+    pairs = edges.where("not first").join(F.broadcast(follows), "range").join(firsts, "after").select("doc_id", "text", "next")
     last = pairs.mapInArrow(tidy(lambda x: _close(x, seed)), SCHEMA.split(", first")[0])
     return done.where("first is null").select(*NAMES[:7]).unionByName(last)
 
 
+# --- bands and classes ------------------------------------------------------------------------
+
+
+def _bands(batches, seed: int):
+    """(node, key) of each band of a fingerprint, at its own level and at the next coarser one."""
+    walks = Walks(seed)
+    for b in batches:
+        nodes, keys = [], []
+        for node, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own, digits = int(p.split(":")[0]), p.split(":")[1]
+            for level in (own, own + 1):
+                x = walks._at(own, digits, level)
+                k = max(1, len(x) // BAND)
+                whole = np.zeros((k, BAND), np.uint8)
+                whole.reshape(-1)[: min(len(x), k * BAND)] = x[: k * BAND]
+                value = np.ascontiguousarray(whole).view(np.uint64)[:, 0]
+                place = np.arange(k, dtype=np.uint64) + np.uint64(level << 40)
+                nodes.append(np.full(k, node, np.int64))
+                keys.append(mix(value ^ mix(place)))
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "key"])
+
+
+def _alike(batches, least: float, seed: int):
+    """Of (u, v, fingerprints), the (u, v) whose likeness is enough."""
+    walks = Walks(seed)
+    for b in batches:
+        ok = [(u, v) for u, v, p, q in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True) if walks.likeness(p, q) >= least]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in ok], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
 def _tile(least: float, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        """The pairs of two blocks of a band whose fingerprints are alike enough."""
+        """The pairs of two blocks of a band, of different classes, whose fingerprints are alike enough."""
         walks = Walks(seed)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("id", "p", "block")], strict=True))
-        found = {}
-        for u, p, _ in (r for r in rows if r[2] == i):
-            for v, q, _ in (r for r in rows if r[2] == j):
-                if u != v and (i != j or u < v) and (like := walks.likeness(p, q)) >= least:
-                    found[min(u, v), max(u, v)] = like
-        return pa.table({"u": pa.array([k[0] for k in found], pa.int64()), "v": pa.array([k[1] for k in found], pa.int64()), "likeness": pa.array(list(found.values()), pa.float64())})
+        node, root, block = (np.asarray(table.column(c)) for c in ("node", "root", "block"))
+        prints = [(int(x.split(":")[0]), x.split(":")[1]) for x in table.column("p").to_pylist()]
+        us, vs = [], []
+        for level in sorted({p[0] for p in prints}):
+            # Those of this level with those of it and of finer ones.
+            at = np.array([k for k, p in enumerate(prints) if p[0] <= level], np.int64)
+            digits = [walks._at(*prints[k], level) for k in at]
+            size = np.array([len(d) for d in digits])
+            matrix = np.zeros((len(at), max(size.max(), 1)), np.uint8)
+            for k, d in enumerate(digits):
+                matrix[k, : len(d)] = d
+            here = np.array([prints[k][0] == level for k in at])
+            left, right = np.flatnonzero(here), np.arange(len(at))
+            for k in left.tolist():
+                ok = (root[at[right]] != root[at[k]]) & (~here[right] | (node[at[right]] > node[at[k]]))
+                ok &= ((block[at[right]] == i) & (block[at[k]] == j)) | ((block[at[right]] == j) & (block[at[k]] == i))
+                rows = right[ok]
+                same = ((matrix[rows] == matrix[k]) & (matrix[rows] > 0)).sum(axis=1)
+                hit = at[rows[same >= least * np.maximum(np.maximum(size[rows], size[k]), 1)]]
+                us.append(np.minimum(node[at[k]], node[hit]))
+                vs.append(np.maximum(node[at[k]], node[hit]))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"u": pa.array(np.concatenate([empty, *us])), "v": pa.array(np.concatenate([empty, *vs]))})
 
     return run
 
 
-def near(prints: DataFrame, least: float = 0.5, seed: int = 11, id_col: str = "doc_id", print_col: str = "fingerprint", frequent: int = 1000, block: int = 128) -> DataFrame:
-    """(u, v, likeness): distinct fingerprints at least so alike, among those that share a band.
+def near_classes(prints: DataFrame, least: float = 0.75, seed: int = 11, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
+    """(doc_id, class_id) of each row: fingerprints that share a band and are at least so alike are
+    of one class, whose class_id is its smallest id. Null fingerprints are of no class, null ids
+    name none.
 
-    A band is BAND neighbouring digits at one place of a level. Rows of one fingerprint are one
-    (its least id stands for it); null fingerprints match nothing. A band that more than
-    `frequent` fingerprints share is a common passage: there, two must share a second band as
-    well. All fingerprints under a key are compared, in tiles of two blocks, so that no key meets
-    in one task and only alike pairs are written.
+    A band is BAND neighbouring samples at one place of a level; each fingerprint has those of its
+    own and of the next coarser level, so that texts of up to twice the length share some. Equal
+    fingerprints are one node. In a band every node is compared with one that the band has in
+    common; classes that still meet in a band are compared by one node of each for a few rounds, then
+    in full, in blocks, so that no band is left out however frequent, and none meets in one task.
     """
-    one = materialise(prints.where(F.col(f"`{print_col}`").isNotNull()).groupBy(F.col(f"`{print_col}`").alias("p")).agg(F.min(F.col(f"`{id_col}`").cast("long")).alias("id")), "prints")
-    bands = F.expr(f"array_distinct(transform(sequence(0, cast((greatest(length(substring_index(p, ':', -1)) - 1, 0) div {BAND}) as int)), i -> xxhash64(substring_index(p, ':', 1), i, substr(substring_index(p, ':', -1), i * {BAND} + 1, {BAND}))))")
-    rows = one.withColumn("all", bands).withColumn("key", F.explode("all"))
-    rows = materialise(rows, "bands")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key")
-    second = rows.where(f"n > {frequent}").withColumn("other", F.explode("all")).where("other <> key")
-    second = second.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).dropDuplicates(["id", "key"])
-    more = second.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    keyed = rows.where(f"n <= {frequent}").select("key", "id", "p", "n").unionByName(second.join(more, "key").select("key", "id", "p", F.col("m").alias("n")))
-    keyed = keyed.withColumn("blocks", F.expr(f"cast(ceil(n / {block}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    keyed = keyed.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = keyed.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "p")
-    found = keyed.groupBy("key", "i", "j").applyInArrow(_tile(least, seed), "u long, v long, likeness double")
-    return found.groupBy("u", "v").agg(F.max("likeness").alias("likeness"))
+    spark = prints.sparkSession
+    small_batches(spark)
+    rows = prints.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{print_col}`").alias("p"), F.xxhash64(F.col(f"`{print_col}`")).alias("node"))
+    with scratch(spark):
+        nodes = materialise(rows.where("p is not null").groupBy("node", "p").agg(F.min("doc_id").alias("first")), "nodes")
+        bands = materialise(nodes.select("node", "p").mapInArrow(tidy(lambda x: _bands(x, seed)), "node long, key long").distinct(), "bands")
+        shared = bands.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("hub")).where("k > 1")
+        tiles = materialise(bands.join(shared, "key"), "tiles")
+        values = nodes.select("node", F.lit(0).cast("long").alias("n"), F.col("p").alias("value"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            both = jaccard._with_values(materialise(pairs, "pairs"), values).select("u", "v", "value_u", "value_v")
+            return materialise(both.mapInArrow(tidy(lambda x: _alike(x, least, seed)), "u long, v long"), "links")
+
+        tested = materialise(tiles.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "tested")
+        links = verified(tested)
+        tiles = tiles.where("k > 2").select(F.col("key").alias("tile"), "node")
+        for _ in range(STAR_ROUNDS):
+            roots = components(links)
+            open_ = jaccard._open_tiles(jaccard._rooted(tiles, "node", roots))
+            one = jaccard._rooted(jaccard._of_tiles(tiles, open_), "node", roots).groupBy("tile", "root_node").agg(F.min("node").alias("node"))
+            # A hash of (tile, root) picks the one that the others are compared with, anew in each tile.
+            hub = one.groupBy("tile").agg(F.max(F.struct(F.xxhash64("tile", "root_node").alias("h"), "root_node", "node")).alias("hub"))
+            star = jaccard._of_tiles(one, hub).where("root_node <> hub.root_node").select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+            star = materialise(star.join(tested, ["u", "v"], "left_anti"), "star")
+            new = verified(star)
+            tested = materialise(tested.unionByName(star), "tested")
+            if new.isEmpty():
+                break
+            links = materialise(links.unionByName(new), "links")
+        roots = components(links)
+        open_ = jaccard._open_tiles(jaccard._rooted(tiles, "node", roots)).withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)"))
+        member = jaccard._rooted(jaccard._of_tiles(tiles, open_), "node", roots).withColumnRenamed("root_node", "root")
+        member = member.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).join(nodes.select("node", "p"), "node")
+        member = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        member = member.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "p")
+        more = materialise(member.groupBy("tile", "i", "j").applyInArrow(_tile(least, seed), "u long, v long").distinct(), "more")
+        label = jaccard._rooted(nodes.select("node", "first"), "node", components(links.unionByName(more)))
+        least_id = label.groupBy("root_node").agg(F.min("first").alias("class_id"))
+        label = materialise(label.join(least_id, "root_node").select(F.col("node").alias("node_"), "class_id"), "label", keep=True)
+    return rows.join(label, F.col("node") == F.col("node_"), "left").select("doc_id", F.when(F.col("p").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

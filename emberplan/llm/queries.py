@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import budget, cotrain, divergence, editwalk, feistel, jaccard, langmix, merkle, packing, templates
+from .common import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +69,7 @@ FROM f
 """
 
 
-#: Bytes of records in a file of the audited archive, and the damage done to its second copy.
+#: Ids of records in a file of the audited archive, and the damage done to its second copy.
 PAGES_A_FILE = 512
 
 
@@ -113,7 +114,10 @@ FROM x FULL JOIN y USING (file, "offset") WHERE x.d IS DISTINCT FROM y.d
 
 @query
 def op3_editwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editwalk.compare_with_next(table(spark, sf_dir, "documents"))
+    out = materialise(editwalk.compare_with_next(table(spark, sf_dir, "documents")), "compared")
+    # An id that is missing has no class here; one that is repeated has the least of its rows'.
+    classes = editwalk.near_classes(out).where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.min("class_id").alias("class_id"))
+    return out.join(classes, F.col("doc_id") == F.col("id_"), "left").drop("id_")
 
 
 @query

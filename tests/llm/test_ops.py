@@ -182,11 +182,55 @@ def test_op3_edits_stay_near(spark):
     w = editwalk.Walks()
     p = w.fingerprints([editwalk.points(x) for x in base + near])
     assert all(w.likeness(p[i], p[i + 20]) > 0.7 for i in range(20)) and all(w.likeness(p[i], p[i + 1]) < 0.4 for i in range(19))
-    rows = spark.createDataFrame(list(enumerate(p)) + [(99, p[0]), (98, None)], "doc_id LONG, fingerprint STRING")
-    found = {(r["u"], r["v"]) for r in editwalk.near(rows, 0.7).collect()}
-    differ = {(i, i + 20) for i in range(20) if p[i] != p[i + 20]}  # equal fingerprints are one row
-    assert found == differ and len(differ) > 3
-    assert {(r["u"], r["v"]) for r in editwalk.near(rows, 0.7, frequent=1, block=3).collect()} == found
+    rows = spark.createDataFrame(list(enumerate(p)) + [(99, p[0]), (98, None), (None, p[1])], "doc_id LONG, fingerprint STRING").withColumn("class_id", F.lit("clash"))
+    got = {r["doc_id"]: r["class_id"] for r in editwalk.near_classes(rows, 0.7).collect()}
+    assert got == {**{i: i % 20 for i in range(40)}, 99: 0, 98: None, None: 1}
+    assert editwalk.near_classes(rows.limit(0)).count() == 0
+
+
+def alike(w, p, least):
+    parent = list(range(len(p)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(p)), 2) if w.likeness(p[i], p[j]) >= least]
+    for i, j in links:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(p))], links
+
+
+def test_op3_classes_against_brute_force(spark, monkeypatch):
+    """Recall of links at least 0.9 against all pairs: growth, shrinkage and edits over many lengths, and a
+    frequent beginning that alone links nobody."""
+    monkeypatch.setattr(editwalk, "BLOCK", 40)
+    monkeypatch.setattr(editwalk, "STAR_ROUNDS", 1)
+    rng = random.Random(17)
+    w, texts = editwalk.Walks(), []
+    begin = prose(rng, 60)
+    for _ in range(60):
+        t = prose(rng, rng.randrange(30, 600))
+        cut = len(t) // rng.randrange(8, 20)
+        texts += [t, t + " " + prose(rng, 1 + len(t) // 60), t[:-cut] if rng.random() < 0.5 else t[cut:]]
+        texts.append(t[: len(t) // 2] + "?" * rng.randrange(1, 9) + t[len(t) // 2 :])
+        texts.append(begin + prose(rng, rng.randrange(200, 300)))
+    p = w.fingerprints([editwalk.points(x) for x in texts])
+    want, links = alike(w, p, 0.75)
+    got = {r["doc_id"]: r["class_id"] for r in editwalk.near_classes(spark.createDataFrame(list(enumerate(p)), "doc_id LONG, fingerprint STRING")).collect()}
+    levels = sum(p[i].split(":")[0] != p[j].split(":")[0] for i, j in links)
+    assert len(links) > 60 and levels > 5
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    assert all(want[i] == want[got[i]] for i in range(len(p)))  # nothing that brute force keeps apart
+
+
+def test_op3_ties_and_missing_ids(spark):
+    rows = [(None, "a b"), (None, "c d e"), (5, "x y z"), (5, "x y z"), (5, "other text"), (7, None), (8, "long " * 60_000)]
+    got = editwalk.compare_with_next(spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumn("fingerprint", F.lit("clash")).repartition(5)).collect()
+    assert len(got) == len(rows) and sorted(r["n_chars"] for r in got) == sorted(len(t or "") for _, t in rows)
+    assert {r["near_next"] for r in got if r["doc_id"] == 5 and r["n_chars"] == 5} >= {1.0}
 
 
 # --- 4 ---------------------------------------------------------------------------------------
