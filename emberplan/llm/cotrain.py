@@ -1,15 +1,17 @@
 """Quality classifier by co-training two naive Bayes views.
 
-The text view sees what a text is made of, the metadata view its source, language, size and
-layout. Each is a naive Bayes model over binned features, so a model is a table of counts and a
-round of training is one sum over all documents. Both start from the labelled ones. In each
+The text view sees which words and pairs of words a text has and what its characters are; the
+metadata view its source, language, size and layout. No feature is in both, and the text view
+does not see length: its words count by their root mean. Each is a naive Bayes model, over hashed
+words and binned features, so a model is a table of counts and a round of training is one sum
+over all documents. Both start from the labelled ones. In each
 round every unlabelled document that one view is confident of goes, with that pseudo-label,
 into the other view's training. Part of the labelled documents stays out of training: on them each
 view's log-odds are calibrated (logistic regression on their histogram), and the calibrated
 views are added, less the prior they share.
 
-A document's features are 32 bytes; the tables that go round are those and the models, never
-texts. Nothing but summed counts comes to the driver.
+A document's features are some bytes and its distinct buckets of words and pairs, two bytes each;
+the tables that go round are those and the models, never texts. Nothing but summed counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, slices, small_batches, span_hashes, tidy, word_spans
+from .common import LOWER, materialise, slices, small_batches, span_hashes, tidy, window_hashes, word_spans
 from .divergence import base_counts, class_counts
 
 BINS = 32
-TEXT = ("symbols", "upper", "digits", "marks", "other", "beyond_ascii", "word_length", "short_words", "distinct", "repeated", "marked_words", "repeated_lines", "words")
+TEXT = ("symbols", "upper", "digits", "marks", "other", "beyond_ascii", "word_length", "short_words", "distinct", "repeated", "marked_words", "repeated_lines")
 META = ("source", "lang", "chars", "lines", "line_length", "longest_line")
 FEATURES = len(TEXT) + len(META)
+#: Buckets of hashed words and pairs of words; what a document's words weigh against one binned feature.
+WORD_BUCKETS, WORD_WEIGHT = 1 << 14, 2.0
 
 
 @dataclass(frozen=True)
@@ -45,20 +49,23 @@ class Training:
 @dataclass(frozen=True)
 class Model:
     text: np.ndarray  # log-odds of good by (feature, bin)
+    words: np.ndarray  # by bucket of words
     meta: np.ndarray
     priors: tuple[float, float]  # each view's log-odds before any feature
     text_fit: tuple[float, float]
     meta_fit: tuple[float, float]
     prior: float
 
-    def views(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def views(self, bins: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """bins: by row and feature; words: the buckets of all rows, sizes: how many each has."""
         k = len(TEXT)
         text = self.priors[0] + self.text[np.arange(k), bins[:, :k]].sum(axis=1)
+        text = text + WORD_WEIGHT * np.bincount(np.repeat(np.arange(len(bins)), sizes), self.words[words], len(bins)) / np.sqrt(np.maximum(sizes, 1))
         meta = self.priors[1] + self.meta[np.arange(len(META)), bins[:, k:]].sum(axis=1)
         return text, meta
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        text, meta = self.views(bins)
+    def score(self, bins: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        text, meta = self.views(bins, words, sizes)
         z = self.text_fit[0] + self.text_fit[1] * text + self.meta_fit[0] + self.meta_fit[1] * meta - self.prior
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
@@ -75,9 +82,10 @@ def _log(x):
     return np.clip(np.floor(2 * np.log2(np.maximum(x, 1))), 0, BINS - 1).astype(np.int64)
 
 
-def features(text: pa.Array, source: list, lang: list, n_chars=None) -> np.ndarray:
-    """Bins (rows, FEATURES), uint8. Null texts count as empty, null names as one name."""
-    out = []
+def features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins (rows, FEATURES), uint8; the distinct buckets of words and pairs of all rows, and how
+    many each row has. Null texts count as empty, null names as one name."""
+    out, buckets, sizes = [], [], []
     for lo, off, data in slices(text):
         n = len(off) - 1
         starts, ends, at = word_spans(off, data)
@@ -116,7 +124,6 @@ def features(text: pa.Array, source: list, lang: list, n_chars=None) -> np.ndarr
             _share(base["n_repeat_words"], words),
             _share(np.bincount(row[marked], minlength=n), words),
             _share(base["n_dup_lines"], lines),
-            _log(words),
             np.array([zlib.crc32(str(x).encode()) % BINS for x in source[lo : lo + n]]),
             np.array([zlib.crc32(str(x).encode()) % BINS for x in lang[lo : lo + n]]),
             _log(chars),
@@ -125,27 +132,42 @@ def features(text: pa.Array, source: list, lang: list, n_chars=None) -> np.ndarr
             _log(longest),
         ]
         out.append(np.stack(cols, axis=1).astype(np.uint8))
-    return np.concatenate(out) if out else np.zeros((0, FEATURES), np.uint8)
+        pairs = window_hashes(h, 2)
+        inside = row[: len(pairs)] == row[1 : 1 + len(pairs)]
+        both = np.concatenate([h, pairs[inside]]) & np.uint64(WORD_BUCKETS - 1)
+        keyed = np.unique(np.concatenate([row, row[: len(pairs)][inside]]).astype(np.uint64) << np.uint64(32) | both)
+        buckets.append((keyed & np.uint64(WORD_BUCKETS - 1)).astype(np.uint16))
+        sizes.append(np.bincount((keyed >> np.uint64(32)).astype(np.int64), minlength=n))
+    if not out:
+        return np.zeros((0, FEATURES), np.uint8), np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(buckets), np.concatenate(sizes)
 
 
 def _featured(batches):
     for b in batches:
-        x = features(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "bins"])
+        x, words, sizes = features(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
+        raw, ends = words.tobytes(), (2 * np.cumsum(sizes)).tolist()
+        own = [r.tobytes() + raw[i:j] for r, i, j in zip(x, [0, *ends], ends)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["doc_id", "bins"])
 
 
-def _bins(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FEATURES)
+def _bins(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = column.to_pylist()
+    bins = np.frombuffer(b"".join([r[:FEATURES] for r in rows]), np.uint8).reshape(-1, FEATURES)
+    words = np.frombuffer(b"".join([r[FEATURES:] for r in rows]), np.uint16)
+    return bins, words, np.array([(len(r) - FEATURES) // 2 for r in rows], np.int64)
 
 
 def _train_counts(batches, model: Model | None, how: Training):
-    """(view, good, feature, bin, weight): sums over a task's documents for the next models."""
+    """(view, good, feature, bin, weight): sums over a task's documents for the next models. The
+    buckets of words are the bins of a last feature."""
     sums = np.zeros((2, 2, FEATURES + 1, BINS))
+    found = np.zeros((2, WORD_BUCKETS))
     for b in batches:
-        bins, labels = _bins(b.column(0)), np.array([-1 if x is None else x for x in b.column(1).to_pylist()])
+        (bins, words, sizes), labels = _bins(b.column(0)), np.array([-1 if x is None else x for x in b.column(1).to_pylist()])
         use = [(0, labels, 1.0), (1, labels, 1.0)]
         if model is not None:
-            for view, odds in enumerate(model.views(bins)):
+            for view, odds in enumerate(model.views(bins, words, sizes)):
                 limit = np.log(how.confident / (1 - how.confident))
                 guess = np.where(odds > limit, 1, np.where(odds < -limit, 0, -1))
                 use.append((1 - view, np.where(labels == -1, guess, -1), how.pseudo_weight))
@@ -155,16 +177,20 @@ def _train_counts(batches, model: Model | None, how: Training):
                 sums[view, good, FEATURES, 0] += weight * len(x)
                 for f in range(FEATURES):
                     sums[view, good, f] += weight * np.bincount(x[:, f], minlength=BINS)
-    at = np.argwhere(sums)
-    yield pa.RecordBatch.from_arrays([*[pa.array(at[:, i].astype(np.int32)) for i in range(4)], pa.array(sums[tuple(at.T)])], names=["view", "good", "feature", "bin", "weight"])
+                if view == 0:
+                    found[good] += weight * np.bincount(words[np.repeat(y == good, sizes)], minlength=WORD_BUCKETS)
+    at, more = np.argwhere(sums), np.argwhere(found)
+    where = np.concatenate([at, np.stack([0 * more[:, 0], more[:, 0], 0 * more[:, 0] + FEATURES + 1, more[:, 1]], 1)]).astype(np.int32)
+    weights = np.concatenate([sums[tuple(at.T)], found[tuple(more.T)]])
+    yield pa.RecordBatch.from_arrays([*[pa.array(where[:, i]) for i in range(4)], pa.array(weights)], names=["view", "good", "feature", "bin", "weight"])
 
 
 def _calibration(batches, model: Model):
     """(view, good, log-odds to a quarter, count)."""
     sums: dict[tuple, int] = {}
     for b in batches:
-        bins, labels = _bins(b.column(0)), b.column(1).to_pylist()
-        for view, odds in enumerate(model.views(bins)):
+        features_, labels = _bins(b.column(0)), b.column(1).to_pylist()
+        for view, odds in enumerate(model.views(*features_)):
             for z, y in zip(np.clip(np.round(odds * 4), -400, 400).astype(int).tolist(), labels, strict=True):
                 sums[view, y, z] = sums.get((view, y, z), 0) + 1
     rows = list(sums.items())
@@ -180,6 +206,12 @@ def _naive_bayes(sums: np.ndarray, view: int, how: Training) -> tuple[np.ndarray
     return p[1] - p[0], float(np.log(n[1] / n[0]))
 
 
+def _word_odds(found: np.ndarray, rows: np.ndarray, how: Training) -> np.ndarray:
+    """Log-odds of good by bucket, from how many of either class's documents have it."""
+    p = (found + how.smoothing) / (rows[:, None] + 2 * how.smoothing)
+    return np.clip(np.log(p[1] / p[0]), -3, 3)
+
+
 def _logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Offset and slope (>= 0) of good by log-odds, with weak pulls to their prior values."""
     a, b = 0.0, 0.5
@@ -199,8 +231,8 @@ def _logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col="doc_id", text_col="text", source_col="source", lang_col="lang", label_col="quality") -> Model | None:
     """The combined model; None if either class has no label.
 
-    All labelled rows and all unlabelled documents count. Of several labels for one id the
-    least holds. Labels other than 0 and 1, or of absent documents, are left out.
+    All labelled rows and all unlabelled documents count, repeated rows each. Of several labels
+    for one id the least holds. Labels other than 0 and 1, or of absent documents, are left out.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").cast("string").alias(k) for c, k in ((text_col, "text"), (source_col, "source"), (lang_col, "lang"))])
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{label_col}`").cast("int").alias("good")).where("good in (0, 1)").groupBy("id_").agg(F.min("good").alias("good"))
@@ -213,12 +245,17 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
     for _ in range(how.rounds + 1):
         got = training.mapInArrow(tidy(lambda x, m=model: _train_counts(x, m, how)), "view int, good int, feature int, bin int, weight double")
         sums = np.zeros((2, 2, FEATURES + 1, BINS))
-        for r in got.groupBy("view", "good", "feature", "bin").agg(F.sum("weight").alias("weight")).collect():  # 4 * FEATURES * BINS
-            sums[r["view"], r["good"], r["feature"], r["bin"]] = r["weight"]
+        found = np.zeros((2, WORD_BUCKETS))
+        got = got.groupBy("view", "good", "feature", "bin").agg(F.sum("weight").alias("weight"))
+        for b in got.toArrow().to_batches():  # 4 * FEATURES * BINS + 2 * WORD_BUCKETS numbers at most
+            view, good, feature, bin_, weight = (np.asarray(c) for c in b.columns)
+            w = feature > FEATURES
+            found[good[w], bin_[w]] = weight[w]
+            sums[view[~w], good[~w], feature[~w], bin_[~w]] = weight[~w]
         if not sums[:, :, FEATURES, 0].all():
             return None
         (text, p0), (meta, p1) = _naive_bayes(sums, 0, how), _naive_bayes(sums, 1, how)
-        model = Model(text, meta, (p0, p1), (0.0, 1.0), (0.0, 1.0), 0.0)
+        model = Model(text, _word_odds(found, sums[0, :, FEATURES, 0], how), meta, (p0, p1), (0.0, 1.0), (0.0, 1.0), 0.0)
     got = calibrating.mapInArrow(tidy(lambda x: _calibration(x, model)), "view int, good int, odds int, n long")
     got = got.groupBy("view", "good", "odds").agg(F.sum("n").alias("n")).collect()  # 4 * 801
     fits = []
@@ -226,13 +263,13 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
         x = np.array([(r["odds"] / 4, r["good"], r["n"]) for r in got if r["view"] == view], float).reshape(-1, 3)
         fits.append(_logistic(x[:, 0], x[:, 1], x[:, 2]) if len(x) else (0.0, 1.0))
     n = [sum(r["n"] for r in got if r["view"] == 0 and r["good"] == g) + 1 for g in (0, 1)]
-    return Model(model.text, model.meta, model.priors, *fits, float(np.log(n[1] / n[0])))
+    return Model(model.text, model.words, model.meta, model.priors, *fits, float(np.log(n[1] / n[0])))
 
 
 def _scored(batches, model: Model | None, names: list[str], at: dict[str, int], limit: float, only_kept: bool):
     for b in batches:
         x = features(b.column(at["text"]), b.column(at["source"]).to_pylist(), b.column(at["lang"]).to_pylist())
-        score = model.score(x) if model is not None else np.full(len(x), 0.5)
+        score = model.score(*x) if model is not None else np.full(b.num_rows, 0.5)
         kept = score >= limit
         out = pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(kept)], names=names)
         yield out.filter(pa.array(kept)) if only_kept else out
@@ -241,7 +278,8 @@ def _scored(batches, model: Model | None, names: list[str], at: dict[str, int],
 def classify(docs: DataFrame, model: Model | None, limit: float = 0.25, only_kept: bool = False, text_col="text", source_col="source", lang_col="lang") -> DataFrame:
     """Every row of docs with quality_score (0 to 1) and quality_kept (score >= limit).
 
-    Null and empty texts are scored like any others. Without a model (no labels of a class)
+    Null and empty texts are scored like any others, texts of any length as a whole; a score of
+    exactly the limit is kept. Without a model (no labels of a class)
     scores are 0.5 and all is kept. Columns of docs named like ours are replaced. Repeated rows
     are scored alike; an empty table gives none.
     """

@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,73 @@ def test_op4(spark):
     assert cotrain.classify(docs.limit(0), model).count() == 0
 
 
+def by_hand(docs, labels, how):
+    """Scores of all documents by co-training in plain loops over the same features."""
+    k, rows = len(cotrain.TEXT), []
+    for d in docs:
+        bins, words_, _ = cotrain.features(pa.array([d["text"]], pa.string()), [d["source"]], [d["lang"]])
+        rows.append((d["doc_id"], [[("b", f, int(bins[0, f])) for f in range(k)], [("b", f, int(bins[0, f])) for f in range(k, cotrain.FEATURES)]], [int(x) for x in words_]))
+    out = {i for i in labels if zlib.crc32(str(i).encode()) % how.calibrate_every == 0}
+    model = None
+
+    def odds(model, row, view):
+        prior, weights, word = model[view]
+        z = prior + sum(weights[x] for x in row[1][view])
+        if view == 0:
+            z += cotrain.WORD_WEIGHT * sum(word[x] for x in row[2]) / max(1, len(row[2])) ** 0.5
+        return z
+
+    for _ in range(how.rounds + 1):
+        n, seen, words_ = collections.Counter(), collections.Counter(), collections.Counter()
+        for row in rows:
+            if row[0] in out:
+                continue
+            given = [(v, labels[row[0]], 1.0) for v in (0, 1)] if row[0] in labels else []
+            if model and not given:
+                for v in (0, 1):
+                    z = odds(model, row, v)
+                    if abs(z) > math.log(how.confident / (1 - how.confident)):
+                        given.append((1 - v, int(z > 0), how.pseudo_weight))
+            for v, good, weight in given:
+                n[v, good] += weight
+                for x in row[1][v]:
+                    seen[v, good, x] += weight
+                if v == 0:
+                    for x in row[2]:
+                        words_[good, x] += weight
+        s, model = how.smoothing, []
+        for v in (0, 1):
+            weights = {(("b", f, b)): math.log((seen[v, 1, ("b", f, b)] + s) / (n[v, 1] + s * cotrain.BINS)) - math.log((seen[v, 0, ("b", f, b)] + s) / (n[v, 0] + s * cotrain.BINS)) for f in range(cotrain.FEATURES) for b in range(cotrain.BINS)}
+            word = {x: min(3, max(-3, math.log((words_[1, x] + s) / (n[0, 1] + 2 * s) / ((words_[0, x] + s) / (n[0, 0] + 2 * s))))) for x in range(cotrain.WORD_BUCKETS)} if v == 0 else {}
+            model.append((math.log((n[v, 1] + s) / (n[v, 0] + s)), weights, word))
+    held = [r for r in rows if r[0] in out]
+    fits = [cotrain._logistic(*map(np.array, zip(*[(min(400, max(-400, round(4 * odds(model, r, v)))) / 4, labels[r[0]], 1) for r in held]))) for v in (0, 1)]
+    good = sum(labels[r[0]] for r in held)
+    prior = math.log((good + 1) / (len(held) - good + 1))
+    return {r[0]: 1 / (1 + math.exp(-min(50, max(-50, sum(fits[v][0] + fits[v][1] * odds(model, r, v) for v in (0, 1)) - prior)))) for r in rows}
+
+
+def test_op4_against_plain_loops(spark):
+    docs, labels = labelled(spark, 120)
+    docs = docs.where("doc_id < 1000 or doc_id = 1001")
+    wanted = by_hand(docs.collect(), {r["doc_id"]: r["quality"] for r in labels.where("quality is not null and doc_id < 1000").collect()}, cotrain.Training())
+    got = {r["doc_id"]: r["quality_score"] for r in cotrain.classify(docs, cotrain.train(docs, labels)).collect()}
+    assert set(got) == set(wanted) and all(abs(got[i] - wanted[i]) < 1e-6 for i in got)
+
+
+def test_op4_held_out(spark):
+    """Content alone tells good from bad where layout, source and language do not; repeated rows score alike."""
+    rng = random.Random(19)
+    vocabulary = [[f"{c}{x}" for x in ("stone", "river", "field", "cloud", "paper", "glass")] for c in "gb"]
+    say = lambda good: " ".join(rng.choice(vocabulary[1 - good]) if rng.random() < 0.2 else rng.choice("abcdefgh") * 4 for _ in range(60))
+    rows = [(i, say(i % 2), "en", "s", 300) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:3], DOCS)
+    model = cotrain.train(docs, spark.createDataFrame([(i, i % 2) for i in range(0, 200)], "doc_id LONG, quality INT"))
+    got = cotrain.classify(docs, model, limit=0.5).collect()
+    assert sum(r["quality_kept"] == bool(r["doc_id"] % 2) for r in got if r["doc_id"] >= 200) >= 190
+    assert len({(r["doc_id"], r["quality_score"]) for r in got}) == 400 and len(got) == 403
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 LANGS = {"de": ["der", "und", "schön", "ungen", "keit", "über"], "en": ["the", "and", "thing", "with", "ation", "over"], "fr": ["les", "été", "eaux", "ment", "que", "où"]}
@@ -281,6 +349,49 @@ def test_op5(spark):
     assert langmix.predict(test, langmix.fit(train.limit(0))).where("lang_pred = 'und'").count() == test.count()
 
 
+def test_op5_mixture_against_brute_force():
+    """Shares by a fine grid, and the set that is best of the nested ones by penalised likelihood."""
+    rng = np.random.default_rng(4)
+    logs = np.log(rng.dirichlet(np.full(60, 0.3), 3).T + 1e-4).astype(np.float32)
+    logs = logs - np.log(np.exp(logs).sum(axis=0))
+    for truth in ([1, 0, 0], [0.6, 0.4, 0], [0.2, 0.3, 0.5], [0, 0.1, 0.9]):
+        grams_ = rng.choice(60, 900, p=(p := np.exp(logs.astype(float)) @ np.array(truth)) / p.sum())
+        at, n = np.unique(grams_, return_counts=True)
+        p = np.exp(logs[at].astype(float))
+        likelihood = lambda share: float(n @ np.log(p @ share + 1e-300))
+        grid = [np.array([a, b, 100 - a - b]) / 100 for a in range(101) for b in range(101 - a)]
+        best = max(grid, key=likelihood)
+        share, fit = langmix._mixture(p, n.astype(float), 400)
+        assert np.abs(share - best).max() < 0.03 and fit > likelihood(best) - 0.5
+        order = np.argsort(-langmix._mixture(p, n.astype(float))[0], kind="stable")
+        cost = langmix.PENALTY * np.log(len(grams_) + 1)
+        sets = {1: max(likelihood(np.eye(3)[i]) for i in range(3))}
+        for k in (2, 3):
+            sets[k] = max(likelihood(g) for g in grid if all(g[i] == 0 for i in order[k:]))
+        found, shares = langmix.infer(grams_, logs)
+        assert len(found) == max(sets, key=lambda k: sets[k] - cost * k) and abs(shares.sum() - 1) < 1e-6
+
+
+def test_op5_repeats_and_clashes(spark):
+    rows = [(1, "der und keit", "de"), (1, "der und keit", "de"), (2, "the and thing", "en")] * 20
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").withColumns({"score": F.lit("clash"), "langs": F.lit(1)})
+    got = langmix.predict(docs, langmix.fit(docs)).collect()
+    assert len(got) == 60 and {(r["doc_id"], r["lang_pred"]) for r in got} == {(1, "de"), (2, "en")}
+
+
+def test_op1_repeats_clashes_and_empty(spark):
+    rows = [(1, "one two three " * 5, "en", "x"), (1, "one two three " * 5, "en", "y"), (2, "w " * 50_000, "en", "z")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, kept STRING")
+    got = divergence.judge(docs).collect()
+    assert len(got) == 3 and len({(r["doc_id"], r["n_words"], r["kept"]) for r in got}) == 2 and all(r["base_failed"] for r in got)
+    assert divergence.judge(docs.limit(0)).count() == 0
+
+
+def test_op8_missing_ids(spark):
+    rows = packing.pack(spark.createDataFrame([(None, "a b"), (None, None), (3, "x" * 9000)], "doc_id LONG, text STRING")).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] is None) == 4 and len({r["sequence_id"] for r in rows}) >= 1
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
