@@ -2,7 +2,7 @@
 
 The text view sees which words and pairs of words a text has and what its characters are; the
 metadata view its source, language, size and layout. No feature is in both, and the text view
-does not see length: its words count by their root mean. Each is a naive Bayes model, over hashed
+does not see length: only words that tell the classes apart count. Each is a naive Bayes model, over hashed
 words and binned features, so a model is a table of counts and a round of training is one sum
 over all documents. Both start from the labelled ones. In each
 round every unlabelled document that one view is confident of goes, with that pseudo-label,
@@ -31,8 +31,9 @@ BINS = 32
 TEXT = ("symbols", "upper", "digits", "marks", "other", "beyond_ascii", "word_length", "short_words", "distinct", "repeated", "marked_words", "repeated_lines")
 META = ("source", "lang", "chars", "lines", "line_length", "longest_line")
 FEATURES = len(TEXT) + len(META)
-#: Buckets of hashed words and pairs of words; what a document's words weigh against one binned feature.
-WORD_BUCKETS, WORD_WEIGHT = 1 << 14, 2.0
+#: Buckets of hashed words and pairs of words; a bucket counts if its shares in the classes differ by so
+#: many standard errors; the log-odds of a document's words stay within bounds.
+WORD_BUCKETS, LEAST_Z, MOST_ODDS = 1 << 14, 6.0, 4.0
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ class Model:
         """bins: by row and feature; words: the buckets of all rows, sizes: how many each has."""
         k = len(TEXT)
         text = self.priors[0] + self.text[np.arange(k), bins[:, :k]].sum(axis=1)
-        text = text + WORD_WEIGHT * np.bincount(np.repeat(np.arange(len(bins)), sizes), self.words[words], len(bins)) / np.sqrt(np.maximum(sizes, 1))
+        text = text + np.clip(np.bincount(np.repeat(np.arange(len(bins)), sizes), self.words[words], len(bins)), -MOST_ODDS, MOST_ODDS)
         meta = self.priors[1] + self.meta[np.arange(len(META)), bins[:, k:]].sum(axis=1)
         return text, meta
 
@@ -207,9 +208,12 @@ def _naive_bayes(sums: np.ndarray, view: int, how: Training) -> tuple[np.ndarray
 
 
 def _word_odds(found: np.ndarray, rows: np.ndarray, how: Training) -> np.ndarray:
-    """Log-odds of good by bucket, from how many of either class's documents have it."""
+    """Log-odds of good by bucket, from how many of either class's documents have it; 0 where that
+    may be chance."""
     p = (found + how.smoothing) / (rows[:, None] + 2 * how.smoothing)
-    return np.clip(np.log(p[1] / p[0]), -3, 3)
+    both = (found.sum(axis=0) + how.smoothing) / (rows.sum() + 2 * how.smoothing)
+    z = (p[1] - p[0]) / np.sqrt(both * np.maximum(1 - both, 1e-9) * (1 / (rows[0] + how.smoothing) + 1 / (rows[1] + how.smoothing)))
+    return np.where(np.abs(z) >= LEAST_Z, np.log(p[1] / p[0]), 0.0)
 
 
 def _logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:

@@ -274,7 +274,7 @@ def by_hand(docs, labels, how):
         prior, weights, word = model[view]
         z = prior + sum(weights[x] for x in row[1][view])
         if view == 0:
-            z += cotrain.WORD_WEIGHT * sum(word[x] for x in row[2]) / max(1, len(row[2])) ** 0.5
+            z += max(-cotrain.MOST_ODDS, min(cotrain.MOST_ODDS, sum(word[x] for x in row[2])))
         return z
 
     for _ in range(how.rounds + 1):
@@ -298,7 +298,12 @@ def by_hand(docs, labels, how):
         s, model = how.smoothing, []
         for v in (0, 1):
             weights = {(("b", f, b)): math.log((seen[v, 1, ("b", f, b)] + s) / (n[v, 1] + s * cotrain.BINS)) - math.log((seen[v, 0, ("b", f, b)] + s) / (n[v, 0] + s * cotrain.BINS)) for f in range(cotrain.FEATURES) for b in range(cotrain.BINS)}
-            word = {x: min(3, max(-3, math.log((words_[1, x] + s) / (n[0, 1] + 2 * s) / ((words_[0, x] + s) / (n[0, 0] + 2 * s))))) for x in range(cotrain.WORD_BUCKETS)} if v == 0 else {}
+            word = {}
+            for x in range(cotrain.WORD_BUCKETS) if v == 0 else ():
+                p0, p1 = ((words_[g, x] + s) / (n[0, g] + 2 * s) for g in (0, 1))
+                q = (words_[0, x] + words_[1, x] + s) / (n[0, 0] + n[0, 1] + 2 * s)
+                z = (p1 - p0) / math.sqrt(q * (1 - q) * (1 / (n[0, 0] + s) + 1 / (n[0, 1] + s)))
+                word[x] = math.log(p1 / p0) if abs(z) >= cotrain.LEAST_Z else 0
             model.append((math.log((n[v, 1] + s) / (n[v, 0] + s)), weights, word))
     held = [r for r in rows if r[0] in out]
     fits = [cotrain._logistic(*map(np.array, zip(*[(min(400, max(-400, round(4 * odds(model, r, v)))) / 4, labels[r[0]], 1) for r in held]))) for v in (0, 1)]
