@@ -10,8 +10,10 @@ into the other view's training. Part of the labelled documents stays out of trai
 view's log-odds are calibrated (logistic regression on their histogram), and the calibrated
 views are added, less the prior they share.
 
-A document's features are some bytes and its distinct buckets of words and pairs, two bytes each;
-the tables that go round are those and the models, never texts. Nothing but summed counts comes to the driver.
+Which buckets of words and pairs tell the classes apart is found on a bounded sample of labelled
+rows (Training.word_rows, those with the least hashes of their ids), so a document's features are
+some bytes and the few such buckets that it has; the tables that go round are those and the
+models, never texts. Nothing but summed counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -45,12 +47,15 @@ class Training:
     calibrate_every: int = 4
     #: Weight of pseudo-labelled documents against labelled ones.
     pseudo_weight: float = 0.25
+    #: Labelled rows, about, on which the words that count are chosen.
+    word_rows: int = 20_000
 
 
 @dataclass(frozen=True)
 class Model:
     text: np.ndarray  # log-odds of good by (feature, bin)
     words: np.ndarray  # by bucket of words
+    chosen: np.ndarray  # whether a bucket counts
     meta: np.ndarray
     priors: tuple[float, float]  # each view's log-odds before any feature
     text_fit: tuple[float, float]
@@ -83,8 +88,19 @@ def _log(x):
     return np.clip(np.floor(2 * np.log2(np.maximum(x, 1))), 0, BINS - 1).astype(np.int64)
 
 
-def features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins (rows, FEATURES), uint8; the distinct buckets of words and pairs of all rows, and how
+def _buckets(h: np.ndarray, row: np.ndarray, n: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct chosen buckets of words and pairs of neighbours of all rows, and how many each row has."""
+    pairs = window_hashes(h, 2)
+    inside = np.flatnonzero(row[: len(pairs)] == row[1 : 1 + len(pairs)])
+    bucket = np.concatenate([h, pairs[inside]]) & np.uint64(WORD_BUCKETS - 1)
+    keep = np.flatnonzero(chosen[bucket.astype(np.int64)])
+    row = np.concatenate([row, row[inside]])[keep].astype(np.uint64)
+    keyed = np.unique(row << np.uint64(32) | bucket[keep])
+    return (keyed & np.uint64(WORD_BUCKETS - 1)).astype(np.uint16), np.bincount((keyed >> np.uint64(32)).astype(np.int64), minlength=n)
+
+
+def features(text: pa.Array, source: list, lang: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins (rows, FEATURES), uint8; the distinct chosen buckets of words and pairs of all rows, and how
     many each row has. Null texts count as empty, null names as one name."""
     out, buckets, sizes = [], [], []
     for lo, off, data in slices(text):
@@ -133,20 +149,37 @@ def features(text: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.n
             _log(longest),
         ]
         out.append(np.stack(cols, axis=1).astype(np.uint8))
-        pairs = window_hashes(h, 2)
-        inside = row[: len(pairs)] == row[1 : 1 + len(pairs)]
-        both = np.concatenate([h, pairs[inside]]) & np.uint64(WORD_BUCKETS - 1)
-        keyed = np.unique(np.concatenate([row, row[: len(pairs)][inside]]).astype(np.uint64) << np.uint64(32) | both)
-        buckets.append((keyed & np.uint64(WORD_BUCKETS - 1)).astype(np.uint16))
-        sizes.append(np.bincount((keyed >> np.uint64(32)).astype(np.int64), minlength=n))
+        found, size = _buckets(h, row, n, chosen)
+        buckets.append(found)
+        sizes.append(size)
     if not out:
         return np.zeros((0, FEATURES), np.uint8), np.zeros(0, np.uint16), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(buckets), np.concatenate(sizes)
 
 
-def _featured(batches):
+def _word_counts(batches):
+    """(good, bucket, docs): in how many labelled documents a bucket is; bucket -1 counts them all."""
+    found, n = np.zeros((2, WORD_BUCKETS), np.int64), [0, 0]
+    every = np.ones(WORD_BUCKETS, bool)
+    for b in batches:
+        good = np.asarray(b.column(1))
+        for lo, off, data in slices(b.column(0)):
+            data = LOWER[data]
+            starts, ends, at = word_spans(off, data)
+            row = np.repeat(np.arange(len(off) - 1), np.diff(at))
+            words, sizes = _buckets(span_hashes(data, starts, ends), row, len(off) - 1, every)
+            own = good[lo : lo + len(off) - 1]
+            for y in (0, 1):
+                n[y] += int((own == y).sum())
+                found[y] += np.bincount(words[np.repeat(own == y, sizes)], minlength=WORD_BUCKETS)
+    at = np.argwhere(found)
+    cols = [np.append(at[:, 0], [0, 1]), np.append(at[:, 1], [-1, -1]), np.append(found[tuple(at.T)], n)]
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["good", "bucket", "docs"])
+
+
+def _featured(batches, chosen: np.ndarray):
     for b in batches:
-        x, words, sizes = features(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
+        x, words, sizes = features(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), chosen)
         raw, ends = words.tobytes(), (2 * np.cumsum(sizes)).tolist()
         own = [r.tobytes() + raw[i:j] for r, i, j in zip(x, [0, *ends], ends)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["doc_id", "bins"])
@@ -208,12 +241,32 @@ def _naive_bayes(sums: np.ndarray, view: int, how: Training) -> tuple[np.ndarray
 
 
 def _word_odds(found: np.ndarray, rows: np.ndarray, how: Training) -> np.ndarray:
-    """Log-odds of good by bucket, from how many of either class's documents have it; 0 where that
-    may be chance."""
+    """Log-odds of good by bucket, from how many of either class's documents have it."""
+    p = (found + how.smoothing) / (rows[:, None] + 2 * how.smoothing)
+    return np.log(p[1] / p[0])
+
+
+def tells(found: np.ndarray, rows: np.ndarray, how: Training) -> np.ndarray:
+    """Whether a bucket's shares in the two classes differ by more than chance."""
     p = (found + how.smoothing) / (rows[:, None] + 2 * how.smoothing)
     both = (found.sum(axis=0) + how.smoothing) / (rows.sum() + 2 * how.smoothing)
     z = (p[1] - p[0]) / np.sqrt(both * np.maximum(1 - both, 1e-9) * (1 / (rows[0] + how.smoothing) + 1 / (rows[1] + how.smoothing)))
-    return np.where(np.abs(z) >= LEAST_Z, np.log(p[1] / p[0]), 0.0)
+    return np.abs(z) >= LEAST_Z
+
+
+def _chosen(rows: DataFrame, own: DataFrame, how: Training) -> np.ndarray:
+    """The buckets that tell the classes apart on the sample of labelled rows that train."""
+    own = own.where(F.expr(f"crc32(cast(id_ as string)) % {how.calibrate_every} <> 0"))
+    share = min(1.0, how.word_rows / max(1, own.count()))
+    sample = own.where(F.expr(f"{share} >= 1 or xxhash64(cast(id_ as string)) / 18446744073709551616D + 0.5D < {share}"))
+    texts = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("text", "good")  # word_rows, about, at any size
+    counts = texts.mapInArrow(tidy(_word_counts), "good int, bucket int, docs long").groupBy("good", "bucket").agg(F.sum("docs").alias("docs"))
+    found, n = np.zeros((2, WORD_BUCKETS)), np.zeros(2)
+    for b in counts.toArrow().to_batches():  # 2 * WORD_BUCKETS + 2 rows at most
+        good, bucket, docs = (np.asarray(c) for c in b.columns)
+        n[good[bucket < 0]] = docs[bucket < 0]
+        found[good[bucket >= 0], bucket[bucket >= 0]] = docs[bucket >= 0]
+    return tells(found, n, how)
 
 
 def _logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -240,7 +293,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").cast("string").alias(k) for c, k in ((text_col, "text"), (source_col, "source"), (lang_col, "lang"))])
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{label_col}`").cast("int").alias("good")).where("good in (0, 1)").groupBy("id_").agg(F.min("good").alias("good"))
-    bins = rows.mapInArrow(tidy(_featured), "doc_id long, bins binary")
+    small_batches(docs.sparkSession)
+    chosen = _chosen(rows, own, how)
+    bins = rows.mapInArrow(tidy(lambda x: _featured(x, chosen)), "doc_id long, bins binary")
     table = materialise(bins.join(own, F.col("doc_id") == F.col("id_"), "left").select("doc_id", "bins", "good"), "features")
     held_out = F.expr(f"good is not null and crc32(cast(doc_id as string)) % {how.calibrate_every} = 0")
     training = table.select("bins", F.when(~held_out, F.col("good")).alias("good"), held_out.alias("out")).where("not out").drop("out")
@@ -259,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
         if not sums[:, :, FEATURES, 0].all():
             return None
         (text, p0), (meta, p1) = _naive_bayes(sums, 0, how), _naive_bayes(sums, 1, how)
-        model = Model(text, _word_odds(found, sums[0, :, FEATURES, 0], how), meta, (p0, p1), (0.0, 1.0), (0.0, 1.0), 0.0)
+        model = Model(text, _word_odds(found, sums[0, :, FEATURES, 0], how), chosen, meta, (p0, p1), (0.0, 1.0), (0.0, 1.0), 0.0)
     got = calibrating.mapInArrow(tidy(lambda x: _calibration(x, model)), "view int, good int, odds int, n long")
     got = got.groupBy("view", "good", "odds").agg(F.sum("n").alias("n")).collect()  # 4 * 801
     fits = []
@@ -267,13 +322,14 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
         x = np.array([(r["odds"] / 4, r["good"], r["n"]) for r in got if r["view"] == view], float).reshape(-1, 3)
         fits.append(_logistic(x[:, 0], x[:, 1], x[:, 2]) if len(x) else (0.0, 1.0))
     n = [sum(r["n"] for r in got if r["view"] == 0 and r["good"] == g) + 1 for g in (0, 1)]
-    return Model(model.text, model.words, model.meta, model.priors, *fits, float(np.log(n[1] / n[0])))
+    return Model(model.text, model.words, model.chosen, model.meta, model.priors, *fits, float(np.log(n[1] / n[0])))
 
 
 def _scored(batches, model: Model | None, names: list[str], at: dict[str, int], limit: float, only_kept: bool):
     for b in batches:
-        x = features(b.column(at["text"]), b.column(at["source"]).to_pylist(), b.column(at["lang"]).to_pylist())
-        score = model.score(*x) if model is not None else np.full(b.num_rows, 0.5)
+        score = np.full(b.num_rows, 0.5)
+        if model is not None:
+            score = model.score(*features(b.column(at["text"]), b.column(at["source"]).to_pylist(), b.column(at["lang"]).to_pylist(), model.chosen))
         kept = score >= limit
         out = pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(kept)], names=names)
         yield out.filter(pa.array(kept)) if only_kept else out

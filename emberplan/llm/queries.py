@@ -114,10 +114,14 @@ FROM x FULL JOIN y USING (file, "offset") WHERE x.d IS DISTINCT FROM y.d
 
 @query
 def op3_editwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = materialise(editwalk.compare_with_next(table(spark, sf_dir, "documents")), "compared")
-    # An id that is missing has no class here; one that is repeated has the least of its rows'.
-    classes = editwalk.near_classes(out).where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.min("class_id").alias("class_id"))
-    return out.join(classes, F.col("doc_id") == F.col("id_"), "left").drop("id_")
+    return editwalk.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op3: classes of documents whose fingerprints share a band and are verified."""
+    prints = materialise(op3_editwalk(spark, sf_dir).select("doc_id", "fingerprint"), "prints")
+    return editwalk.near_classes(prints)
 
 
 @query

@@ -249,7 +249,12 @@ def recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     def in_classes(rows: DataFrame) -> DataFrame:
         return rows.select("template", "class").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(f"docs >= {min_docs}").select("template")
 
-    hits = materialise(out.join(in_classes(out.withColumn("class", F.col("text"))), "template", "left_semi"), "hits")
+    def of(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of the templates found, which go round if a count allows: no template meets in one task."""
+        found = materialise(found, "found")
+        return rows.join(F.broadcast(found) if found.count() <= entries else found, "template", "left_semi")
+
+    hits = materialise(of(out, in_classes(out.withColumn("class", F.col("text")))), "hits")
     over = hits.groupBy("row").agg(F.sum("n").alias("lost"), F.first("words").alias("words"), F.first("text").alias("key")).where("2 * lost > words")
     over = materialise(over.groupBy("key").agg(F.min("row").alias("row")).select("row"), "over")
     some = over.count()
@@ -257,7 +262,7 @@ def recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
         mostly = materialise(texts.join(F.broadcast(over) if some <= entries else over, "row", "left_semi").select("key", "text"), "mostly")
         same = jaccard.similarity_components(mostly, "key").select(F.col("doc_id").alias("text"), "component_id").distinct()
         classed = hits.join(same, "text", "left").withColumn("class", F.coalesce("component_id", "text"))
-        hits = materialise(hits.join(in_classes(classed), "template", "left_semi"), "hits")
+        hits = of(hits, in_classes(classed))
     return hits.select("row", "line", "exact")
 
 

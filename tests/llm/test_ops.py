@@ -263,11 +263,22 @@ def test_op4(spark):
 
 def by_hand(docs, labels, how):
     """Scores of all documents by co-training in plain loops over the same features."""
-    k, rows = len(cotrain.TEXT), []
+    k, rows, every = len(cotrain.TEXT), [], np.ones(cotrain.WORD_BUCKETS, bool)
     for d in docs:
-        bins, words_, _ = cotrain.features(pa.array([d["text"]], pa.string()), [d["source"]], [d["lang"]])
+        bins, words_, _ = cotrain.features(pa.array([d["text"]], pa.string()), [d["source"]], [d["lang"]], every)
         rows.append((d["doc_id"], [[("b", f, int(bins[0, f])) for f in range(k)], [("b", f, int(bins[0, f])) for f in range(k, cotrain.FEATURES)]], [int(x) for x in words_]))
     out = {i for i in labels if zlib.crc32(str(i).encode()) % how.calibrate_every == 0}
+    # Words that tell the classes apart among the labelled rows that train.
+    s, n = how.smoothing, [sum(labels.get(r[0]) == g and r[0] not in out for r in rows) for g in (0, 1)]
+    chosen = set()
+    for x in range(cotrain.WORD_BUCKETS):
+        c = [sum(labels.get(r[0]) == g and r[0] not in out and x in r[2] for r in rows) for g in (0, 1)]
+        p0, p1 = ((c[g] + s) / (n[g] + 2 * s) for g in (0, 1))
+        q = (sum(c) + s) / (sum(n) + 2 * s)
+        if abs(p1 - p0) / math.sqrt(q * (1 - q) * (1 / (n[0] + s) + 1 / (n[1] + s))) >= cotrain.LEAST_Z:
+            chosen.add(x)
+    rows = [(i, b, [x for x in w if x in chosen]) for i, b, w in rows]
+    assert chosen
     model = None
 
     def odds(model, row, view):
@@ -298,12 +309,7 @@ def by_hand(docs, labels, how):
         s, model = how.smoothing, []
         for v in (0, 1):
             weights = {(("b", f, b)): math.log((seen[v, 1, ("b", f, b)] + s) / (n[v, 1] + s * cotrain.BINS)) - math.log((seen[v, 0, ("b", f, b)] + s) / (n[v, 0] + s * cotrain.BINS)) for f in range(cotrain.FEATURES) for b in range(cotrain.BINS)}
-            word = {}
-            for x in range(cotrain.WORD_BUCKETS) if v == 0 else ():
-                p0, p1 = ((words_[g, x] + s) / (n[0, g] + 2 * s) for g in (0, 1))
-                q = (words_[0, x] + words_[1, x] + s) / (n[0, 0] + n[0, 1] + 2 * s)
-                z = (p1 - p0) / math.sqrt(q * (1 - q) * (1 / (n[0, 0] + s) + 1 / (n[0, 1] + s)))
-                word[x] = math.log(p1 / p0) if abs(z) >= cotrain.LEAST_Z else 0
+            word = {x: math.log((words_[1, x] + s) / (n[0, 1] + 2 * s) / ((words_[0, x] + s) / (n[0, 0] + 2 * s))) for x in chosen} if v == 0 else {}
             model.append((math.log((n[v, 1] + s) / (n[v, 0] + s)), weights, word))
     held = [r for r in rows if r[0] in out]
     fits = [cotrain._logistic(*map(np.array, zip(*[(min(400, max(-400, round(4 * odds(model, r, v)))) / 4, labels[r[0]], 1) for r in held]))) for v in (0, 1)]
