@@ -17,14 +17,17 @@ EIGHT = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; a folder is set only where none is (tests)."""
+    """df written to the session's checkpoint folder; only a local master may go without one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="emberplan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="emberplan-"))
     return df.checkpoint()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(grp, node, label) with the least node of each component; edges (grp, src, dst) go both ways.
 
     A round takes the neighbours' least label and then the label of that label, so that long
@@ -32,7 +35,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     """
     both = settled(edges.select("grp", "src", "dst").unionByName(edges.select("grp", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = settled(nodes.select("grp", "node", F.col("node").alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("grp").alias("_g"), F.col("node").alias("_n"), "label"), (F.col("grp") == F.col("_g")) & (F.col("dst") == F.col("_n"))).groupBy("grp", "src").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("src", "node"), ["grp", "node"], "left").select("grp", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select("grp", F.col("node").alias("label"), F.col("label").alias("root"))
@@ -40,7 +43,6 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         if new.where("label <> old").isEmpty():
             return new.select("grp", "node", "label")
         labels = new.select("grp", "node", "label")
-    raise RuntimeError("labels did not settle")
 
 
 def pixel_edges(pixels: DataFrame) -> DataFrame:
@@ -158,36 +160,37 @@ def _from(g: dict, start, most: float | None) -> dict:
 
 
 def _prune(g: dict, longest: float) -> bool:
-    """Takes out chains from a leaf to a junction that are short enough; whether any fell."""
-    fallen = False
-    for leaf in sorted(n for n in g if len(g[n]) == 1):
-        chain, total, prev, at = [leaf], 0.0, None, leaf
-        while at in g:
-            ahead = [n for n in g[at] if n != prev]
-            if len(ahead) != 1:
-                break
+    """Takes out the chains that lead from a leaf to a junction or another leaf and are short
+    enough, all judged on the graph as it was; whether any fell."""
+    fallen: set = set()
+    for leaf in (n for n in g if len(g[n]) == 1):
+        chain, total, prev, at = [], 0.0, None, leaf
+        while total <= longest and len(ahead := [n for n in g[at] if n != prev]) == 1:
+            chain.append(at)
             total += g[at][ahead[0]]
             prev, at = at, ahead[0]
-            if len(g[at]) != 2:
-                break
-            chain.append(at)
-        if at in g and len(g[at]) >= 3 and total <= longest:
-            for n in chain:
-                for m in g.pop(n, {}):
-                    g.get(m, {}).pop(n, None)
-            fallen = True
-    return fallen
-
-
-def _contract(g: dict) -> None:
-    """Nodes with two neighbours become an edge between these, of parallel ones the shortest."""
-    for n in sorted(g):
-        if len(g[n]) == 2:
-            (a, wa), (b, wb) = sorted(g[n].items())
-            del g[n]
-            g[a].pop(n)
-            g[b].pop(n)
-            g[a][b] = g[b][a] = min(wa + wb, g[a].get(b, wa + wb))
+        if total <= longest:
+            fallen.update(chain)
+    for n in fallen:
+        for m in g.pop(n):
+            g.get(m, {}).pop(n, None)
+    return bool(fallen)
+
+
+def _contract(g: dict) -> dict:
+    """The graph of leaves and junctions: a chain of nodes with two neighbours is an edge, of
+    parallel ones the shortest stays, and loops go. Which nodes stay is fixed beforehand."""
+    out: dict = {n: {} for n in g if len(g[n]) != 2}
+    for start in out:
+        for at, length in g[start].items():
+            prev = start
+            while at not in out:
+                ahead = next(n for n in g[at] if n != prev)
+                length += g[at][ahead]
+                prev, at = at, ahead
+            if at != start:
+                out[start][at] = out[at][start] = min(length, out[start].get(at, length))
+    return out
 
 
 def _largest_part(g: dict) -> set:
@@ -210,8 +213,8 @@ def _largest_part(g: dict) -> set:
 def walkable(edges: DataFrame, prune: float = 40.0, most_rounds: int = 50) -> DataFrame:
     """edges (grp, src, dst, length) of a floor's skeleton to its contracted graph.
 
-    Leaf chains up to `prune` long fall, for at most most_rounds rounds; then chains of nodes
-    with two neighbours become one edge; the largest component stays (ties: the one with the
+    Leaf chains up to `prune` long fall, isolated ones too, for at most most_rounds rounds; then
+    chains of nodes with two neighbours become one edge, loops go; the largest component stays (ties: the one with the
     least node). Gives (grp, src, dst, length), src < dst.
     """
 
@@ -220,7 +223,7 @@ def walkable(edges: DataFrame, prune: float = 40.0, most_rounds: int = 50) -> Da
         for _ in range(most_rounds):
             if not _prune(g, prune):
                 break
-        _contract(g)
+        g = _contract(g)
         keep = _largest_part(g)
         return [(grp, s, d, w) for s in sorted(keep) for d, w in sorted(g[s].items()) if s < d]
 

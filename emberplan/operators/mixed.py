@@ -29,41 +29,56 @@ def evaluate(codes: DataFrame, buildings: DataFrame, limits, tiers, notes) -> Da
     return installations(rows, limits, tiers, notes).where("tier_label is not null")
 
 
-def system_items(evaluated: DataFrame, systems: DataFrame) -> DataFrame:
-    """(building_id, id, status, triggered_by, clauses) for every system of every building.
+def _by_building(evaluated: DataFrame, columns: list[str]) -> DataFrame:
+    """(building_id, occ): a building's occupancies in order, as structs; the one shuffle."""
+    return evaluated.groupBy("building_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "code", *columns))).alias("occ"))
 
-    Flags are turned into rows, so that a system is one join and one aggregation.
+
+def system_items(evaluated: DataFrame, systems: list[dict]) -> DataFrame:
+    """(building_id, id, status, triggered_by, clauses, standards) for every system of every building.
+
+    A building's occupancies, some codes at most, meet in one row; the systems, which are rules,
+    are expressions over that row.
     """
-    fields = [r["field"] for r in systems.select("field").orderBy("field").collect()]  # the eight systems
-    long = evaluated.select("building_id", "ordinal", "code", "met", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("on")) for f in fields])).alias("x"))
-    long = long.select("building_id", "ordinal", "code", "x.field", "x.on", F.transform(F.filter("met", lambda n: n["field"] == F.col("x.field")), lambda n: F.concat(F.lit("Table 7 Note "), n["note_id"])).alias("clauses"))
-    s = systems.select(F.col("field").alias("_f"), "id", "clause", "standards")
-    long = long.join(F.broadcast(s), F.col("field") == F.col("_f"))  # eight rows
-    agg = long.groupBy("building_id", "id", "clause", "standards").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("on"), F.struct("ordinal", "code")))), lambda x: x["code"]).alias("triggered_by"),
-        F.flatten(F.collect_list(F.when(F.col("on"), F.col("clauses")))).alias("noted"),
-    )
-    required = F.size("triggered_by") > 0
-    return agg.select(
-        "building_id",
-        "id",
-        F.when(required, "required").otherwise("not_required").alias("status"),
-        "triggered_by",
-        F.array_sort(F.array_distinct(F.concat(F.array("clause"), "noted"))).alias("clauses"),
-        F.when(required, F.col("standards")).otherwise(F.array().cast("array<string>")).alias("standards"),
-    )
+    rows = _by_building(evaluated, [*[r["field"] for r in systems], "met"])
+
+    def item(r: dict):
+        by = F.filter("occ", lambda x: x[r["field"]])
+        notes = F.flatten(F.transform(by, lambda x: F.transform(F.filter(x["met"], lambda n: n["field"] == F.lit(r["field"])), lambda n: F.concat(F.lit("Table 7 Note "), n["note_id"]))))
+        required, standards = F.size(by) > 0, F.array(*[F.lit(x) for x in r["standards"]]).cast("array<string>")
+        return F.struct(
+            F.lit(r["id"]).alias("id"),
+            F.when(required, "required").otherwise("not_required").alias("status"),
+            F.transform(by, lambda x: x["code"]).alias("triggered_by"),
+            F.array_sort(F.array_distinct(F.concat(F.array(F.lit(r["clause"])), notes))).alias("clauses"),
+            F.when(required, standards).otherwise(F.array().cast("array<string>")).alias("standards"),
+        )
+
+    return rows.select("building_id", F.inline(F.array(*[item(r) for r in systems])))
 
 
 def strictest_amounts(evaluated: DataFrame) -> DataFrame:
     """(building_id, field, value, triggered_by): the greatest of each amount, with all ties in order."""
-    long = evaluated.select("building_id", "ordinal", "code", F.explode(F.array(*[F.struct(F.lit(a).alias("field"), F.col(a).alias("value")) for a in AMOUNTS])).alias("x")).select("building_id", "ordinal", "code", "x.*").where("value is not null")
-    agg = long.groupBy("building_id", "field").agg(F.max("value").alias("value"), F.collect_list(F.struct("ordinal", "code", F.col("value").alias("v"))).alias("all"))
-    who = F.transform(F.array_sort(F.filter("all", lambda x: x["v"] == F.col("value"))), lambda x: x["code"])
-    return agg.select("building_id", "field", F.col("value").cast("long").alias("value"), who.alias("triggered_by"))
+    rows = _by_building(evaluated, list(AMOUNTS))
+
+    def amount(a: str):
+        most = F.array_max(F.transform("occ", lambda x: x[a]))
+        who = F.transform(F.filter("occ", lambda x: x[a] == most), lambda x: x["code"])
+        return F.struct(F.lit(a).alias("field"), most.cast("long").alias("value"), who.alias("triggered_by"))
 
+    return rows.select("building_id", F.inline(F.array(*[amount(a) for a in AMOUNTS]))).where("value is not null")
 
-def standards_grid(items: DataFrame, systems: DataFrame) -> DataFrame:
+
+def standards_grid(evaluated: DataFrame, systems: list[dict]) -> DataFrame:
     """(building_id, standard, titles): titles of the required systems under each standard, sorted."""
-    t = systems.select(F.col("id").alias("_id"), "title")
-    rows = items.where("status = 'required'").join(F.broadcast(t), F.col("id") == F.col("_id")).select("building_id", F.explode("standards").alias("standard"), "title")
-    return rows.groupBy("building_id", "standard").agg(F.sort_array(F.collect_set("title")).alias("titles"))
+    rows = _by_building(evaluated, [r["field"] for r in systems])
+
+    def required(field: str):
+        return F.exists("occ", lambda x: x[field])
+
+    def titles(standard: str):
+        under = [F.when(required(r["field"]), F.lit(r["title"])) for r in systems if standard in r["standards"]]
+        return F.struct(F.lit(standard).alias("standard"), F.array_sort(F.array_distinct(F.array_compact(F.array(*under)))).alias("titles"))
+
+    names = sorted({x for r in systems for x in r["standards"]})
+    return rows.select("building_id", F.inline(F.array(*[titles(x) for x in names]))).where("size(titles) > 0")

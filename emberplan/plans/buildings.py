@@ -465,23 +465,22 @@ items AS (SELECT o.building_id, s.id, s.clause, s.standards, s.title, coalesce(s
 @query(s(*MIXED, ITEMS, """cl AS (SELECT DISTINCT o.building_id, o.field, 'Table 7 Note ' || m.note_id AS clause FROM on_rows o JOIN met m ON m.building_id = o.building_id AND m.sub = o.code AND m.field = o.field WHERE o.lit
   UNION SELECT building_id, field, clause FROM items)""", "SELECT i.building_id, i.id, CASE WHEN i.required THEN 'required' ELSE 'not_required' END AS status, i.triggered_by, string_agg(c.clause, ';' ORDER BY c.clause) AS clauses FROM items i JOIN cl c ON c.building_id = i.building_id AND c.field = i.field GROUP BY ALL"))
 def r14_mixed_items(spark, d):
-    """Strictest of many: a system is required if any occupancy requires it."""
-    items = mx.system_items(evaluated(spark, d), rules(spark, R.SYSTEMS))
+    """Strictest of many: a system is required if any occupancy requires it."""
+    items = mx.system_items(evaluated(spark, d), R.system_rows())
     return items.select("building_id", "id", "status", F.concat_ws(",", "triggered_by").alias("triggered_by"), F.concat_ws(";", "clauses").alias("clauses"))
 
 
 @query(s(*MIXED, f"""am AS ({" UNION ALL ".join(f"SELECT building_id, ordinal, subdivision AS code, '{a}' AS field, {a} AS v FROM folded WHERE {a} IS NOT NULL" for a in R.AMOUNTS)}),
 mxm AS (SELECT building_id, field, max(v) AS value FROM am GROUP BY ALL)""", "SELECT m.building_id, m.field, CAST(m.value AS BIGINT) AS value, string_agg(a.code, ',' ORDER BY a.ordinal, a.code) AS triggered_by FROM mxm m JOIN am a ON a.building_id = m.building_id AND a.field = m.field AND a.v = m.value GROUP BY ALL"))
 def a6_max_with_ties(spark, d):
-    """The greatest amount with everyone who asks for it."""
+    """The greatest amount with everyone who asks for it."""
     return mx.strictest_amounts(evaluated(spark, d)).withColumn("triggered_by", F.concat_ws(",", "triggered_by"))
 
 
 @query(s(*MIXED, ITEMS, "st AS (SELECT building_id, title, unnest(standards) AS standard FROM items WHERE required)", "SELECT building_id, standard, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM st GROUP BY ALL"))
 def a7_bis_grid(spark, d):
     """Standards of required systems with their titles."""
-    systems = rules(spark, R.SYSTEMS)
-    return mx.standards_grid(mx.system_items(evaluated(spark, d), systems), systems).withColumn("titles", F.concat_ws(",", "titles"))
+    return mx.standards_grid(evaluated(spark, d), R.system_rows()).withColumn("titles", F.concat_ws(",", "titles"))
 
 
 @query(s(R.cte("x", R.STANDARD_TRIGGERS), R.cte("sy", R.SYSTEMS), "t AS (SELECT standard, unnest(triggers) AS system FROM x)", "SELECT t.system, string_agg(t.standard, ',' ORDER BY t.standard) AS standards, any_value(sy.title) AS title FROM t LEFT JOIN sy ON sy.id = t.system GROUP BY t.system"))

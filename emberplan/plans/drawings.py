@@ -214,14 +214,13 @@ def k4_markdown(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), pg.markdown(rows).alias("md"))
 
 
-PAGES = "pgs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN repeat(chr(1), 9) || left(text, 20) WHEN doc_id % 11 = 0 THEN 'abc' ELSE text END AS text, doc_id % 3 * 150 AS paths, doc_id % 2 AS images FROM documents)"
+PAGES = "pgs AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 3 * 150 AS paths, doc_id % 2 AS images FROM documents)"
 PAGE_CLASS = "pc AS (SELECT *, length(text) AS text_len, CASE WHEN length(text) > 0 THEN CAST(len(regexp_extract_all(text, '[\\x{FFFD}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) AS DOUBLE) / length(text) ELSE 0 END AS garbage_ratio FROM pgs), pcl AS (SELECT *, CASE WHEN text_len > 0 AND garbage_ratio > 0.15 THEN 'POOR_TEXT' WHEN text_len >= 10 THEN 'NATIVE_TEXT' WHEN paths >= 200 THEN 'MIXED' WHEN images > 0 THEN 'IMAGE_ONLY' ELSE 'SCANNED' END AS page_class FROM pc), pr AS (SELECT *, CASE page_class WHEN 'NATIVE_TEXT' THEN 'vector' WHEN 'MIXED' THEN 'mixed' WHEN 'POOR_TEXT' THEN 'mixed' ELSE 'scanned' END AS route FROM pcl)"
 
 
 def classed(spark, d):
     k = F.col("doc_id")
-    t = F.when(k % 5 == 0, "").when(k % 7 == 0, F.concat(F.repeat(F.lit("\x01"), 9), F.left("text", F.lit(20)))).when(k % 11 == 0, "abc").otherwise(F.col("text"))
-    x = table(spark, d, "documents").select("doc_id", t.alias("text"), (k % 3 * 150).alias("paths"), (k % 2).alias("images"))
+    x = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (k % 3 * 150).alias("paths"), (k % 2).alias("images"))
     x = x.select("doc_id", "paths", "images", *pg.signals(F.col("text"), F.lit(1000.0), F.lit(800.0)))
     x = x.withColumn("page_class", pg.page_class(F.col("text_len"), F.col("garbage_ratio"), F.col("paths"), F.col("images")))
     return x.withColumn("route", pg.route(F.col("page_class")))

@@ -10,19 +10,19 @@ from ..sources.binding import FLOORS, floors, table
 from .buildings import s
 from .registry import query
 
-# A building's floors as points of a page: group by part % 200, id by building and floor.
-POINTS = "pts AS (SELECT part % 200 AS grp, building_id * 100 + floor_idx AS id, CAST(part * 7 % 997 AS DOUBLE) AS x, CAST((part * 13 + supplier * 31 + floor_idx * 57) % 991 AS DOUBLE) AS y FROM floors WHERE building_id % 4 = 0)"
-LABELS = "lbs AS (SELECT p_partkey % 200 AS grp, p_partkey AS jd, CAST(p_partkey * 17 % 997 AS DOUBLE) AS bx, CAST(p_size * 19 AS DOUBLE) AS by, p_brand AS text FROM part)"
+# A building's floors as points of a page: fifty parts are a page, so pages grow in number, not in size.
+POINTS = "pts AS (SELECT part // 50 AS grp, building_id * 100 + floor_idx AS id, CAST(part * 7 % 997 AS DOUBLE) AS x, CAST((part * 13 + supplier * 31 + floor_idx * 57) % 991 AS DOUBLE) AS y FROM floors)"
+LABELS = "lbs AS (SELECT p_partkey // 50 AS grp, p_partkey AS jd, CAST(p_partkey * 17 % 997 AS DOUBLE) AS bx, CAST(p_size * 19 AS DOUBLE) AS by, p_brand AS text FROM part)"
 
 
 def points(spark, d):
     p, u, k = F.col("part"), F.col("supplier"), F.col("floor_idx")
-    return floors(spark, d).where("building_id % 4 = 0").select((p % 200).alias("grp"), (F.col("building_id") * 100 + k).alias("id"), (p * 7 % 997).cast("double").alias("x"), ((p * 13 + u * 31 + k * 57) % 991).cast("double").alias("y"))
+    return floors(spark, d).select(F.expr("part div 50").alias("grp"), (F.col("building_id") * 100 + k).alias("id"), (p * 7 % 997).cast("double").alias("x"), ((p * 13 + u * 31 + k * 57) % 991).cast("double").alias("y"))
 
 
 def labels(spark, d):
     k = F.col("p_partkey")
-    return table(spark, d, "part").select((k % 200).alias("grp"), k.alias("jd"), (k * 17 % 997).cast("double").alias("bx"), (F.col("p_size") * 19).cast("double").alias("by"), F.col("p_brand").alias("text"))
+    return table(spark, d, "part").select(F.expr("p_partkey div 50").alias("grp"), k.alias("jd"), (k * 17 % 997).cast("double").alias("bx"), (F.col("p_size") * 19).cast("double").alias("by"), F.col("p_brand").alias("text"))
 
 
 DIST = "sqrt(pow(p.x - l.bx, 2) + pow(p.y - l.by, 2))"
@@ -71,12 +71,12 @@ def j15_pair_points(spark, d):
     return ge.pair_points(points(spark, d), labels(spark, d).drop("text"), 60.0)
 
 
-@query(s(FLOORS, POINTS, "bx AS (SELECT s_suppkey % 200 AS grp, CAST(s_suppkey * 11 % 700 AS DOUBLE) AS tx0, CAST(s_suppkey * 7 % 700 AS DOUBLE) AS ttop FROM supplier)", "SELECT p.id, EXISTS (SELECT 1 FROM bx b WHERE b.grp = p.grp AND p.x + 10 BETWEEN b.tx0 AND b.tx0 + 300 AND p.y + 5 BETWEEN b.ttop AND b.ttop + 300) AS in_table FROM pts p"))
+@query(s(FLOORS, POINTS, "bx AS (SELECT s_suppkey // 2 AS grp, CAST(s_suppkey * 11 % 700 AS DOUBLE) AS tx0, CAST(s_suppkey * 7 % 700 AS DOUBLE) AS ttop FROM supplier)", "SELECT p.id, EXISTS (SELECT 1 FROM bx b WHERE b.grp = p.grp AND p.x + 10 BETWEEN b.tx0 AND b.tx0 + 300 AND p.y + 5 BETWEEN b.ttop AND b.ttop + 300) AS in_table FROM pts p"))
 def j16_in_box(spark, d):
     """Lines whose centre lies in one of their page's tables."""
     p = points(spark, d).select("grp", "id", F.col("x").alias("x0"), (F.col("x") + 20).alias("x1"), F.col("y").alias("top"), (F.col("y") + 10).alias("bottom"))
     k = F.col("s_suppkey")
-    b = table(spark, d, "supplier").select((k % 200).alias("grp"), (k * 11 % 700).cast("double").alias("tx0"), (k * 7 % 700).cast("double").alias("ttop"))
+    b = table(spark, d, "supplier").select(F.expr("s_suppkey div 2").alias("grp"), (k * 11 % 700).cast("double").alias("tx0"), (k * 7 % 700).cast("double").alias("ttop"))
     b = b.withColumn("tx1", F.col("tx0") + 300).withColumn("tbottom", F.col("ttop") + 300)
     return ge.in_boxes(p, b, "grp").select("id", "in_table")
 
@@ -138,10 +138,10 @@ def g13_coordinates(spark, d):
     return x.select("id", *ge.to_points("row", "col", 2.0, 800.0))
 
 
-@query(s(RECTS, "SELECT page, CAST(16 AS BIGINT) + 20 AS size, CAST(y0 AS BIGINT) AS r0, CAST(x0 AS BIGINT) AS c0, CAST(y1 AS BIGINT) AS r1, CAST(x1 AS BIGINT) AS c1 FROM shp WHERE NOT line AND page % 7 = 1"))
+@query(s(RECTS, "SELECT page, CAST(16 AS BIGINT) + 20 AS size, CAST(y0 AS BIGINT) AS r0, CAST(x0 AS BIGINT) AS c0, CAST(y1 AS BIGINT) AS r1, CAST(x1 AS BIGINT) AS c1 FROM shp WHERE NOT line"))
 def g4_components(spark, d):
     """Eight-connected regions off the border, large enough, with sizes and boxes."""
-    px = ge.rasterise(ge.wall_segments(shapes(spark, d).where("kind = 'rect' and page % 7 = 1")))
+    px = ge.rasterise(ge.wall_segments(shapes(spark, d).where("kind = 'rect'")))
     return gr.regions(px, 60, 60, 20).select("page", "size", "r0", "c0", "r1", "c1")
 
 
@@ -175,7 +175,7 @@ def g7_walkable(spark, d):
 
 @query()
 def g12_cover(spark, d):
-    """Greedy places so that every node is within a radius."""
+    """Greedy places so that every node is within a radius."""
     return gr.cover(graph_edges(spark, d), 6.0)
 
 

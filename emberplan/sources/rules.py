@@ -294,6 +294,12 @@ def _literal(x) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
 
+def system_rows() -> list[dict]:
+    """The systems as rows, for operators that turn them into expressions."""
+    names = [f.split()[0] for f in SYSTEMS[0].split(", ")]
+    return [dict(zip(names, row, strict=True)) for row in SYSTEMS[1]]
+
+
 def cte(name: str, table: tuple[str, list]) -> str:
     """A common table expression with the table's rows and types."""
     schema, rows = table

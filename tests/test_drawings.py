@@ -92,6 +92,32 @@ def test_regions_and_graphs(spark):
     assert all(1 not in x and 4 not in x for x in w)
 
 
+def test_contraction_and_pruning(spark):
+    def walk(edges, prune):
+        e = spark.createDataFrame([(1, *x) for x in edges], "grp LONG, src LONG, dst LONG, length DOUBLE")
+        return {(r["src"], r["dst"], r["length"]) for r in gr.walkable(e, prune).collect()}
+
+    # Junctions 5 and 6 joined by two chains, an arm each: the shorter chain stays as an edge.
+    two = [(5, 1, 2.0), (1, 6, 2.0), (5, 2, 4.0), (2, 3, 1.0), (3, 6, 1.0), (5, 8, 9.0), (6, 9, 7.0)]
+    assert walk(two, 1.0) == {(5, 6, 4.0), (5, 8, 9.0), (6, 9, 7.0)}
+    # A loop at a junction goes, the arms stay.
+    assert walk([(5, 1, 2.0), (1, 2, 2.0), (2, 5, 2.0), (5, 8, 9.0), (5, 9, 7.0)], 1.0) == {(5, 8, 9.0), (5, 9, 7.0)}
+    # Short branches fall round by round; a chain of its own that is short falls whole.
+    tree = [(1, 2, 1.0), (2, 3, 1.0), (2, 4, 20.0), (4, 5, 20.0), (4, 6, 30.0), (50, 51, 1.0), (51, 52, 1.0)]
+    assert walk(tree, 2.0) == {(4, 5, 20.0), (4, 6, 30.0), (2, 4, 20.0)}
+    assert walk([(50, 51, 1.0), (51, 52, 1.0)], 2.0) == set() and walk([(50, 51, 1.0), (51, 52, 1.0)], 1.5) == {(50, 52, 2.0)}
+
+
+def test_page_classes(spark):
+    from emberplan.operators import pages as pg
+
+    rows = [(1, "", 300, 0), (2, "\x01" * 9 + "some of a text that is", 0, 0), (3, "abc", 0, 1), (4, "abc", 0, 0), (5, "a whole page of text", 0, 0)]
+    x = spark.createDataFrame(rows, "k INT, text STRING, paths INT, images INT")
+    x = x.select("k", "paths", "images", *pg.signals(F.col("text"), F.lit(1000.0), F.lit(800.0)))
+    got = {r["k"]: r["c"] for r in x.withColumn("c", pg.page_class(F.col("text_len"), F.col("garbage_ratio"), F.col("paths"), F.col("images"))).collect()}
+    assert got == {1: "MIXED", 2: "POOR_TEXT", 3: "IMAGE_ONLY", 4: "SCANNED", 5: "NATIVE_TEXT"}
+
+
 def test_points(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 500.0, 500.0), (2, 3, 0.0, 0.0)], "grp LONG, id LONG, x DOUBLE, y DOUBLE")
     b = spark.createDataFrame([(1, 7, 3.0, 4.0, "HALL"), (1, 8, -3.0, 4.0, "LIFT"), (1, 9, 200.0, 0.0, "FAR")], "grp LONG, jd LONG, bx DOUBLE, by DOUBLE, text STRING")
