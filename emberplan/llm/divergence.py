@@ -235,7 +235,7 @@ def _score(batches, refs: dict, limits: dict, rules: Rules):
                 class_d.append(c)
                 word_d.append(w)
                 far = c is not None and c > rules.class_limit + rules.class_slack / counts[i].sum() ** 0.5
-                far |= w is not None and w > min(rules.word_limit + rules.word_slack / n**0.5, np.interp(np.log(n), *limits[near]))
+                far |= w is not None and w > min(rules.word_limit + rules.word_slack / n**0.5, np.interp(np.log(n), *limits[near])) + 1e-12
                 kept.append(not bad and not far)
         arrays = [b.column(0)] + [pa.array(cols[k], pa.int64()) for k in fields] + [pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(class_d, pa.float64()), pa.array(word_d, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *fields, "base_failed", "kept", "class_distance", "word_distance"])
