@@ -25,42 +25,17 @@ def with_hazard(b: DataFrame) -> DataFrame:
     return b.withColumn("hazard", hazard).withColumn("hazard_reasons", F.when(F.size("_high") > 0, F.col("_high")).otherwise(F.col("_moderate"))).drop("_high", "_moderate")
 
 
-def input_violations(b: DataFrame) -> DataFrame:
-    """(building_id, stage, rule_id, severity): kitchens without an area, combustible metals."""
-    rows = F.array(
-        F.when(F.col("has_kitchen") & (_known("cooking_area_m2") <= 0), F.struct(F.lit(4).alias("stage"), F.lit("F-MISSING-AREA").alias("rule_id"), F.lit("medium").alias("severity"))),
-        F.when(F.col("has_combustible_metals"), F.struct(F.lit(6).alias("stage"), F.lit("D-PROFESSIONAL").alias("rule_id"), F.lit("high").alias("severity"))),
-    )
-    return b.select("building_id", F.inline(F.filter(rows, lambda x: x.isNotNull())))
-
-
 def electrical(b: DataFrame) -> DataFrame:
     """The fixed requirement of buildings with electrical hazards."""
     return b.where("has_electrical_hazards").select("building_id", F.lit("C").alias("fire_class"), F.lit("CO2-2kg").alias("rating"), F.lit(1).cast("long").alias("count"))
 
 
-def penalty() -> Column:
-    return F.when(F.col("severity") == "high", 20).when(F.col("severity") == "medium", 10).otherwise(5)
-
-
 def bands(score: Column) -> tuple[Column, Column]:
     grade = F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D")
     noc = F.when(score >= 90, "READY").when(score >= 60, "CONDITIONAL").otherwise("NOT_READY")
     return grade, noc
 
 
-def scores(ids: DataFrame, violations: DataFrame) -> DataFrame:
-    """(building_id, violations, score, grade, noc) of every building, also of those without any.
-
-    Penalties are summed before the join, by partial sums.
-    """
-    lost = violations.groupBy("building_id").agg(F.sum(penalty()).alias("lost"), F.count("*").alias("n"))
-    out = ids.select("building_id").join(lost, "building_id", "left")
-    out = out.withColumn("score", F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0))).cast("int"))
-    grade, noc = bands(F.col("score"))
-    return out.select("building_id", F.coalesce("n", F.lit(0)).cast("long").alias("violations"), "score", grade.alias("grade"), noc.alias("noc"))
-
-
 def confidence(b: DataFrame) -> DataFrame:
     """(building_id, score, overall, flags): penalties of missing and implausible inputs."""
     total, n, occ, height = _known("total_floor_area"), _known("number_of_floors"), _known("occupant_count"), _known("building_height")

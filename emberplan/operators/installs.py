@@ -145,14 +145,16 @@ def applicability(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     return out.withColumn("applicable", F.col("height_applies") | F.col("area_applies")).drop("_key", "_k")
 
 
-def nbcs_installations(rows: DataFrame, tiers: DataFrame) -> DataFrame:
+def nbcs_installations(rows: DataFrame, tiers: DataFrame, keep: bool = False) -> DataFrame:
     """rows (grp, nbcs_subdivision, building_height, nbcs_area, has_kitchen, has_ev_parking) whose
-    first tier holds (there is no fallback): level, self_cert and the flags (null: not named)."""
+    first tier holds (there is no fallback): level, self_cert and the flags (null: not named).
+    Rows without a tier go, or stay with nulls if keep is set."""
     t = tiers.groupBy(F.col("grp").alias("_g"), F.col("sub").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("tier_idx", *[c for c in tiers.columns if c not in ("tier_idx", "grp", "sub")]))).alias("tiers"))
-    out = rows.join(F.broadcast(t), (F.col("grp") == F.col("_g")) & (F.col("nbcs_subdivision") == F.col("_s")))  # rule keys
+    out = rows.join(F.broadcast(t), (F.col("grp") == F.col("_g")) & (F.col("nbcs_subdivision") == F.col("_s")), "left")  # rule keys
     h, a = F.col("building_height"), F.col("nbcs_area")
     holds = lambda t: (t["min_height"].isNull() | (h >= t["min_height"])) & (t["max_height"].isNull() | (h <= t["max_height"])) & (t["min_area"].isNull() | (a >= t["min_area"])) & (t["max_area"].isNull() | (a <= t["max_area"]))
-    out = out.withColumn("t", F.get(F.filter("tiers", holds), F.lit(0))).where("t is not null")
+    out = out.withColumn("t", F.get(F.filter("tiers", holds), F.lit(0)))
+    out = out if keep else out.where("t is not null")
     kitchen = F.col("has_kitchen") & (F.col("grp") == "A") & (F.col("t.level") == "HL-1")
     out = out.withColumn("_level", F.when(kitchen, "HL-2").otherwise(F.col("t.level")))
     ev = F.col("has_ev_parking") & (F.col("_level").startswith("HL") | F.col("_level").isin("CL-2", "CL-3", "CL-4"))
@@ -171,13 +173,14 @@ def differs() -> Column:
     return out
 
 
-def nbcs_metrics(rows: DataFrame, load: DataFrame, exits: DataFrame, travel: DataFrame) -> DataFrame:
-    """rows (grp, nbcs_subdivision, total_floor_area, max_area): whole persons, widths, distance."""
+def nbcs_metrics(rows: DataFrame, load: DataFrame, exits: DataFrame, travel: DataFrame, keep: bool = False) -> DataFrame:
+    """rows (grp, nbcs_subdivision, total_floor_area, max_area): whole persons, widths, distance.
+    Rows of groups without exit widths go, or stay with nulls if keep is set."""
     exact = load.select(F.col("grp").alias("_g1"), F.col("sub").alias("_s1"), F.coalesce("gross", "net").alias("_f1"))
     default = load.where("sub = 'default'").select(F.col("grp").alias("_g2"), F.coalesce("gross", "net").alias("_f2"))
     out = rows.join(F.broadcast(exact), (F.col("grp") == F.col("_g1")) & (F.col("nbcs_subdivision") == F.col("_s1")), "left")  # rule keys, as all below
     out = out.join(F.broadcast(default), F.col("grp") == F.col("_g2"), "left").withColumn("factor", F.coalesce("_f1", "_f2"))
-    out = out.join(F.broadcast(exits.withColumnRenamed("grp", "_g3")), F.col("grp") == F.col("_g3"))
+    out = out.join(F.broadcast(exits.withColumnRenamed("grp", "_g3")), F.col("grp") == F.col("_g3"), "left" if keep else "inner").drop("_g3")
     t1 = travel.select(F.col("key").alias("_k1"), F.col("metres").alias("_m1"))
     t2 = travel.select(F.col("key").alias("_k2"), F.col("metres").alias("_m2"))
     out = out.join(F.broadcast(t1), F.col("grp") == F.col("_k1"), "left").join(F.broadcast(t2), F.col("nbcs_subdivision") == F.col("_k2"), "left")

@@ -22,11 +22,19 @@ def occupancy_codes(buildings: DataFrame, zones: DataFrame, primary) -> DataFram
     return p.unionByName(one).groupBy("building_id", "code").agg(F.min("ordinal").alias("ordinal"), F.max("zone_area").alias("zone_area"))
 
 
-def evaluate(codes: DataFrame, buildings: DataFrame, limits, tiers, notes) -> DataFrame:
-    """Each code's installations; codes above their height limit or without a tier fall away."""
+def evaluate(codes: DataFrame, buildings: DataFrame, limits, tiers, notes, keep: bool = False) -> DataFrame:
+    """Each code's installations; codes above their height limit or without a tier fall away, or
+    stay with nulls if keep is set."""
     b = buildings.select("building_id", "building_height", "number_of_floors", "basement_area", F.coalesce(F.array_max("floor_areas"), F.col("total_floor_area")).alias("_max"))
     rows = codes.join(b, "building_id").withColumn("subdivision", F.col("code")).withColumn("grp", F.substring_index("code", "-", 1)).withColumn("tier_area", F.coalesce("zone_area", "_max"))
-    return installations(rows, limits, tiers, notes).where("tier_label is not null")
+    out = installations(rows, limits, tiers, notes)
+    return out if keep else out.where("tier_label is not null")
+
+
+def dropped(evaluated: DataFrame) -> DataFrame:
+    """(building_id, ordinal, code, reason): codes that fell away, of rows that evaluate() kept."""
+    reason = F.when(F.col("over_height"), "above_height_limit").otherwise("no_tier")
+    return evaluated.where("tier_label is null").select("building_id", "ordinal", "code", reason.alias("reason"))
 
 
 def _by_building(evaluated: DataFrame, columns: list[str]) -> DataFrame:

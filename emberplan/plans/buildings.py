@@ -8,6 +8,7 @@ from ..operators import floors as fl
 from ..operators import hazard as hz
 from ..operators import installs as ins
 from ..operators import mixed as mx
+from ..operators import result as rs
 from ..sources import rules as R
 from ..sources.binding import BUILDINGS, FLOORS, PRIMARY, ZONES, buildings, floors, primary_occupancy, table, zones
 from .registry import query
@@ -336,18 +337,20 @@ VIOLATIONS = f"""violations AS (
   UNION ALL SELECT building_id, 8, 'NBC-FI-HEIGHT-NOT-PERMITTED', 'high' FROM limited WHERE over_height)"""
 
 
-def violations(spark, d):
-    """All violations: one scan of the buildings, four filters over it."""
-    b = ins.over_height(travelled(spark, d), rules(spark, R.HEIGHT_LIMIT))
-    found = lambda stage, rule, on: F.when(on, F.struct(F.lit(stage).alias("stage"), rule.alias("rule_id"), F.lit("high").alias("severity")))
-    more = F.filter(F.array(found(7, F.col("td_rule"), F.col("td_rule").isNotNull()), found(8, F.lit("NBC-FI-HEIGHT-NOT-PERMITTED"), F.col("over_height"))), lambda x: x.isNotNull())
-    return hz.input_violations(b).unionByName(b.select("building_id", F.inline(more)))
+def scored(b):
+    """Rows with td_rule and over_height, with their violations as an array, and the score of these."""
+    return rs.with_score(b.withColumn("violations", rs.findings()))
+
+
+def checked(spark, d):
+    """Every building with its violations and score: one row, made by one scan of the floors."""
+    return scored(ins.over_height(travelled(spark, d), rules(spark, R.HEIGHT_LIMIT)))
 
 
 @query(s(BUILDINGS, TYPED, TRAVEL, LIMITED, VIOLATIONS, "SELECT * FROM violations"))
 def u1_violations(spark, d):
     """Violations of every check, in stage order."""
-    return violations(spark, d)
+    return checked(spark, d).select("building_id", F.inline("violations")).drop("clause_ref")
 
 
 SCORED = "scored AS (SELECT b.building_id, CAST(count(v.rule_id) AS BIGINT) AS violations, CAST(greatest(0, 100 - coalesce(sum(CASE v.severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 END), 0)) AS INTEGER) AS score FROM typed b LEFT JOIN violations v USING (building_id) GROUP BY b.building_id)"
@@ -356,14 +359,15 @@ SCORED = "scored AS (SELECT b.building_id, CAST(count(v.rule_id) AS BIGINT) AS v
 @query(s(BUILDINGS, TYPED, TRAVEL, LIMITED, VIOLATIONS, SCORED, "SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade, CASE WHEN score >= 90 THEN 'READY' WHEN score >= 60 THEN 'CONDITIONAL' ELSE 'NOT_READY' END AS noc FROM scored"))
 def r15_score_grade(spark, d):
     """Weighted penalties, grade and readiness."""
-    return hz.scores(buildings(spark, d), violations(spark, d))
+    return checked(spark, d).select("building_id", F.size("violations").cast("long").alias("violations"), "score", "grade", "noc")
 
 
 @query(s(*INSTALLED, TRAVEL, VIOLATIONS, SCORED, HAZARD, "SELECT h.building_id, h.hazard, s.score, s.violations, f.label AS tier_label, coalesce(f.wet_riser, false) AS wet_riser, f.underground_tank_litres FROM hz h JOIN scored s USING (building_id) LEFT JOIN folded f USING (building_id)"))
 def r16_engine(spark, d):
-    """The whole evaluation in one row for each building."""
-    one = hz.with_hazard(installed(spark, d)).select("building_id", "hazard", "tier_label", F.coalesce("wet_riser", F.lit(False)).alias("wet_riser"), "underground_tank_litres")
-    return one.join(hz.scores(buildings(spark, d), violations(spark, d)), "building_id").select("building_id", "hazard", "score", "violations", "tier_label", "wet_riser", "underground_tank_litres")
+    """Headline figures of each building; r16_result has the whole evaluation."""
+    b = ins.installations(travelled(spark, d), *(rules(spark, x) for x in (R.HEIGHT_LIMIT, R.TIERS, R.NOTES)))
+    b = scored(hz.with_hazard(b)).withColumn("wet_riser", F.coalesce("wet_riser", F.lit(False)))
+    return b.select("building_id", "hazard", "score", F.size("violations").cast("long").alias("violations"), "tier_label", "wet_riser", "underground_tank_litres")
 
 
 @query(s(BUILDINGS, "b AS (SELECT building_id, CASE WHEN building_id % 6 = 0 THEN 0 ELSE total_floor_area END AS total_floor_area, CASE WHEN building_id % 8 = 0 THEN number_of_floors + 1 ELSE number_of_floors END AS n, CASE WHEN building_id % 10 = 0 THEN [] ELSE floor_areas END AS fa, CASE WHEN building_id % 5 = 0 THEN occupant_count * 9 ELSE occupant_count END AS occ, CASE WHEN building_id % 12 = 0 THEN 0 ELSE building_height END AS h FROM buildings)",

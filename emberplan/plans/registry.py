@@ -24,4 +24,4 @@ def query(oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import buildings, drawings, geometry, streams  # noqa: F401
+    from . import buildings, drawings, geometry, results, streams  # noqa: F401

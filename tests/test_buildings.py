@@ -7,6 +7,7 @@ from emberplan.operators import floors as fl
 from emberplan.operators import hazard as hz
 from emberplan.operators import installs as ins
 from emberplan.operators import mixed as mx
+from emberplan.operators import result as rs
 from emberplan.sources import rules as R
 
 BUILDING = "building_id LONG, floor_areas ARRAY<DOUBLE>, total_floor_area DOUBLE, number_of_floors INT, building_height DOUBLE, occupant_count INT, flammable_gases_litres DOUBLE, flammable_liquids_litres DOUBLE, has_kitchen BOOLEAN, cooking_area_m2 DOUBLE, has_combustible_metals BOOLEAN"
@@ -35,9 +36,10 @@ def test_large_building(spark):
 
 def test_violations_and_scores(spark):
     b = spark.createDataFrame([building(1, kitchen=True), building(2, metals=True), building(3), building(4, kitchen=True, cooking=0.05)], BUILDING)
-    v = hz.input_violations(b)
+    b = b.withColumn("td_rule", F.lit(None).cast("string")).withColumn("over_height", F.lit(False)).withColumn("violations", rs.findings())
+    v = b.select("building_id", F.inline("violations"))
     assert {(r["building_id"], r["rule_id"], r["severity"]) for r in v.collect()} == {(1, "F-MISSING-AREA", "medium"), (2, "D-PROFESSIONAL", "high")}
-    assert {r["building_id"]: (r["score"], r["grade"], r["noc"]) for r in hz.scores(b, v).collect()} == {1: (90, "A", "READY"), 2: (80, "B", "CONDITIONAL"), 3: (100, "A", "READY"), 4: (100, "A", "READY")}
+    assert {r["building_id"]: (r["score"], r["grade"], r["noc"]) for r in rs.with_score(b).collect()} == {1: (90, "A", "READY"), 2: (80, "B", "CONDITIONAL"), 3: (100, "A", "READY"), 4: (100, "A", "READY")}
 
 
 def test_loads_and_exits(spark):
