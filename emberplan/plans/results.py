@@ -16,21 +16,28 @@ from .buildings import CODES, FOLDED, HAZARD, INSTALLED, ITEMS, LIMITED, LOADED,
 from .registry import query
 
 
-def whole(spark, d):
-    """Every building's whole evaluation, one row each; floors are aggregated once."""
+def required(spark, b):
+    """Buildings with a hazard and their extinguishers."""
+    return rs.with_requirements(b, *(rules(spark, t) for t in (R.CLASS_A, R.CLASS_B, R.CLASS_F)))
+
+
+def passing(spark, d):
+    """Every building with what its checks need and the messages of those that passed."""
     e = rules(spark, R.EXIT).withColumnRenamed("grp", "_ge")
     b = fl.load_factor(travelled(spark, d), rules(spark, R.LOAD))
     b = b.join(F.broadcast(e), F.col("grp") == F.col("_ge"), "left").drop("_ge")  # ten rows
     b = ins.installations(b, *(rules(spark, t) for t in (R.HEIGHT_LIMIT, R.TIERS, R.NOTES)))
-    b = rs.with_floor_figures(hz.with_hazard(b), R.EXIT_MIN_MM)
-    b = rs.with_requirements(b, *(rules(spark, t) for t in (R.CLASS_A, R.CLASS_B, R.CLASS_F)))
-    b = ins.applicability(b, rules(spark, R.APPLICABILITY))
+    b = ins.applicability(rs.with_floor_figures(b, R.EXIT_MIN_MM), rules(spark, R.APPLICABILITY))
+    return b.withColumn("passed", rs.passed_checks())
+
+
+def whole(spark, d):
+    """Every building's whole evaluation, one row each; floors are aggregated once."""
+    b = required(spark, hz.with_hazard(passing(spark, d)))
     b = ins.nbcs_installations(b, rules(spark, R.NBCS_TIERS), keep=True)
-    # The second layer's own widths, under names of their own, beside the first layer's.
-    b = b.withColumnsRenamed({"stairway_mm": "stairway", "level_mm": "level_width", "dead_end_m": "dead_end"})
+    b = b.drop("stairway_mm", "level_mm")  # the second layer has widths of the same names
     b = ins.nbcs_metrics(b, *(rules(spark, t) for t in (R.NBCS_LOAD, R.NBCS_EXIT, R.NBCS_TRAVEL)), keep=True)
-    b = b.withColumnsRenamed({"stairway": "stairway_mm", "level_width": "level_mm"})
-    return scored(b).withColumn("passed", rs.passed_checks())
+    return scored(b)
 
 
 def sql_text(*parts: str) -> str:
@@ -52,7 +59,7 @@ req AS (SELECT f.building_id, 0 AS k, f.floor_idx, 'A' AS fire_class, {LABEL} AS
 @query(s(FLOORS, BUILDINGS, TYPED, HAZARD, REQUIRED, "SELECT building_id, CAST(row_number() OVER (PARTITION BY building_id ORDER BY k, floor_idx) - 1 AS INTEGER) AS ordinal, fire_class, floor_label, rating, count FROM req"))
 def u1_requirements(spark, d):
     """Extinguishers of every class in order, inlined from the building's row."""
-    return whole(spark, d).select("building_id", F.posexplode("required").alias("ordinal", "r")).select("building_id", "ordinal", "r.*")
+    return required(spark, hz.with_hazard(buildings(spark, d))).select("building_id", F.posexplode("required").alias("ordinal", "r")).select("building_id", "ordinal", "r.*")
 
 
 DEVICES = "concat_ws(', ', " + ", ".join(f"CASE WHEN {f} THEN '{t}' END" for f, t in M.DEVICES.items()) + ")"
@@ -83,7 +90,7 @@ CHECKED = (FLOORS, *INSTALLED, TRAVEL, LOADED, PASSED)
 @query(s(*CHECKED, "SELECT building_id, ordinal, message FROM passed"))
 def u1_passed_rules(spark, d):
     """Messages of the checks that passed, in order."""
-    return whole(spark, d).select("building_id", F.inline("passed"))
+    return passing(spark, d).select("building_id", F.inline("passed"))
 
 
 RESULT = """SELECT t.building_id, h.hazard, s.score, CASE WHEN s.score >= 90 THEN 'A' WHEN s.score >= 75 THEN 'B' WHEN s.score >= 60 THEN 'C' ELSE 'D' END AS grade, CASE WHEN s.score >= 90 THEN 'READY' WHEN s.score >= 60 THEN 'CONDITIONAL' ELSE 'NOT_READY' END AS noc,
@@ -185,7 +192,7 @@ UNION ALL SELECT building_id, 'Missing Inputs', CAST(row_number() OVER (PARTITIO
 UNION ALL SELECT building_id, 'Missing Inputs', 0, '{M.NONE}' FROM typed WHERE building_id NOT IN (SELECT building_id FROM mi)"""))
 def a12_bullets(spark, d):
     """The report's lists; an empty one says so."""
-    b = whole(spark, d)
+    b = passing(spark, d)
     hints = {"basement_area": M.BASEMENT_MISSING, "construction_type": M.CONSTRUCTION_MISSING}
     wording = F.create_map(*[F.lit(x) for kv in hints.items() for x in kv])
     bullets = lambda items: F.when(F.size(items) == 0, F.array(F.lit(M.NONE))).otherwise(F.transform(items, lambda m: F.concat(F.lit("• "), m)))

@@ -7,7 +7,10 @@ Nothing here grows with data, so that each table is broadcast by its size.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # --- Fixed values ---------------------------------------------------------------------------
 
@@ -277,8 +280,11 @@ NBCS_FLAGS = _NBCS
 
 
 def frame(spark: SparkSession, table: tuple[str, list]) -> DataFrame:
+    """A rule table as a local relation: its size is known to the optimiser and no job reads it."""
     schema, rows = table
-    return spark.createDataFrame(rows, schema)
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
 
 
 # --- The same tables for the DuckDB side ----------------------------------------------------
