@@ -70,3 +70,19 @@ def quality(graded: DataFrame) -> DataFrame:
     total = F.greatest(F.lit(1), F.col("green") + F.col("amber") + F.col("red"))
     summary = F.when(F.col("green") > F.col("red"), "good").when(F.col("amber") > F.col("red"), "partial").otherwise("minimal")
     return agg.withColumn("score", F.bround((F.col("green") * 100 + F.col("amber") * 50) / total, 0).cast("int")).withColumn("summary", summary)
+
+
+def drawing_form(docs: DataFrame, fields: list[tuple[str, Column, str]], stage: str) -> DataFrame:
+    """(doc_id, ordinal, field, value, source, confidence): the form that a drawing's text fills in.
+
+    A field's kind says how far it is trusted: "text" is green, a keyword's "guess" and what only
+    the "stage" vouches for are amber, "never" is not derivable. What is missing is red.
+    """
+
+    def one(i: int, name: str, value: Column, kind: str) -> Column:
+        has = value.isNotNull()
+        source = {"text": F.when(has, "text_label").otherwise(stage), "guess": F.when(has, "text_label").otherwise(""), "stage": F.lit(stage), "never": F.lit("not_applicable")}[kind]
+        confidence = F.when(~has, "red").otherwise("green" if kind == "text" else "amber")
+        return F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("field"), value.cast("string").alias("value"), source.alias("source"), confidence.alias("confidence"))
+
+    return docs.select("doc_id", F.inline(F.array(*[one(i, *f) for i, f in enumerate(fields)])))

@@ -396,3 +396,39 @@ def s5_uploads(spark, d):
     from ..sources.files import uploads
 
     return uploads(spark, d + "/*.parquet", 10 << 20).select(F.substring_index("path", "/", -1).alias("name"), "length", "route", "accepted")
+
+
+STAGE = "stage2_pdfplumber"  # fixed value: the stage that reads vector drawings
+KINDS = {
+    "project_name": "text", "city": "text", "state": "text", "building_status": "never", "primary_occupancy_hint": "guess", "height_m": "text",
+    "floors_count": "text", "construction_type": "guess", "basement_area_m2": "stage", "basement_levels": "stage", "kitchen_present": "text", "sprinklers_proposed": "text",
+}
+FORM = f"""v AS (SELECT doc_id, {{
+  'project_name': left(trim(coalesce(nullif(regexp_extract(text, {q(tx.PROJECT[0])}, 1), ''), nullif(regexp_extract(text, {q(tx.PROJECT[1])}, 1), '')), ' \t\n'), 100),
+  'city': list_filter({_list(tx.CITIES)}, lambda x: contains(upper(text), upper(x)))[1], 'state': list_filter({_list(tx.STATES)}, lambda x: contains(upper(text), upper(x)))[1], 'building_status': CAST(NULL AS VARCHAR),
+  'primary_occupancy_hint': list_filter({_list([k + "=" + c for k, c in tx.FORM_OCCUPANCY])}, lambda x: contains(lower(text), split_part(x, '=', 1)))[1], 'height_m': CAST({HEIGHT} AS VARCHAR), 'floors_count': CAST({STOREYS} AS VARCHAR), 'construction_type': {CONSTRUCTION},
+  'basement_area_m2': CAST(nullif(CAST(nullif(regexp_extract(text, {q(tx.AREAS[0][1])}, 1), '') AS DOUBLE), 0) AS VARCHAR), 'basement_levels': CAST({_first(tx.BASEMENT_LEVELS, 1, 10, "INTEGER")} AS VARCHAR),
+  'kitchen_present': CASE WHEN regexp_matches(text, '(?i)\\bkitchen\\b') THEN 'true' END, 'sprinklers_proposed': CASE WHEN regexp_matches(text, '(?i)\\bsprinkler') THEN 'true' END}} AS r FROM drawings),
+form AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS ordinal, '{n}' AS field, '{k}' AS kind, " + (f"nullif(split_part(r.{n}, '=', 2), '')" if n == "primary_occupancy_hint" else f"r.{n}") + " AS value FROM v" for i, (n, k) in enumerate(KINDS.items()))})"""
+
+
+@query(s(DRAWINGS, FORM, f"SELECT doc_id, ordinal, field, value, CASE kind WHEN 'text' THEN CASE WHEN value IS NULL THEN '{STAGE}' ELSE 'text_label' END WHEN 'guess' THEN CASE WHEN value IS NULL THEN '' ELSE 'text_label' END WHEN 'stage' THEN '{STAGE}' ELSE 'not_applicable' END AS source, CASE WHEN value IS NULL THEN 'red' WHEN kind = 'text' THEN 'green' ELSE 'amber' END AS confidence FROM form"))
+def f6_form(spark, d):
+    """The chain from a vector drawing's text to all twelve form fields, in one scan (also F1)."""
+    x = F.col("text")
+    values = {
+        "project_name": tx.project_name("text"),
+        "city": tx.first_listed("text", tx.CITIES),
+        "state": tx.first_listed("text", tx.STATES),
+        "building_status": F.lit(None).cast("string"),
+        "primary_occupancy_hint": tx.occupancy("text", tx.FORM_OCCUPANCY)["code"],
+        "height_m": tx.height("text"),
+        "floors_count": tx.storeys("text"),
+        "construction_type": tx.construction("text"),
+        "basement_area_m2": F.nullif(tx.found("text", tx.AREAS[0][1]).cast("double"), F.lit(0.0)),
+        "basement_levels": tx.basement_levels("text"),
+        "kitchen_present": tx.mentions(x, r"\bkitchen\b"),
+        "sprinklers_proposed": tx.mentions(x, r"\bsprinkler"),
+    }
+    t = drawings(spark, d).select("doc_id", *[v.alias(n) for n, v in values.items()])
+    return mg.drawing_form(t, [(n, F.col(n), k) for n, k in KINDS.items()], STAGE)

@@ -65,6 +65,17 @@ def a24_validation_means(spark, d):
     return ge.nearest_distance(points(spark, d), labels(spark, d).drop("text"), 150.0).groupBy("grp").agg(F.count("*").alias("points"), F.avg("dist").alias("mean_dist"))
 
 
+@query(s(FLOORS, POINTS, LABELS, f"m AS (SELECT p.grp, min({DIST}) AS dist FROM pts p JOIN lbs l ON l.grp = p.grp GROUP BY p.grp, p.id)", f"b AS (SELECT l.grp, min({DIST}) AS dist FROM lbs l JOIN pts p ON l.grp = p.grp GROUP BY l.grp, l.jd)", "x AS (SELECT grp, count(*) AS points, avg(dist) AS there FROM m GROUP BY grp)", "y AS (SELECT grp, count(*) AS labels, avg(dist) AS back FROM b GROUP BY grp)", "SELECT x.grp, x.points, y.labels, x.there, y.back FROM x JOIN y USING (grp)"))
+def a24_validation_report(spark, d):
+    """Mean nearest distances of a page in both directions."""
+    p, l = points(spark, d), labels(spark, d).drop("text")
+    turned = l.select("grp", F.col("jd").alias("id"), F.col("bx").alias("x"), F.col("by").alias("y"))
+    to = p.select("grp", F.col("id").alias("jd"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    there = ge.nearest_distance(p, l, 150.0).groupBy("grp").agg(F.count("*").alias("points"), F.avg("dist").alias("there"))
+    back = ge.nearest_distance(turned, to, 150.0).groupBy("grp").agg(F.count("*").alias("labels"), F.avg("dist").alias("back"))
+    return there.join(back, "grp")
+
+
 @query(s(FLOORS, POINTS, LABELS, f"j AS (SELECT p.grp, p.id, l.bx, l.by, row_number() OVER (PARTITION BY p.grp, p.id ORDER BY l.jd) AS r FROM pts p JOIN lbs l ON l.grp = p.grp WHERE {DIST} <= 60)", "SELECT p.grp, p.id, coalesce((p.x + j.bx) / 2, p.x) AS px, coalesce((p.y + j.by) / 2, p.y) AS py FROM pts p LEFT JOIN j ON j.grp = p.grp AND j.id = p.id AND j.r = 1"))
 def j15_pair_points(spark, d):
     """The midpoint with the first point within a radius, or the point itself."""
