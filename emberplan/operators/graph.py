@@ -1,13 +1,12 @@
 """Pixel regions, walkable graphs, shortest paths and greedy cover.
 
-Loops over whole tables cut their lineage with checkpoint() in the shared folder. What is bound
-to one small graph (a floor) and sequential by nature runs in one call for each graph.
+What is bound to one page or one small graph (a floor) and sequential by nature runs in one call
+for many of them; nothing here joins pixels with pixels, whose number Spark cannot estimate.
 """
 
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,55 +15,97 @@ from pyspark.sql import functions as F
 EIGHT = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; only a local master may go without one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="emberplan-"))
-    return df.checkpoint()
+def _runs(page, row, col) -> list:
+    """Pixels sorted by page, row and column to runs [page, row, first column, last column]."""
+    import numpy as np
+
+    cut = np.ones(len(page), bool)
+    cut[1:] = (page[1:] != page[:-1]) | (row[1:] != row[:-1]) | (col[1:] > col[:-1] + 1)  # a repeated pixel stays in its run
+    at = np.flatnonzero(cut)
+    return [page[at], row[at], col[at], col[np.append(at[1:], len(page)) - 1]]
+
+
+def _joined(chunks: list) -> list:
+    """Chunks of runs as one; a run that goes on over the border of two chunks is one again."""
+    import numpy as np
+
+    page, row, c0, c1 = (np.concatenate([x[i] for x in chunks]) for i in range(4))
+    more = np.flatnonzero((page[1:] == page[:-1]) & (row[1:] == row[:-1]) & (c0[1:] <= c1[:-1] + 1)) + 1
+    keep = np.ones(len(page), bool)
+    keep[more] = False
+    at = np.flatnonzero(keep)
+    return [page[at], row[at], c0[at], c1[np.append(at[1:], len(page)) - 1]]
+
+
+def _run_roots(page, row, c0, c1):
+    """The first run of each run's eight-connected component; runs are sorted."""
+    import numpy as np
+
+    first = c0.min()
+    a, b, wide = c0 - first + 1, c1 - first + 1, c1.max() - first + 3
+    line = np.zeros(len(page), np.int64)  # neighbouring rows of a page differ by 1, others by 2
+    same = page[1:] == page[:-1]
+    line[1:] = np.cumsum(np.where(same & (row[1:] == row[:-1]), 0, np.where(same & (row[1:] == row[:-1] + 1), 1, 2)))
+    lo = np.searchsorted(line * wide + b, (line + 1) * wide + a - 1, "left")
+    hi = np.searchsorted(line * wide + a, (line + 1) * wide + b + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    u = np.repeat(np.arange(len(page)), n)
+    v = np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    root = np.arange(len(page))
+    while len(u):
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return root
+
+
+def _regions(batches):
+    """(page, label, size, r0, c0, r1, c1) of the components of pixels that come sorted. Of a page
+    that isn't over yet only the runs are held."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["page", "label", "size", "r0", "c0", "r1", "c1"]
+
+    def found(runs: list):
+        page, row, c0, c1 = runs
+        root = _run_roots(page, row, c0, c1)
+        order = np.argsort(root, kind="stable")
+        at = np.flatnonzero(np.diff(root[order], prepend=-1))
+        one = root[order][at]
+        size = np.add.reduceat((c1 - c0 + 1)[order], at)
+        least = [np.minimum.reduceat(x[order], at) for x in (row, c0)]
+        most = [np.maximum.reduceat(x[order], at) for x in (row, c1)]
+        cols = [page[one], row[one] * 100_000 + c0[one], size, *least, *most]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
+
+    held: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        runs = _runs(*(np.asarray(c).astype(np.int64) for c in b.columns))
+        over = int(np.searchsorted(runs[0], runs[0][-1]))  # runs of pages before the last
+        if held and (over or held[-1][0][-1] != runs[0][0]):
+            yield found(_joined([*held, [x[:over] for x in runs]]))
+            held = []
+        elif over:
+            yield found([x[:over] for x in runs])
+        held.append([x[over:] for x in runs])
+    if held:
+        yield found(_joined(held))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(grp, node, label) with the least node of each component; edges (grp, src, dst) go both ways.
+def regions(pixels: DataFrame, width: int, height: int, least: int = 500) -> DataFrame:
+    """(page, label, size, r0, c0, r1, c1): eight-connected regions off the border, large enough.
 
-    A round takes the neighbours' least label and then the label of that label, so that long
-    chains shorten by halves.
-    """
-    both = settled(edges.select("grp", "src", "dst").unionByName(edges.select("grp", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = settled(nodes.select("grp", "node", F.col("node").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("grp").alias("_g"), F.col("node").alias("_n"), "label"), (F.col("grp") == F.col("_g")) & (F.col("dst") == F.col("_n"))).groupBy("grp", "src").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("src", "node"), ["grp", "node"], "left").select("grp", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select("grp", F.col("node").alias("label"), F.col("label").alias("root"))
-        new = settled(step.join(jump, ["grp", "label"]).select("grp", "node", "old", F.least("label", "root").alias("label")))
-        if new.where("label <> old").isEmpty():
-            return new.select("grp", "node", "label")
-        labels = new.select("grp", "node", "label")
-
-
-def pixel_edges(pixels: DataFrame) -> DataFrame:
-    """pixels (page, row, col) to edges (page, src, dst, length) between the eight neighbours, src < dst.
-
-    Four offsets suffice for one direction; the other side is an equality join.
+    Pixels are dealt by page and sorted; a task goes over its pages' rows once, by runs of pixels.
+    Repeated pixels count once. label: row * 100000 + column of the region's first pixel.
     """
-    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    key = lambda r, c: r * 100_000 + c
-    a = pixels.withColumn("o", F.explode(half)).select("page", "row", "col", (F.col("row") + F.col("o.i")).alias("r2"), (F.col("col") + F.col("o.j")).alias("c2"))
-    b = pixels.select(F.col("page").alias("_p"), F.col("row").alias("_r"), F.col("col").alias("_c"))
-    j = a.join(b, (F.col("page") == F.col("_p")) & (F.col("r2") == F.col("_r")) & (F.col("c2") == F.col("_c")))
-    return j.select("page", key(F.col("row"), F.col("col")).cast("long").alias("src"), key(F.col("r2"), F.col("c2")).cast("long").alias("dst"), F.hypot((F.col("r2") - F.col("row")).cast("double"), (F.col("c2") - F.col("col")).cast("double")).alias("length"))
-
-
-def regions(pixels: DataFrame, width: int, height: int, least: int = 500) -> DataFrame:
-    """(page, label, size, r0, c0, r1, c1): eight-connected regions off the border, large enough."""
-    e = pixel_edges(pixels).withColumnRenamed("page", "grp")
-    nodes = pixels.select(F.col("page").alias("grp"), (F.col("row") * 100_000 + F.col("col")).cast("long").alias("node"))
-    lab = components(nodes, e)
-    row, col = F.expr("node div 100000"), F.expr("node % 100000")
-    agg = lab.groupBy(F.col("grp").alias("page"), "label").agg(F.count("*").alias("size"), F.min(row).alias("r0"), F.min(col).alias("c0"), F.max(row).alias("r1"), F.max(col).alias("c1"))
+    x = pixels.select(F.col("page").cast("long").alias("page"), "row", "col").where("page is not null and row is not null and col is not null")
+    x = x.repartition("page").sortWithinPartitions("page", "row", "col")
+    agg = x.mapInArrow(_regions, "page long, label long, size long, r0 long, c0 long, r1 long, c1 long")
     inside = (F.col("r0") > 0) & (F.col("c0") > 0) & (F.col("r1") < height - 1) & (F.col("c1") < width - 1)
     return agg.where(inside & (F.col("size") >= least))
 

@@ -1,5 +1,7 @@
 """Golden cases of the drawing, page, merge, geometry, graph and stream operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,31 @@ def test_streams(spark, tmp_path):
     assert spark.table("counts").count() == windowed_counts(e).count() == 2
     page_log(spark.readStream.schema(e.schema).parquet(str(tmp_path / "ev")), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_regions_against_flood_fill(spark):
+    import random
+
+    rng = random.Random(7)
+    # Pages over several Arrow batches, repeated pixels, gaps of rows, a page that is full but for its border.
+    px = {(p, rng.randrange(14), rng.randrange(14)) for p in range(40) for _ in range(90)} | {(99, r, c) for r in range(1, 30) for c in range(1, 30)} | {(7, 40, 3), (8, 0, 3)}
+    want, left = set(), set(px)
+    while left:
+        part, todo = [], [left.pop()]
+        while todo:
+            p, r, c = todo.pop()
+            part.append((r, c))
+            near = {(p, r + i, c + j) for i, j in gr.EIGHT} & left
+            left -= near
+            todo += near
+        rows, cols = [x[0] for x in part], [x[1] for x in part]
+        if len(part) >= 3 and min(rows) > 0 and min(cols) > 0 and max(rows) < 49 and max(cols) < 49:
+            first = min(part)
+            want.add((p, first[0] * 100_000 + first[1], len(part), min(rows), min(cols), max(rows), max(cols)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        out = gr.regions(spark.createDataFrame([*px, (7, 40, 3)], "page LONG, row INT, col INT"), 50, 50, 3)
+        assert {tuple(r) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
