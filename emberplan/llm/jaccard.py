@@ -658,17 +658,18 @@ def _all_links(spark, docs: DataFrame, candidates: DataFrame, sets_: int, entrie
 
     # Components that meet in a large tile are first compared by one set of each, with the one
     # that stands in most tiles; a group of near copies grows together in a round or two.
-    often = large.groupBy("node").agg(F.count("*").alias("often"))
+    rows = large.join(large.groupBy("node").agg(F.count("*").alias("often")), "node").withColumn("k", F.lit(1).cast("long"))
     tested = near.select("u", "v")
-    for _ in range(STAR_ROUNDS):
+    for star_round in range(STAR_ROUNDS + 1):
         roots = components(links)
-        open_tiles = _open_tiles(_rooted(large, "node", roots))
+        rows = _apart(rows, roots)
+        open_tiles = rows.groupBy("tile").agg(F.max(F.struct("often", "root_node", "node")).alias("hub"), F.sum("k").alias("k"), F.count("*").alias("roots"))
+        open_tiles = materialise(open_tiles.where("roots > 1").drop("roots"), "open")
         if open_tiles.isEmpty():
             return links
-        member = _rooted(_of_tiles(large, open_tiles).join(often, "node"), "node", roots)
-        one = member.groupBy("tile", "root_node").agg(F.max(F.struct("often", (-F.col("node")).alias("least"))).alias("x")).select("tile", "root_node", "x.often", (-F.col("x.least")).alias("node"))
-        hub = one.groupBy("tile").agg(F.max(F.struct("often", "root_node", "node")).alias("hub"))
-        star = _of_tiles(one, hub).where("root_node <> hub.root_node").select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        if star_round == STAR_ROUNDS:
+            break
+        star = _of_tiles(rows.drop("k"), open_tiles).where("root_node <> hub.root_node").select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
         star = materialise(star.join(tested, ["u", "v"], "left_anti").withColumn("shared", F.lit(0).cast("long")), "star")
         if star.isEmpty():
             break
@@ -678,10 +679,8 @@ def _all_links(spark, docs: DataFrame, candidates: DataFrame, sets_: int, entrie
         if new.isEmpty():
             break
         links = materialise(links.unionByName(new), "links")
-    else:
-        roots = components(links)
-        open_tiles = _open_tiles(_rooted(large, "node", roots))
 
+    open_tiles = open_tiles.drop("hub")
     member = _rooted(_of_tiles(large, open_tiles.withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)"))), "node", roots).withColumnRenamed("root_node", "root")
     member = member.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     member = member.join(_few(bitmaps, member.select("node").distinct()), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -691,6 +690,14 @@ def _all_links(spark, docs: DataFrame, candidates: DataFrame, sets_: int, entrie
     return links.unionByName(_verify(more, sets, share)) if not more.isEmpty() else links
 
 
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of rows (tile, node, often, k), one for each component in a tile, that of the set in most tiles; k is
+    summed. Written, so that what has grown together is a row from here on."""
+    x = _rooted(rows.select("tile", "node", "often", "k"), "node", roots).groupBy("tile", "root_node")
+    x = x.agg(F.max(F.struct("often", (-F.col("node")).alias("least"))).alias("x"), F.sum("k").alias("k"))
+    return materialise(x.select("tile", "root_node", (-F.col("x.least")).alias("node"), "x.often", "k"), "apart")
+
+
 def _open_tiles(member: DataFrame) -> DataFrame:
     """(tile, k) of the tiles whose k sets are of several components, written."""
     tiles = member.groupBy("tile").agg(F.min("root_node").alias("lo"), F.max("root_node").alias("hi"), F.count("*").alias("k"))

@@ -844,3 +844,13 @@ def test_op10_prefix_order(spark, monkeypatch):
         monkeypatch.setattr(budget, "ORDERED", most)
         monkeypatch.setattr(budget, "BROADCAST_LEAVES", few)
         assert sorted(r["doc_id"] for r in budget.mix(docs, {"all": "'x'"}, fraction=0.5).collect()) == sorted(want)
+
+
+def test_op6_tiles_contract_to_components(spark):
+    """A component is one row of a tile from round to round, that of the set in most tiles."""
+    rows = spark.createDataFrame([(1, n, 9 if n == 4 else 2, 1) for n in range(2, 8)] + [(2, 7, 2, 1)], "tile LONG, node LONG, often LONG, k LONG")
+    roots = spark.createDataFrame([(n, 2) for n in range(2, 6)], "node LONG, root LONG")
+    got = jaccard._apart(rows, roots)
+    assert sorted(tuple(r) for r in got.select("tile", "root_node", "node", "k").collect()) == [(1, 2, 4, 4), (1, 6, 6, 1), (1, 7, 7, 1), (2, 7, 7, 1)]
+    again = jaccard._apart(got, spark.createDataFrame([(n, 2) for n in range(2, 8)], "node LONG, root LONG"))
+    assert sorted(tuple(r) for r in again.select("tile", "root_node", "node", "k").collect()) == [(1, 2, 4, 6), (2, 2, 7, 1)]
