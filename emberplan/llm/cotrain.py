@@ -177,28 +177,53 @@ def _word_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["good", "bucket", "docs"])
 
 
+def _gaps(words: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All rows' ascending buckets as gaps between their ranks among the chosen ones, and how many bytes
+    each row has. A gap is a byte below 255, behind as many bytes of 255 as it has in it."""
+    rank = (np.cumsum(chosen) - 1)[words]
+    gap = np.diff(rank, prepend=-1) - 1
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    gap[first] = rank[first]
+    n = 1 + gap // 255
+    out = np.full(n.sum(), 255, np.uint8)
+    out[np.cumsum(n) - 1] = gap % 255
+    return out.tobytes(), np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])])
+
+
+def _ranks(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _gaps wrote: the ranks of all rows, and how many each row has."""
+    last = np.flatnonzero(raw != 255)
+    gap = np.diff(np.cumsum(raw, dtype=np.int64)[last], prepend=0)
+    sizes = np.diff(np.searchsorted(last, np.concatenate([[0], np.cumsum(lengths)])))
+    at = np.cumsum(gap + 1)
+    before = np.concatenate([[0], at])[np.cumsum(sizes) - sizes]
+    return at - 1 - np.repeat(before, sizes), sizes
+
+
 def _featured(batches, chosen: np.ndarray):
     for b in batches:
         x, words, sizes = features(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), chosen)
-        raw, ends = words.tobytes(), (2 * np.cumsum(sizes)).tolist()
+        raw, sizes = _gaps(words, sizes, chosen)
+        ends = np.cumsum(sizes).tolist()
         own = [r.tobytes() + raw[i:j] for r, i, j in zip(x, [0, *ends], ends)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["doc_id", "bins"])
 
 
-def _bins(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bins(column, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = column.to_pylist()
     bins = np.frombuffer(b"".join([r[:FEATURES] for r in rows]), np.uint8).reshape(-1, FEATURES)
-    words = np.frombuffer(b"".join([r[FEATURES:] for r in rows]), np.uint16)
-    return bins, words, np.array([(len(r) - FEATURES) // 2 for r in rows], np.int64)
+    raw = np.frombuffer(b"".join([r[FEATURES:] for r in rows]), np.uint8)
+    ranks, sizes = _ranks(raw, np.array([len(r) - FEATURES for r in rows], np.int64))
+    return bins, np.flatnonzero(chosen)[ranks], sizes
 
 
-def _train_counts(batches, model: Model | None, how: Training):
+def _train_counts(batches, model: Model | None, chosen: np.ndarray, how: Training):
     """(view, good, feature, bin, weight): sums over a task's documents for the next models. The
     buckets of words are the bins of a last feature."""
     sums = np.zeros((2, 2, FEATURES + 1, BINS))
     found = np.zeros((2, WORD_BUCKETS))
     for b in batches:
-        (bins, words, sizes), labels = _bins(b.column(0)), np.array([-1 if x is None else x for x in b.column(1).to_pylist()])
+        (bins, words, sizes), labels = _bins(b.column(0), chosen), np.array([-1 if x is None else x for x in b.column(1).to_pylist()])
         use = [(0, labels, 1.0), (1, labels, 1.0)]
         if model is not None:
             for view, odds in enumerate(model.views(bins, words, sizes)):
@@ -223,7 +248,7 @@ def _calibration(batches, model: Model):
     """(view, good, log-odds to a quarter, count)."""
     sums: dict[tuple, int] = {}
     for b in batches:
-        features_, labels = _bins(b.column(0)), b.column(1).to_pylist()
+        features_, labels = _bins(b.column(0), model.chosen), b.column(1).to_pylist()
         for view, odds in enumerate(model.views(*features_)):
             for z, y in zip(np.clip(np.round(odds * 4), -400, 400).astype(int).tolist(), labels, strict=True):
                 sums[view, y, z] = sums.get((view, y, z), 0) + 1
@@ -302,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col
     calibrating = table.where(held_out).select("bins", "good")
     model = None
     for _ in range(how.rounds + 1):
-        got = training.mapInArrow(tidy(lambda x, m=model: _train_counts(x, m, how)), "view int, good int, feature int, bin int, weight double")
+        got = training.mapInArrow(tidy(lambda x, m=model: _train_counts(x, m, chosen, how)), "view int, good int, feature int, bin int, weight double")
         sums = np.zeros((2, 2, FEATURES + 1, BINS))
         found = np.zeros((2, WORD_BUCKETS))
         got = got.groupBy("view", "good", "feature", "bin").agg(F.sum("weight").alias("weight"))

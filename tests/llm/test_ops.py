@@ -854,3 +854,17 @@ def test_op6_tiles_contract_to_components(spark):
     assert sorted(tuple(r) for r in got.select("tile", "root_node", "node", "k").collect()) == [(1, 2, 4, 4), (1, 6, 6, 1), (1, 7, 7, 1), (2, 7, 7, 1)]
     again = jaccard._apart(got, spark.createDataFrame([(n, 2) for n in range(2, 8)], "node LONG, root LONG"))
     assert sorted(tuple(r) for r in again.select("tile", "root_node", "node", "k").collect()) == [(1, 2, 4, 6), (2, 2, 7, 1)]
+
+
+def test_op4_buckets_as_gaps():
+    """Chosen buckets of a row take about a byte each, whatever their density, and come back as they were."""
+    rng = np.random.default_rng(1)
+    for share in (0.001, 0.05, 0.6, 1.0):
+        chosen = rng.random(cotrain.WORD_BUCKETS) < share
+        where = np.flatnonzero(chosen)
+        rows = [np.sort(rng.choice(where, min(len(where), k), replace=False)) for k in (0, 1, 0, 5, 300, len(where), 0)]
+        sizes = np.array([len(r) for r in rows])
+        raw, lengths = cotrain._gaps(np.concatenate(rows).astype(np.uint16), sizes, chosen)
+        ranks, again = cotrain._ranks(np.frombuffer(raw, np.uint8), lengths)
+        assert (where[ranks] == np.concatenate(rows)).all() and (again == sizes).all()
+        assert len(raw) <= 1.2 * sizes.sum() + 100
