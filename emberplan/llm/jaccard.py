@@ -19,9 +19,13 @@ similarity of at least 75/100, as connected components.
    lacks is an element not shared, so bit counts bound the overlap from above. What passes is
    decided by intersecting sorted arrays.
 5. Components that meet in a kept tile are compared by one set of each, with the one that stands
-   in most tiles; what is still apart there is compared in full, in blocks, by the same two
-   tests. So every pair in a tile is decided or joined already, and a tile of thousands of
-   near copies costs comparisons in proportion to its size.
+   in most tiles, the tile's hub.
+6. Where components are still apart in a tile, each of its sets is reduced to its difference from the hub.
+   Two sets of which one does not link with the hub can link only if their differences share so many
+   elements that each shows one among its rarest; so these elements make the next, smaller tiles, again
+   with a hub. Tiles of up to BLOCK sets are compared in full, by the same two tests. So every pair in a
+   tile is decided or joined already, and a tile of thousands of near copies costs rows in
+   proportion to its size. Only tiles that shrink no more are compared in full by pairs of blocks.
 
 Shingles are compared by 64-bit hashes; short forms only ever add candidates.
 """
@@ -54,8 +58,12 @@ BLOCK_ENTRIES = 500_000
 FILTER_BITS = (1 << 20, 1 << 28)
 #: Tiles of up to so many sets give all pairs at once, and a tile holds up to so many before it is salted.
 SMALL, TILE = 4, 4096
-#: Rounds in which components of a large tile are compared by one set of each, before all are; sets in a block of it.
+#: Rounds in which components of a large tile are compared by one set of each, before all are; sets that are compared
+#: in full at once.
 STAR_ROUNDS, BLOCK = 3, 256
+#: An element is common if more than one in COMMON of the differences from a hub have it; so many differences from a
+#: hub are counted together.
+COMMON, COUNTED = 16, 256
 
 
 def sets_of(text: pa.Array, words: int = WORDS):
@@ -532,6 +540,85 @@ def _possible(pairs: DataFrame, bitmaps: DataFrame, share: int) -> DataFrame:
     return materialise(both.mapInArrow(tidy(lambda x: _passes(x, share)), "u long, v long, shared long"), "near")
 
 
+def _differences(batches, share: int):
+    """Of (u, v, k, sets), (u, v, k, linked, take, value): what only one of both sets has, and how many of its rarest
+    elements v must show.
+
+    With p = 100 + share and q = 100 - share, x and y link if p * |x ^ y| <= q * (|x| + |y|). With
+    differences a and b from u, |x ^ y| = |a| + |b| - 2 * |a & b|. If x links with u and y does not,
+    2p * |a & b| >= p * |a| + q * (|u| - |x|) + 1. If x does not, |y| <= |u| + |b| and |a & b| <= |b| give
+    200 * |a & b| >= p * |a| - q * (|u| + |x|), which is above 0.
+    """
+    p, q = 100 + share, 100 - share
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("k", pa.int64()), ("linked", pa.bool_()), ("take", pa.int64()), ("value", pa.binary())])
+    for b in batches:
+        rows = []
+        for u, v, k, x, y in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            d = np.setxor1d(x, y, assume_unique=True)
+            over = p * len(d) - q * (len(x) + len(y))
+            need = -(-over // 200) if over > 0 else -(-(p * len(d) + q * (len(x) - len(y)) + 1) // (2 * p))
+            rows.append((u, v, k, over <= 0, len(d) - need + 1, d.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _differing(batches):
+    """(u, part, k, counts): of (u, k, difference), in how many of the differences from u elements are."""
+    for b in batches:
+        parts: dict[tuple[int, int], list] = {}
+        for u, k, x in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+            parts.setdefault((u, k), []).append(np.frombuffer(x, np.uint64))
+        rows = []
+        for (u, k), own in parts.items():
+            h, n = np.unique(np.concatenate(own), return_counts=True)
+            order, cuts = _cuts(_range(h, 1 + k // COUNTED))
+            h, n = h[order], n[order].astype(np.uint32)
+            rows += [(u, r, k, h[i:j].tobytes() + n[i:j].tobytes()) for r, i, j in cuts]
+        cols = zip(*rows, strict=True) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["u", "part", "k", "counts"])
+
+
+def _common(table: pa.Table) -> pa.Table:
+    """The elements of a part that are common in the differences from u, at most COMMON times a difference's
+    size in all parts, and in how many they are."""
+    parts, k = [_counted(x) for x in table.column("counts").to_pylist()], table.column("k")[0].as_py()
+    h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(h)).astype(np.uint32)
+    ok = n.astype(np.int64) * COMMON > k
+    return pa.table({"u": table.column("u")[: int(ok.any())], "counts": pa.array([h[ok].tobytes() + n[ok].tobytes()] if ok.any() else [], pa.binary())})
+
+
+def _narrower(batches):
+    """(tile, node): of (u, v, take, difference, common elements), v at the first elements of its difference, those
+    that are not common before the others, which go by their number."""
+    for b in batches:
+        tiles, nodes, held = [], [], 0
+
+        def out(tiles=tiles, nodes=nodes):
+            node = np.repeat(np.array([x[0] for x in nodes], np.int64), [x[1] for x in nodes])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(node)], names=["tile", "node"])
+
+        for u, v, take, x, common in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            d = np.frombuffer(x, np.uint64)
+            n = np.zeros(len(d), np.int64)
+            for h, often in map(_counted, common or ()):
+                at = np.searchsorted(h, d)
+                at[at == len(h)] = 0
+                n[h[at] == d] = often[at[h[at] == d]]
+            first = np.lexsort((d, n))[:take]
+            tiles.append(mix(d[first] ^ mix(np.array([u], np.int64).view(np.uint64))))
+            nodes.append((v, len(first)))
+            held += len(first)
+            if held > HELD:
+                yield out()
+                tiles.clear()
+                nodes.clear()
+                held = 0
+        if nodes:
+            yield out()
+
+
 def _blocks(share: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a block pair of a tile, from different components, whose bitmaps pass."""
@@ -680,14 +767,47 @@ def _all_links(spark, docs: DataFrame, candidates: DataFrame, sets_: int, entrie
             break
         links = materialise(links.unionByName(new), "links")
 
-    open_tiles = open_tiles.drop("hub")
-    member = _rooted(_of_tiles(large, open_tiles.withColumn("blocks", F.expr(f"cast(ceil(k / {BLOCK}) as int)"))), "node", roots).withColumnRenamed("root_node", "root")
-    member = member.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = large.join(large.groupBy("node").agg(F.count("*").alias("often")), "node")
+    return _by_differences(_of_tiles(rows, open_tiles.select("tile")), sets, bitmaps, links, tested, share)
+
+
+def _by_differences(rows: DataFrame, sets: DataFrame, bitmaps: DataFrame, links: DataFrame, tested: DataFrame, share: int) -> DataFrame:
+    """links and those of components that meet in the tiles of rows (tile, node, often)."""
+    sizes: list[int] = []
+    while True:
+        rows = _rooted(rows, "node", components(links))
+        open_tiles = rows.groupBy("tile").agg(F.min("root_node").alias("lo"), F.max("root_node").alias("hi"), F.max(F.struct("often", F.xxhash64("node").alias("h"), "node")).alias("hub"), F.count("*").alias("k"))
+        open_tiles = materialise(open_tiles.where("lo < hi").select("tile", "k", F.col("hub.node").alias("hub")), "open")
+        if open_tiles.isEmpty():
+            return links
+        member = materialise(_of_tiles(rows.select("tile", "node", F.col("root_node").alias("root")), open_tiles), "members")
+        large = member.where(f"k > {BLOCK}")
+        sizes.append(large.count())
+        last = not sizes[-1] or len(sizes) > 2 and sizes[-1] >= sizes[-2]
+        more = materialise(_in_full(member if last else member.where(f"k <= {BLOCK}"), bitmaps, share).join(tested, ["u", "v"], "left_anti"), "more")
+        if not more.isEmpty():
+            links = materialise(links.unionByName(_verify(more, sets, share)), "links")
+            tested = tested.unionByName(more)
+        if last:
+            return links
+        star = large.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        star = materialise(star.join(star.groupBy("u").agg(F.count("*").alias("k")), "u"), "star")
+        both = _with_values(star, sets).select("u", "v", "k", "value_u", "value_v")
+        apart = materialise(both.mapInArrow(tidy(lambda x: _differences(x, share)), "u long, v long, k long, linked boolean, take long, value binary"), "differences")
+        counts = apart.select("u", "k", "value").mapInArrow(tidy(_differing), "u long, part int, k long, counts binary").groupBy("u", "part")
+        common = counts.applyInArrow(_common, "u long, counts binary").groupBy("u").agg(F.collect_list("counts").alias("counts"))
+        narrow = apart.select("u", "v", "take", "value").join(materialise(common, "common"), "u", "left").select("u", "v", "take", "value", "counts")
+        rows = materialise(narrow.mapInArrow(tidy(_narrower), "tile long, node long").withColumn("often", F.lit(0).cast("long")), "narrower")
+        links = materialise(links.unionByName(apart.where("linked").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "links")
+
+
+def _in_full(member: DataFrame, bitmaps: DataFrame, share: int) -> DataFrame:
+    """Of sets (tile, node, root, k), the pairs of a tile from different components whose bitmaps pass. A tile of up to
+    BLOCK sets is one group; larger ones are pairs of blocks."""
+    member = member.select("tile", "node", "root", F.expr(f"cast(ceil(k / {BLOCK}) as int)").alias("blocks")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     member = member.join(_few(bitmaps, member.select("node").distinct()), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     member = member.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "value")
-    more = member.groupBy("tile", "i", "j").applyInArrow(_blocks(share), "u long, v long").distinct()
-    more = materialise(more.join(tested, ["u", "v"], "left_anti"), "more")
-    return links.unionByName(_verify(more, sets, share)) if not more.isEmpty() else links
+    return member.groupBy("tile", "i", "j").applyInArrow(_blocks(share), "u long, v long").distinct()
 
 
 def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -529,6 +529,59 @@ def test_op6_large_tiles(spark, monkeypatch):
     check_components(spark, texts)
 
 
+def near_copies(rng, copies: int, outside: int):
+    """Copies of a text with a few words changed, and ones that are too far from it but have words of their own by twos."""
+    base = prose(rng, 120).split()
+    texts = [list(base) for _ in range(copies + outside)]
+    for k, v in enumerate(texts):
+        far = k >= copies
+        for at in rng.sample(range(5, 115), 5 if far else 2):
+            v[at] = f"x{k // 2 if far else k}at{at}"
+    for k in range(copies, copies + outside, 2):  # of two, one goes further the same way
+        texts[k + 1] = texts[k][:60] + texts[k + 1][60:]
+    return [" ".join(v) for v in texts]
+
+
+def test_op6_large_tiles_narrow(spark, monkeypatch):
+    """Sets that are apart in a large tile meet by what they have apart from its hub: blocks are never dealt to blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    full, in_full = [], jaccard._in_full
+
+    def counted(member, *args):
+        full.append(member.agg(F.count("*"), F.max("k")).first())
+        return in_full(member, *args)
+
+    monkeypatch.setattr(jaccard, "_in_full", counted)
+    texts = near_copies(random.Random(17), 150, 60)
+    check_components(spark, texts)
+    assert len(full) > 1 and all(n <= 40 * len(texts) and (k or 0) <= 16 for n, k in full)
+
+
+def test_op6_differences_show_enough():
+    """Two sets that link, not both with a hub, share one of the elements that their differences from it show."""
+    rng = np.random.default_rng(19)
+    met = 0
+    for share in (50, 75, 99):
+        for _ in range(300):
+            n = int(rng.integers(3, 250))
+            base = rng.choice(np.arange(1, 10_000, dtype=np.uint64), n, replace=False)
+            kept = [rng.random(n) >= (100 - share) / 100 * rng.choice([0.2, 0.5, 1.0]) for _ in range(3)]
+            kept[2] = np.where(rng.random(n) < 0.9, kept[1], kept[2])
+            extra = rng.integers(20_000, 30_000, n, dtype=np.uint64)[: int(rng.integers(0, 1 + n * (100 - share) // 80))]
+            hub, x, y = (np.unique(np.concatenate([base[k], e])) for k, e in zip(kept, (extra[:0], extra, extra[: len(extra) * 4 // 5]), strict=True))
+            if not min(len(hub), len(x), len(y)):
+                continue
+            names = ["u", "v", "k", "x", "y"]
+            got = list(jaccard._differences([pa.RecordBatch.from_pylist([dict(zip(names, (1, i, 2, hub.tobytes(), s.tobytes()), strict=True)) for i, s in ((2, x), (3, y))])], share))[0].to_pylist()
+            for r, s in zip(got, (x, y), strict=True):
+                assert r["linked"] == jaccard.may_link(len(hub), len(s), len(np.intersect1d(hub, s)), share)
+            if jaccard.may_link(len(x), len(y), len(np.intersect1d(x, y)), share) and not all(r["linked"] for r in got) and len(np.setxor1d(hub, x)) and len(np.setxor1d(hub, y)):
+                met += 1
+                shown = [set(np.sort(np.frombuffer(r["value"], np.uint64))[: r["take"]].tolist()) for r in got]
+                assert shown[0] & shown[1]
+    assert met > 30
+
+
 def test_op6_edges(spark):
     assert jaccard.similarity_components(frame(spark, ["a"]).limit(0)).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (None, "A b  c"), (7, None)]
