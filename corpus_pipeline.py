@@ -6,16 +6,30 @@ Stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberplan.llm import budget, cotrain, jaccard, packing, templates
-from emberplan.llm.common import BROADCAST_ENTRIES, delete, materialise, work_dir
+from emberplan.llm.common import BROADCAST_ENTRIES, collect_garbage, delete, materialise, work_dir
 from emberplan.llm.queries import LEVELS, WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def in_clean_heaps(stage):
+    """The stage, begun after executors have given back what the one before filled with garbage."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_clean_heaps
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject.
 
@@ -26,6 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cotrain.classify(docs.select(COLUMNS), model, only_kept=True).select(COLUMNS)
 
 
+@in_clean_heaps
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of recurring templates; n_chars is counted again.
 
@@ -35,6 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@in_clean_heaps
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the least key, a hash of id and text.
 
@@ -59,6 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(COLUMNS)
 
 
+@in_clean_heaps
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that target weights by domain, language and source pay for, once each.
 
@@ -68,6 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return budget.mix(docs.select(COLUMNS), LEVELS, WEIGHTS, fraction=0.8, max_epochs=1).select(COLUMNS)
 
 
+@in_clean_heaps
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens.
 

@@ -124,10 +124,16 @@ def _bits(batches):
     for b in batches:
         x = np.asarray(b.column(0)).astype(np.int64) & (LEAF_BITS - 1)
         for c in np.unique(x >> 16).tolist():
-            bits = chunks.setdefault(c, np.zeros(1 << 16, bool))
-            bits[x[x >> 16 == c] & 0xFFFF] = True
+            at = x[x >> 16 == c] & 0xFFFF
+            np.bitwise_or.at(chunks.setdefault(c, np.zeros(1 << 13, np.uint8)), at >> 3, (128 >> (at & 7)).astype(np.uint8))
     rows = sorted(chunks.items())
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([np.packbits(r[1]).tobytes() for r in rows], pa.binary())], names=["chunk", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["chunk", "bits"])
+
+
+def _held(packed: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Whether the bit table has each leaf; it stays packed, since a byte for each bit would be 64 MB in every worker."""
+    at = leaf & np.uint64(LEAF_BITS - 1)
+    return packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 LINE = "row long, text long, words long, line int, n int, leaf long, exact long, tokens binary"
@@ -135,7 +141,6 @@ LINE = "row long, text long, words long, line int, n int, leaf long, exact long,
 
 def _candidates(batches, packed: np.ndarray, ranges: int):
     """The lines of leaves that the table holds, as LINE, and (range, counts) of what may be constant in them."""
-    flags = np.unpackbits(packed).astype(bool)
     counts = Counts()
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     names = [f.split()[0] for f in LINE.split(", ")] + ["range", "counts"]
@@ -152,7 +157,7 @@ def _candidates(batches, packed: np.ndarray, ranges: int):
         rows, texts = np.asarray(b.column(0)), np.asarray(b.column(1))
         for lo, off, data in slices(b.column(2)):
             x = Lines(off, data)
-            at = np.flatnonzero((x.n > 0) & flags[(x.leaf & np.uint64(LEAF_BITS - 1)).astype(np.int64)])
+            at = np.flatnonzero((x.n > 0) & _held(packed, x.leaf))
             if not len(at):
                 continue
             n, first = x.n[at], x.first[at]
@@ -224,7 +229,7 @@ def recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     leaves = texts.select("text").mapInArrow(tidy(_leaves), "hash long, docs long").groupBy("hash").agg(F.sum("docs").alias("docs")).where(f"docs >= {min_docs}")
     leaves = materialise(leaves, "leaves")
     lines = leaves.agg(F.sum("docs").alias("n")).first()["n"] or 0
-    bits = leaves.select("hash").repartition(F.expr(f"(hash & {LEAF_BITS - 1}) >> 16")).mapInArrow(_bits, "chunk int, bits binary")
+    bits = leaves.select("hash").repartition(F.expr(f"(hash & {LEAF_BITS - 1}) >> 16")).mapInArrow(tidy(_bits), "chunk int, bits binary")
     packed = np.zeros((LEAF_BITS >> 16, 1 << 13), np.uint8)
     for r in bits.toLocalIterator():  # at most LEAF_BITS
         packed[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)

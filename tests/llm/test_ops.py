@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -921,3 +922,24 @@ def test_op4_buckets_as_gaps():
         ranks, again = cotrain._ranks(np.frombuffer(raw, np.uint8), lengths)
         assert (where[ranks] == np.concatenate(rows)).all() and (again == sizes).all()
         assert len(raw) <= 1.2 * sizes.sum() + 100
+
+
+def test_op9_bit_table_stays_packed():
+    rng = np.random.default_rng(5)
+    leaves = rng.integers(-(1 << 63), 1 << 63, 5000, np.int64)
+    packed = np.zeros((templates.LEAF_BITS >> 16, 1 << 13), np.uint8)
+    (b,) = templates._bits(iter([pa.RecordBatch.from_arrays([pa.array(x)], names=["hash"]) for x in (leaves[:3000], leaves[3000:])]))
+    for chunk, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        packed[chunk] = np.frombuffer(bits, np.uint8)
+    packed = packed.ravel()
+    asked = np.concatenate([leaves, leaves ^ 1, rng.integers(-(1 << 63), 1 << 63, 5000, np.int64)]).view(np.uint64)
+    there = {int(x) & (templates.LEAF_BITS - 1) for x in leaves.tolist()}
+    expected = [int(x) & (templates.LEAF_BITS - 1) in there for x in asked.tolist()]
+    text = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["one two three four\nfive six seven\n"])], names=["row", "text", "t"])
+    tracemalloc.start()
+    try:
+        assert not list(templates._candidates(iter([text]), packed, 16))
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    assert templates._held(packed, asked).tolist() == expected

@@ -68,3 +68,16 @@ def test_stages_on_an_empty_table(spark, folder):
         out = stage(spark, docs, folder)
         assert out.count() == 0, name
         assert name == "packing" or out.columns == cp.COLUMNS
+
+
+def test_stages_begin_in_collected_heaps(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+
+    for name, stage in cp.STAGES:
+        before = full_collections()
+        stage(spark, docs, folder)
+        assert full_collections() > before, name
